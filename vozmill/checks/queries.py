@@ -72,6 +72,17 @@ def enriched(spark, d) -> DataFrame:
     return classify.enrich(normalized(spark, d), answers)
 
 
+def stored(spark, df: DataFrame) -> DataFrame:
+    """The table written once and read back, as a run does before it reports on it."""
+    path = shared_folder(spark)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def stored_enriched(spark, d) -> DataFrame:
+    return stored(spark, enriched(spark, d))
+
+
 def raw_text(spark, d) -> DataFrame:
     return feedback(spark, d).select("row_ord", "raw_text")
 
@@ -164,14 +175,15 @@ def manual_upsert(spark, d):
 
 @query
 def report_lines(spark, d):
-    return report.report_lines(enriched(spark, d))
+    return report.report_lines(stored_enriched(spark, d))
 
 
 @query
 def read_analyzed(spark, d):
     """The analyzed table as texts, typed again; a third of the guides is blank."""
-    stored = analyzed(spark, d)
-    texts = stored.select(*[_C(c).cast("string").alias(c) for c in stored.columns if c not in ("batch_seq", "row_ord")], "batch_seq", "row_ord")
+    rows = analyzed(spark, d)
+    plain = [c for c in rows.columns if c not in ("batch_seq", "row_ord")]
+    texts = rows.select(*[_C(c).cast("string").alias(c) for c in plain], "batch_seq", "row_ord")
     holes = texts.withColumn(
         "response_guide", F.when(_C("row_ord") % 3 == 0, F.lit(None)).otherwise(_C("response_guide"))
     )
@@ -830,7 +842,7 @@ def _aggregate(name: str, make, source=enriched) -> None:
 _aggregate("sentiment_totals", aggregates.sentiment_totals)
 _aggregate("theme_top", aggregates.theme_top)
 _aggregate("theme_top_other", lambda df: aggregates.theme_top_other(df, 3))
-_aggregate("theme_top_critical", lambda df: aggregates.theme_top_critical(df, 3))
+_aggregate("theme_top_critical", lambda df: aggregates.theme_top_critical(df, 3), stored_enriched)
 _aggregate("priority_share", aggregates.priority_share)
 _aggregate("escalation_count", aggregates.escalation_count)
 _aggregate("provider_coverage", aggregates.provider_coverage)
@@ -847,6 +859,7 @@ _aggregate(
 _aggregate(
     "filter_options",
     lambda df: aggregates.all_filter_options(df).withColumn("codes", F.array_join("codes", ",")),
+    stored_enriched,
 )
 _aggregate("source_breakdown", aggregates.source_breakdown, normalized)
 _aggregate("insights", aggregates.insights)
@@ -864,11 +877,15 @@ def normalized_order(spark, d):
     return ordering.normalized_order(normalized(spark, d)).select("row_ord", "feedback_date", "source", "raw_text")
 
 
-_aggregate("text_samples", ordering.text_samples)
-_aggregate("priority_actions", ordering.priority_actions)
-_aggregate("priority_guides", ordering.priority_guides)
-_aggregate("critical_cases", ordering.critical_cases)
-_aggregate("case_table", lambda df: display.display_rows(ordering.case_table(df), keep=["row_ord"]))
+_aggregate("text_samples", ordering.text_samples, stored_enriched)
+_aggregate("priority_actions", ordering.priority_actions, stored_enriched)
+_aggregate("priority_guides", ordering.priority_guides, stored_enriched)
+_aggregate("critical_cases", ordering.critical_cases, stored_enriched)
+_aggregate(
+    "case_table",
+    lambda df: display.display_rows(ordering.case_table(df), keep=["row_ord"]),
+    stored_enriched,
+)
 
 
 @query

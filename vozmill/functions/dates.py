@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vozmill.functions.text import fold_text, strip, text_or_blank
+from vozmill.functions.text import bind, fold_text, strip, text_or_blank
 
 _DATE = r"\b([0-9]{2}/[0-9]{2}/[0-9]{4})\b"
 # Fixed value: the singular form matches first, so the unit is always singular.
@@ -21,8 +21,12 @@ def as_timestamp(as_of) -> Column:
 
 def parse_date(c: Column) -> Column:
     """Day-first text, else ISO text, else null; decided per row."""
-    text = strip(c)
-    return F.coalesce(F.try_to_date(text, "dd/MM/yyyy"), F.try_to_date(text, "yyyy-MM-dd"))
+    return bind(
+        strip(c),
+        lambda text: F.coalesce(
+            F.try_to_date(text, "dd/MM/yyyy"), F.try_to_date(text, "yyyy-MM-dd")
+        ),
+    )
 
 
 def extract_date(c: Column) -> Column:
@@ -32,35 +36,36 @@ def extract_date(c: Column) -> Column:
 
 def extract_relative(c: Column) -> Column:
     """T11: "ha N unit", else ontem, hoje, agora, in that order; else blank."""
-    folded = fold_text(c)
-    ago = F.regexp_extract(folded, _AGO, 0)
-    return (
-        F.when(
-            ago != "",
-            F.concat_ws(
-                " ", F.lit("ha"), F.regexp_extract(ago, _AGO, 1), F.regexp_extract(ago, _AGO, 2)
-            ),
+
+    def found(folded: Column) -> Column:
+        ago = F.regexp_extract(folded, _AGO, 0)
+        return (
+            F.when(ago != "", F.regexp_replace(ago, _AGO, "ha $1 $2"))
+            .when(folded.contains("ontem"), F.lit("ontem"))
+            .when(folded.contains("hoje"), F.lit("hoje"))
+            .when(folded.contains("agora"), F.lit("agora"))
+            .otherwise(F.lit(""))
         )
-        .when(folded.contains("ontem"), F.lit("ontem"))
-        .when(folded.contains("hoje"), F.lit("hoje"))
-        .when(folded.contains("agora"), F.lit("agora"))
-        .otherwise(F.lit(""))
-    )
+
+    return bind(fold_text(c), found)
 
 
 def parse_relative(c: Column, as_of) -> Column:
     """Relative phrase to timestamp; agora/hoje, then ontem, then "ha N unit"."""
     now = as_timestamp(as_of)
-    folded = fold_text(c)
-    amount = F.regexp_extract(folded, _AGO, 1).try_cast("int")
-    unit = F.regexp_extract(folded, _AGO, 2)
-    return (
-        F.when(folded.contains("agora") | folded.contains("hoje"), now)
-        .when(folded.contains("ontem"), now - F.make_interval(days=F.lit(1)))
-        .when(unit.startswith("hora"), now - F.make_interval(hours=amount))
-        .when(unit.startswith("dia"), now - F.make_interval(days=amount))
-        .when(unit.startswith("minuto"), now - F.make_interval(mins=amount))
-    )
+
+    def moment(folded: Column) -> Column:
+        amount = F.regexp_extract(folded, _AGO, 1).try_cast("int")
+        unit = F.regexp_extract(folded, _AGO, 2)
+        return (
+            F.when(folded.contains("agora") | folded.contains("hoje"), now)
+            .when(folded.contains("ontem"), now - F.make_interval(days=F.lit(1)))
+            .when(unit.startswith("hora"), now - F.make_interval(hours=amount))
+            .when(unit.startswith("dia"), now - F.make_interval(days=amount))
+            .when(unit.startswith("minuto"), now - F.make_interval(mins=amount))
+        )
+
+    return bind(fold_text(c), moment)
 
 
 def effective_date(explicit: Column, relative: Column, as_of) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vozmill import lexicon as lx
-from vozmill.functions.text import collapse_spaces, contains_all, count_hits, strip, text_or_blank
+from vozmill.functions.text import (
+    bind, collapse_spaces, contains_all, count_hits, strip, text_or_blank,
+)
 
 
 def json_block(reply: Column) -> Column:
@@ -47,25 +49,30 @@ def is_number(value: Column) -> Column:
 
 def pick_nonblank(payload: Column, keys: list[str], default: str) -> Column:
     """M3: first value that is not empty, zero, false or null; trimmed; else the default."""
-    options = []
-    for key in keys:
-        value = F.try_variant_get(payload, f"$.{key}", "variant")
+
+    def filled(value: Column) -> Column:
         text = as_text(value)
         empty = (
-            F.coalesce(kind_of(value), F.lit("VOID")).isin("VOID")
+            (F.coalesce(kind_of(value), F.lit("VOID")) == "VOID")
             | text.isin("", "[]", "{}")
             | ((kind_of(value) == "BOOLEAN") & (text == "False"))
             | (is_number(value) & (F.try_variant_get(value, "$", "double") == 0))
         )
-        options.append(F.when(~empty, text))
-    text = strip(F.coalesce(*options, F.lit(default)))
-    return F.when(text == "", F.lit(default)).otherwise(text)
+        return F.when(~empty, text)
+
+    options = [bind(F.try_variant_get(payload, f"$.{k}", "variant"), filled) for k in keys]
+    return bind(
+        strip(F.coalesce(*options, F.lit(default))),
+        lambda text: F.when(text == "", F.lit(default)).otherwise(text),
+    )
 
 
 def pick_enum(payload: Column, keys: list[str], allowed: list[str], default: str) -> Column:
     """M4: lower-case trimmed label, the default when it is not allowed."""
-    label = F.lower(strip(as_text(pick(payload, keys))))
-    return F.when(label.isin(allowed), label).otherwise(F.lit(default))
+    return bind(
+        F.lower(strip(bind(pick(payload, keys), as_text))),
+        lambda label: F.when(label.isin(allowed), label).otherwise(F.lit(default)),
+    )
 
 
 def whole_number(value: Column, default: int) -> Column:
@@ -74,6 +81,10 @@ def whole_number(value: Column, default: int) -> Column:
     Numbers are cut to whole, true is 1, text must be a whole number; anything
     else gives the default. Numbers beyond bigint keep their sign at its limit.
     """
+    return bind(value, lambda bound: _whole(bound, default))
+
+
+def _whole(value: Column, default: int) -> Column:
     kind = kind_of(value)
     text = strip(F.try_variant_get(value, "$", "string"))
     big = F.try_variant_get(value, "$", "double")
@@ -96,6 +107,10 @@ def whole_number(value: Column, default: int) -> Column:
 
 def real_number(value: Column, default: float) -> Column:
     """M5: double of a JSON number, boolean or numeric text, else the default."""
+    return bind(value, lambda bound: _real(bound, default))
+
+
+def _real(value: Column, default: float) -> Column:
     kind = kind_of(value)
     text = strip(F.try_variant_get(value, "$", "string"))
     from_text = F.when(~text.rlike("[0-9.][dDfF]$"), text.try_cast("double"))
@@ -112,7 +127,7 @@ def clamp(c: Column, low, high) -> Column:
 
 def reply_urgency(value: Column, raw_priority: Column) -> Column:
     """M6: own urgency if given; blank or absent is derived from the unclamped priority."""
-    given = F.coalesce(F.lower(strip(as_text(value))), F.lit(""))
+    given = F.coalesce(F.lower(strip(bind(value, as_text))), F.lit(""))
     derived = (
         F.when(raw_priority >= 5, F.lit("critica"))
         .when(raw_priority >= 4, F.lit("alta"))
@@ -124,40 +139,48 @@ def reply_urgency(value: Column, raw_priority: Column) -> Column:
 
 def reply_flag(value: Column) -> Column:
     """Escalation flag: boolean, non-zero number or one of the true words; absent is false."""
-    kind = kind_of(value)
-    return F.coalesce(
-        F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-        .when(is_number(value), F.try_variant_get(value, "$", "double") != 0)
-        .otherwise(F.lower(strip(as_text(value))).isin(lx.TRUE_WORDS)),
-        F.lit(False),
-    )
+
+    def flag(bound: Column) -> Column:
+        return (
+            F.when(kind_of(bound) == "BOOLEAN", F.try_variant_get(bound, "$", "boolean"))
+            .when(is_number(bound), F.try_variant_get(bound, "$", "double") != 0)
+            .otherwise(F.lower(strip(as_text(bound))).isin(lx.TRUE_WORDS))
+        )
+
+    return F.coalesce(bind(value, flag), F.lit(False))
 
 
 def is_generic(c: Column) -> Column:
     """M7: short, or made of generic phrases without anything specific."""
-    text = collapse_spaces(F.lower(text_or_blank(c)))
-    return (F.length(text) < lx.GENERIC_MIN_LENGTH) | (
-        (count_hits(text, lx.GENERIC_MARKERS) >= 2) & (count_hits(text, lx.SPECIFIC_MARKERS) == 0)
+    return bind(
+        collapse_spaces(F.lower(text_or_blank(c))),
+        lambda text: (F.length(text) < lx.GENERIC_MIN_LENGTH)
+        | (
+            (count_hits(text, lx.GENERIC_MARKERS) >= 2)
+            & (count_hits(text, lx.SPECIFIC_MARKERS) == 0)
+        ),
     )
 
 
 def looks_customer_facing(c: Column) -> Column:
     """M8: opens like a letter to the customer and lacks the internal labels."""
-    text = F.lower(strip(c))
-    opens = text.rlike("^(?:" + "|".join(lx.DIRECT_OPENERS) + ")")
-    return opens & ~contains_all(text, lx.INTERNAL_LABELS)
+    openers = "^(?:" + "|".join(lx.DIRECT_OPENERS) + ")"
+    return bind(
+        F.lower(strip(c)),
+        lambda text: text.rlike(openers) & ~contains_all(text, lx.INTERNAL_LABELS),
+    )
 
 
 def has_guide_shape(c: Column) -> Column:
-    return contains_all(F.lower(text_or_blank(c)), lx.GUIDE_LABELS)
+    return bind(F.lower(text_or_blank(c)), lambda text: contains_all(text, lx.GUIDE_LABELS))
 
 
 def ensure_guide(response: Column, default_guide: Column, wrapped: Column) -> Column:
     """M9: keep a guide, replace blank, generic or customer-facing text, wrap the rest."""
-    text = strip(response)
-    return (
-        F.when(text == "", default_guide)
+    return bind(
+        strip(response),
+        lambda text: F.when(text == "", default_guide)
         .when(has_guide_shape(text), text)
         .when(looks_customer_facing(text) | is_generic(text), default_guide)
-        .otherwise(wrapped)
+        .otherwise(wrapped),
     )

@@ -7,7 +7,6 @@ other rule reads only those, so the long text is searched once per keyword.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,11 +44,11 @@ def theme(hits=None) -> Column:
     """Theme with most hits, ties by declared order, "outros" without hits."""
     themes = list(lx.THEME_KEYWORDS)
     hits = hits or [F.col(f"_hits_{i}") for i in range(len(themes))]
-    best = F.greatest(*hits)
-    chain = F.when(best == 0, F.lit(lx.OTHER_THEME))
-    for name, hit in zip(themes, hits):
-        chain = chain.when(hit == best, F.lit(name))
-    return chain
+    # Ranks fall along the declared order; "outros" is best only when all counts are 0.
+    options = [F.struct(F.lit(0).alias("n"), F.lit(1).alias("rank"), F.lit(lx.OTHER_THEME).alias("name"))]
+    for i, (name, hit) in enumerate(zip(themes, hits)):
+        options.append(F.struct(hit.alias("n"), F.lit(-i).alias("rank"), F.lit(name).alias("name")))
+    return F.array_max(F.array(*options))["name"]
 
 
 def sentiment(negative=None, positive=None) -> Column:
@@ -178,7 +177,3 @@ def response_guide(
             strip(given)
         )
     return fill(lx.GUIDE_TEXT[wording], **values)
-
-
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -46,6 +46,15 @@ def _fold_tables() -> tuple[str, str]:
     return "".join(source + marks), "".join(target)
 
 
+def bind(value: Column, make) -> Column:
+    """``make(value)`` with the value computed once, however often ``make`` uses it.
+
+    Without the binding an expression is repeated at every use, and nested uses
+    multiply when Catalyst moves a filter below the projections it refers to.
+    """
+    return F.transform(F.array(value), lambda bound: make(bound)).getItem(0)
+
+
 def text_or_blank(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -62,10 +71,12 @@ def collapse_spaces(c: Column) -> Column:
 
 def fold_accents(c: Column) -> Column:
     """Lower case without accents. Plain ASCII text skips the translation."""
-    lowered = F.lower(text_or_blank(c))
     source, target = _fold_tables()
-    return F.when(lowered.rlike(r"[^\x00-\x7f]"), F.translate(lowered, source, target)).otherwise(
-        lowered
+    return bind(
+        F.lower(text_or_blank(c)),
+        lambda low: F.when(
+            low.rlike(r"[^\x00-\x7f]"), F.translate(low, source, target)
+        ).otherwise(low),
     )
 
 
@@ -89,7 +100,7 @@ def count_hits(c: Column, words) -> Column:
 
 def is_boilerplate(c: Column, hints=lx.BOILERPLATE_HINTS) -> Column:
     """Any hint occurs in the folded text."""
-    return contains_any(fold_text(c), hints)
+    return bind(fold_text(c), lambda folded: contains_any(folded, hints))
 
 
 def site_suffix_pattern(brand: str, site: str) -> str:
@@ -118,15 +129,17 @@ def strip_boilerplate(
     cut = collapse_spaces(
         F.regexp_replace(collapse_spaces(c), "(?iu)" + site_suffix_pattern(brand, site), "")
     )
-    return F.when(is_boilerplate(cut, hints), F.lit("")).otherwise(cut)
+    return bind(cut, lambda t: F.when(is_boilerplate(t, hints), F.lit("")).otherwise(t))
 
 
 def sample_text(c: Column, limit: int = 150) -> Column:
     """T5: collapse, then cut to ``limit`` characters ending in '...'."""
-    flat = collapse_spaces(c)
-    return F.when(
-        F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 3), F.lit("..."))
-    ).otherwise(flat)
+    return bind(
+        collapse_spaces(c),
+        lambda flat: F.when(
+            F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 3), F.lit("..."))
+        ).otherwise(flat),
+    )
 
 
 def cut_text(c: Column, limit: int = 140) -> Column:
@@ -136,11 +149,11 @@ def cut_text(c: Column, limit: int = 140) -> Column:
 
 def status_class(c: Column) -> Column:
     """Resolved / unresolved / unknown; unresolved hints are tested first."""
-    folded = fold_text(c)
-    return (
-        F.when(contains_any(folded, lx.UNRESOLVED_HINTS), F.lit(lx.STATUS_UNRESOLVED))
+    return bind(
+        fold_text(c),
+        lambda folded: F.when(contains_any(folded, lx.UNRESOLVED_HINTS), F.lit(lx.STATUS_UNRESOLVED))
         .when(contains_any(folded, lx.RESOLVED_HINTS), F.lit(lx.STATUS_RESOLVED))
-        .otherwise(F.lit(lx.STATUS_UNKNOWN))
+        .otherwise(F.lit(lx.STATUS_UNKNOWN)),
     )
 
 
@@ -149,28 +162,40 @@ def case_reference(c: Column) -> Column:
 
     The long text is searched once; label and code are taken from the short match.
     """
-    found = F.regexp_extract(text_or_blank(c), "(?iU)" + lx.REFERENCE_PATTERN, 0)
-    label = F.lower(F.regexp_extract(found, "(?iU)" + lx.REFERENCE_PATTERN, 1))
-    code = F.trim(F.regexp_extract(found, "(?iU)" + lx.REFERENCE_PATTERN, 2), F.lit(".,;:)"))
-    shown = F.when(label == "id", F.lit("ID")).otherwise(label)
-    return F.when(code.rlike("[0-9*]"), F.concat_ws(" ", shown, code)).otherwise(
-        F.lit(lx.REFERENCE_PLACEHOLDER)
-    )
+    pattern = "(?iU)" + lx.REFERENCE_PATTERN
+
+    def shown(found: Column) -> Column:
+        label = F.regexp_replace(F.lower(F.regexp_extract(found, pattern, 1)), "^id$", "ID")
+        code = F.trim(F.regexp_extract(found, pattern, 2), F.lit(".,;:)"))
+        return bind(
+            code,
+            lambda bare: F.when(bare.rlike("[0-9*]"), F.concat_ws(" ", label, bare)).otherwise(
+                F.lit(lx.REFERENCE_PLACEHOLDER)
+            ),
+        )
+
+    return bind(F.regexp_extract(text_or_blank(c), pattern, 0), shown)
 
 
 def clean_author(c: Column) -> Column:
     """Blank for generic names."""
-    name = strip(c)
-    lowered = F.lower(name)
-    generic = lowered.isin(lx.GENERIC_AUTHORS) | lowered.startswith(lx.GENERIC_AUTHOR_PREFIX)
-    return F.when(generic, F.lit("")).otherwise(name)
+
+    def named(name: Column) -> Column:
+        low = F.lower(name)
+        generic = low.isin(lx.GENERIC_AUTHORS) | low.startswith(lx.GENERIC_AUTHOR_PREFIX)
+        return F.when(generic, F.lit("")).otherwise(name)
+
+    return bind(strip(c), named)
 
 
 def infer_category(c: Column, hints=lx.REVIEW_NEGATIVE_HINTS) -> Column:
     """Complaint when any negative hint occurs, else praise."""
-    return F.when(
-        contains_any(F.lower(text_or_blank(c)), hints), F.lit(lx.CATEGORY_COMPLAINT)
-    ).otherwise(F.lit(lx.CATEGORY_PRAISE))
+    return bind(
+        F.lower(text_or_blank(c)),
+        lambda low: F.when(contains_any(low, hints), F.lit(lx.CATEGORY_COMPLAINT)).otherwise(
+            F.lit(lx.CATEGORY_PRAISE)
+        ),
+    )
 
 
 def clean_review(c: Column) -> Column:
@@ -181,8 +206,9 @@ def clean_review(c: Column) -> Column:
 
 def mojibake_hits(c: Column) -> Column:
     """Occurrences of the marker letters of wrongly decoded UTF-8."""
-    text = text_or_blank(c)
-    return F.length(text) - F.length(F.translate(text, lx.MOJIBAKE_LETTERS, ""))
+    return bind(
+        text_or_blank(c), lambda t: F.length(t) - F.length(F.translate(t, lx.MOJIBAKE_LETTERS, ""))
+    )
 
 
 def looks_garbled(c: Column) -> Column:
@@ -191,5 +217,7 @@ def looks_garbled(c: Column) -> Column:
 
 def looks_like_complaint(c: Column, hints=lx.BOILERPLATE_HINTS, min_length: int = 40) -> Column:
     """long enough and no boilerplate."""
-    flat = collapse_spaces(c)
-    return (F.length(flat) >= min_length) & ~is_boilerplate(flat, hints)
+    return bind(
+        collapse_spaces(c),
+        lambda flat: (F.length(flat) >= min_length) & ~is_boilerplate(flat, hints),
+    )

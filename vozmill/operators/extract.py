@@ -19,7 +19,7 @@ from vozmill import lexicon as lx
 from vozmill.functions import dates
 from vozmill.functions.ids import bare_url, short_hash
 from vozmill.functions.text import (
-    collapse_spaces, fold_text, is_boilerplate, looks_garbled, looks_like_complaint,
+    bind, collapse_spaces, fold_text, is_boilerplate, looks_garbled, looks_like_complaint,
     status_class, strip_boilerplate, text_or_blank,
 )
 from vozmill.operators import filters
@@ -287,13 +287,15 @@ def page_texts(parsed: DataFrame) -> DataFrame:
     ).drop("json_candidates", "block_candidates", "ld_candidates")
 
 
+def own_text(default: Column | None = None) -> Column:
+    """Embedded JSON, then block, then linked data; blank or the default when all are blank."""
+    kinds = [F.nullif(_C(c), F.lit("")) for c in ("json_text", "block_text", "ld_text")]
+    return F.coalesce(*kinds, F.lit("") if default is None else text_or_blank(default))
+
+
 def text_cascade(snippet: Column, brand: str = "Empresa", site: str = "Portal do Consumidor") -> Column:
-    """Embedded JSON, then block, then linked data, then snippet; footers cut."""
-    chosen = F.coalesce(
-        *[F.nullif(_C(c), F.lit("")) for c in ("json_text", "block_text", "ld_text")],
-        text_or_blank(snippet),
-    )
-    return strip_boilerplate(chosen, brand, site)
+    """The own text of the page, else the snippet of its entry; footers cut."""
+    return strip_boilerplate(own_text(snippet), brand, site)
 
 
 def page_detail(
@@ -307,43 +309,44 @@ def page_detail(
     """
     parsed = parse_pages(pages, DETAIL_PARTS, base_url)
     # Only the head of the body text counts for date and status.
-    heads = parsed.withColumn("body", F.substring("body", 1, 2400))
-    texts = page_texts(heads).select(
-        _C("page_id").alias("_page"), "url", "heading", "og_title",
-        "body", "json_text", "block_text", "ld_text",
+    texts = page_texts(parsed.withColumn("body", F.substring("body", 1, 2400))).select(
+        _C("url").alias("source_url"),
+        _C("page_id").alias("_page"),
+        "body",
+        strip_boilerplate(_C("heading"), brand, site).alias("_h1"),
+        strip_boilerplate(_C("og_title"), brand, site).alias("_og"),
+        (own_text() != "").alias("_has_text"),
+        strip_boilerplate(own_text(), brand, site).alias("_page_text"),
     )
-    per_url = keep_one(texts, [_C("url")], [_C("_page").asc()])
-    joined = entries.join(
-        per_url.withColumn("_found", F.lit(True)).withColumnRenamed("url", "source_url"),
-        "source_url",
-        "left",
-    )
-    titled = joined.withColumns(
+    per_url = keep_one(texts, [_C("source_url")], [_C("_page").asc()]).withColumn("_found", F.lit(True))
+    own = entries.withColumns(
         {
-            "_h1": strip_boilerplate(_C("heading"), brand, site),
-            "_og": strip_boilerplate(_C("og_title"), brand, site),
             "_own": strip_boilerplate(_C("title"), brand, site),
-            "_description": text_cascade(_C("snippet"), brand, site),
+            "_snippet": strip_boilerplate(_C("snippet"), brand, site),
         }
-    ).withColumn(
-        "_title",
-        F.coalesce(
-            *[F.nullif(_C(c), F.lit("")) for c in ("_h1", "_og", "_own")], collapse_spaces(_C("title"))
-        ),
     )
-    context = titled.withColumn(
-        "_context", collapse_spaces(F.concat_ws(" ", "_title", "_description", "body"))
-    ).withColumn("_status", status_class(F.substring("_context", 1, 1800)))
-    short = F.length("_description") < 20
     found = _C("_found").isNotNull()
+    joined = own.join(per_url, "source_url", "left").withColumns(
+        {
+            "_title": F.coalesce(
+                *[F.nullif(_C(c), F.lit("")) for c in ("_h1", "_og", "_own")], collapse_spaces(_C("title"))
+            ),
+            "_description": F.when(_C("_has_text"), _C("_page_text")).otherwise(_C("_snippet")),
+        }
+    )
+    context = joined.withColumn(
+        "_context",
+        F.when(found, collapse_spaces(F.concat_ws(" ", "_title", "_description", "body"))).otherwise(""),
+    )
+    seen = status_class(F.substring("_context", 1, 1800))
     shown = {
         "title": F.when(found & (_C("_title") != ""), _C("_title")).otherwise(_C("title")),
         "description": F.when(~found, _C("snippet"))
-        .when(short, strip_boilerplate(_C("snippet"), brand, site))
+        .when(F.length("_description") < 20, _C("_snippet"))
         .otherwise(_C("_description")),
-        "date_str": F.when(found, dates.extract_date(_C("_context"))).otherwise(F.lit("")),
-        "status": F.when(found & (_C("_status") != lx.STATUS_UNKNOWN), _C("_status")).otherwise(
-            _C("status")
+        "date_str": dates.extract_date(_C("_context")),
+        "status": bind(
+            seen, lambda s: F.when(s == lx.STATUS_UNKNOWN, _C("status")).otherwise(s)
         ),
     }
     return context.select(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vozmill import lexicon as lx
 from vozmill.functions.ids import review_id
-from vozmill.functions.text import clean_review, collapse_spaces, infer_category, text_or_blank
+from vozmill.functions.text import bind, clean_review, collapse_spaces, infer_category, text_or_blank
 from vozmill.operators.dedupe import dedupe_id
 
 _C = F.col
@@ -46,6 +46,16 @@ def _dated(lines: Column) -> Column:
     return F.concat(marks, F.array(F.size(lines) + 1))
 
 
+def _reviews(pages: DataFrame, text: str, keep) -> DataFrame:
+    """One row per date line with its author, segment and cleaned segment."""
+    split = pages.select("page_id", *keep, lines_of(_C(text)).alias("_lines"))
+    marked = split.withColumn("_marks", _dated(_C("_lines")))
+    opened = F.transform(
+        F.slice("_marks", F.lit(1), F.size("_marks") - 1), lambda at, i: _review(at, i)
+    )
+    return marked.withColumn("_reviews", opened).select("page_id", *keep, F.inline("_reviews"))
+
+
 def review_segments(pages: DataFrame, text: str = "text", keep=()) -> DataFrame:
     """One row per date line: page_id, line_no, feedback_date, author, segment.
 
@@ -53,13 +63,7 @@ def review_segments(pages: DataFrame, text: str = "text", keep=()) -> DataFrame:
     is the nearest of the seven lines before that is neither date nor stop line
     and has at most 80 characters.
     """
-    split = pages.select("page_id", *keep, lines_of(_C(text)).alias("_lines"))
-    marked = split.withColumn("_marks", _dated(_C("_lines")))
-    opened = F.transform(
-        F.slice("_marks", F.lit(1), F.size("_marks") - 1), lambda at, i: _review(at, i)
-    )
-    reviews = marked.withColumn("_reviews", opened).select("page_id", *keep, F.inline("_reviews"))
-    return reviews.select("page_id", *keep, "line_no", "feedback_date", "author", "segment")
+    return _reviews(pages, text, keep).drop("raw_text")
 
 
 def _review(at: Column, i: Column) -> Column:
@@ -70,11 +74,16 @@ def _review(at: Column, i: Column) -> Column:
     names = F.filter(
         before, lambda line: ~is_date_line(line) & ~is_stop_line(line) & (F.length(line) <= 80)
     )
-    return F.struct(
-        (at - 1).alias("line_no"),
-        F.element_at("_lines", at).alias("feedback_date"),
-        F.coalesce(F.get(names, F.lit(0)), F.lit(lx.ANONYMOUS)).alias("author"),
-        F.array_join(F.filter(body, lambda line: ~is_stop_line(line)), " ").alias("segment"),
+    segment = F.array_join(F.filter(body, lambda line: ~is_stop_line(line)), " ")
+    return bind(
+        segment,
+        lambda t: F.struct(
+            (at - 1).alias("line_no"),
+            F.element_at("_lines", at).alias("feedback_date"),
+            F.coalesce(F.get(names, F.lit(0)), F.lit(lx.ANONYMOUS)).alias("author"),
+            t.alias("segment"),
+            clean_review(t).alias("raw_text"),
+        ),
     )
 
 
@@ -83,10 +92,8 @@ def review_records(
     source: str = "reviews", channel: str = "review_site",
 ) -> DataFrame:
     """Feedback rows (without status) of review pages; the first of equal reviews is kept."""
-    segments = review_segments(pages, text, keep=[url]).withColumn(
-        "raw_text", clean_review(_C("segment"))
-    )
-    records = segments.where(F.length("raw_text") >= 15).select(
+    # The cleaned text comes out of the generator, so the length filter does not repeat its work.
+    records = _reviews(pages, text, [url]).where(F.length("raw_text") >= 15).select(
         review_id(_C("author"), _C("feedback_date"), _C("raw_text"), _C(url)).alias("feedback_id"),
         F.lit(source).alias("source"),
         _C(url).alias("source_url"),
