@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vozmill.sources.readers import spread
+
 AS_OF = "2024-12-31 00:00:00"
 BASE_URL = "https://site.example.com"
 PATH_REGEX = "^/loja/[^?#]+_[A-Za-z0-9-]+/?$"
@@ -21,6 +23,10 @@ def _replace_all(text: str, pattern: str, by: str, engine: str) -> str:
     return f"regexp_replace({text}, '{pattern}', '{by}'{flag})"
 
 
+# Text without the characters that JSON strings must escape.
+JSON_SAFE = "translate(text, concat('\"', chr(92), chr(10), chr(13), chr(9)), '     ')"
+
+
 def _cases(number: str, options: list[str]) -> str:
     last = len(options) - 1
     arms = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(options[:-1]))
@@ -141,7 +147,7 @@ def seed(engine: str) -> list[tuple[str, str]]:
 
 def replies(engine: str) -> list[tuple[str, str]]:
     """Raw model replies (base: documents); several per id, the last one counts."""
-    letters = _replace_all("text", "[^A-Za-z ]", " ", engine)
+    plain = JSON_SAFE
     options = _text(
         '{"sentimento":"negativo","tema_principal":"entrega","prioridade":5,"internal_recommendation":"rastrear pedido","confianca":1.7}',
         'antes {"sentiment_label":" Positivo ","primary_theme":"atendimento","priority":"4","score_sentimento":-3} depois',
@@ -160,8 +166,8 @@ def replies(engine: str) -> list[tuple[str, str]]:
     options += [
         "NULL",
         "concat('{\"sentimento\":\"negativo\",\"tema_principal\":\"atendimento\",\"prioridade\":3,\"suggested_response\":\"', "
-        + letters + ", '\"}')",
-        "concat('{\"sentimento\":\"neutro\",\"suggested_response\":\"Prezado cliente ', " + letters + ", '\"}')",
+        + plain + ", '\"}')",
+        "concat('{\"sentimento\":\"neutro\",\"suggested_response\":\"Prezado cliente ', " + plain + ", '\"}')",
         "''",
     ]
     return [
@@ -210,14 +216,14 @@ def review_pages(engine: str) -> list[tuple[str, str]]:
 
 def embedded(engine: str) -> list[tuple[str, str]]:
     """Embedded JSON of complaint pages (base: documents)."""
-    letters = _replace_all("text", "[^A-Za-z ]", " ", engine)
+    plain = JSON_SAFE
     return [
         ("page_id", "doc_id"),
         (
             "embedded_json",
-            f"concat('{{\"props\":{{\"complaint\":{{\"description\":\"', {letters}, '\",\"id\":\"', "
-            f"CAST(doc_id AS STRING), '\"}},\"list\":[\"', {letters}, ' fim\",7]}},\"footer\":\"termos de uso ', "
-            f"{letters}, '\"}}')",
+            f"concat('{{\"props\":{{\"complaint\":{{\"description\":\"', {plain}, '\",\"id\":\"', "
+            f"CAST(doc_id AS STRING), '\"}},\"list\":[\"', {plain}, ' fim\",7]}},\"footer\":\"termos de uso ', "
+            f"{plain}, '\"}}')",
         ),
     ]
 
@@ -272,13 +278,13 @@ _DETAIL_STATUS = _cases("doc_id % 4", _text("Status: Resolvido", "Status: penden
 
 def details(engine: str) -> list[tuple[str, str]]:
     """Complaint pages as HTML (base: documents): five kinds of pages."""
-    letters = _replace_all("text", "[^A-Za-z ]", " ", engine)
+    plain = JSON_SAFE
     safe = _safe(engine)
     date = f"concat('<p>', {_ddmmyyyy('doc_id')}, '</p>')"
     kinds = [
-        f"concat('<script id=\"__NEXT_DATA__\" type=\"application/json\">{{\"complaint\":{{\"text\":\"', {letters}, '\"}}}}</script>')",
+        f"concat('<script id=\"__NEXT_DATA__\" type=\"application/json\">{{\"complaint\":{{\"text\":\"', {plain}, '\"}}}}</script>')",
         f"concat('<div id=\"complaint-description\">', {safe}, '</div>')",
-        f"concat('<script type=\"application/ld+json\">{{\"@type\":\"Review\",\"reviewBody\":\"', {letters}, '\"}}</script>')",
+        f"concat('<script type=\"application/ld+json\">{{\"@type\":\"Review\",\"reviewBody\":\"', {plain}, '\"}}</script>')",
         "'<p>sem texto</p>'",
         f"concat('<div class=\"box complaint-description\"><b>', {safe}, '</b></div>')",
     ]
@@ -296,7 +302,7 @@ def details(engine: str) -> list[tuple[str, str]]:
 
 def detail_parts(engine: str) -> list[tuple[str, str]]:
     """The pieces of the complaint pages (base: documents)."""
-    letters = _replace_all("text", "[^A-Za-z ]", " ", engine)
+    plain = JSON_SAFE
     return [
         ("page_id", "doc_id"),
         ("url", "concat('https://site.example.com/loja/caso_', CAST(doc_id AS STRING))"),
@@ -305,7 +311,7 @@ def detail_parts(engine: str) -> list[tuple[str, str]]:
         ("status_text", _DETAIL_STATUS),
         ("date_text", f"CASE WHEN doc_id % 3 = 0 THEN {_ddmmyyyy('doc_id')} ELSE '' END"),
         ("kind", "doc_id % 5"),
-        ("letters", letters),
+        ("plain", plain),
         ("safe", _safe(engine)),
     ]
 
@@ -321,7 +327,8 @@ def raw_bytes(engine: str) -> list[tuple[str, str]]:
 
 def load(spark: SparkSession, sf_dir: str, make, table: str = "documents") -> DataFrame:
     """An input as a DataFrame."""
-    base = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    base = spread(scan, "page_id" if table == "pages" else "doc_id")
     return base.selectExpr(*[f"{expr} AS {name}" for name, expr in make("spark")])
 
 

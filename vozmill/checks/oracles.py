@@ -924,15 +924,14 @@ ORACLES["merge_entries"] = chain(*ENTRIES, body="SELECT * FROM merged_entries")
 ORACLES["merge_entries_first"] = chain(
     *ENTRIES, body="SELECT * FROM merged_entries ORDER BY page_id, pos LIMIT 50"
 )
-_LETTERS = "regexp_replace(text, '[^A-Za-z ]', ' ', 'g')"
 # Path hints: "props.complaint.description" holds two; the other paths hold none.
 JSON_CANDIDATES = [
     (
         "strings",
-        f"SELECT doc_id AS page_id, CAST(0 AS INT) AS pos, {collapse(_LETTERS)} AS text, 2 AS hints FROM documents UNION ALL "
+        f"SELECT doc_id AS page_id, CAST(0 AS INT) AS pos, {collapse(inputs.JSON_SAFE)} AS text, 2 AS hints FROM documents UNION ALL "
         "SELECT doc_id, 1, CAST(doc_id AS VARCHAR), 1 FROM documents UNION ALL "
-        f"SELECT doc_id, 2, {collapse(_LETTERS + chr(32) + chr(124) * 2 + lit(' fim'))}, 0 FROM documents UNION ALL "
-        f"SELECT doc_id, 3, {collapse(lit('termos de uso ') + chr(32) + chr(124) * 2 + chr(32) + _LETTERS)}, 0 FROM documents",
+        f"SELECT doc_id, 2, {collapse(inputs.JSON_SAFE + chr(32) + chr(124) * 2 + lit(' fim'))}, 0 FROM documents UNION ALL "
+        f"SELECT doc_id, 3, {collapse(lit('termos de uso ') + chr(32) + chr(124) * 2 + chr(32) + inputs.JSON_SAFE)}, 0 FROM documents",
     ),
     (
         "candidates",
@@ -956,7 +955,7 @@ DETAILS = [
     ("dp", sql(inputs.detail_parts)),
     (
         "dt",
-        f"SELECT *, CASE WHEN kind IN (0, 2) THEN {collapse('letters')} WHEN kind IN (1, 4) THEN {collapse('safe')} ELSE '' END AS marked FROM dp",
+        f"SELECT *, CASE WHEN kind IN (0, 2) THEN {collapse('plain')} WHEN kind IN (1, 4) THEN {collapse('safe')} ELSE '' END AS marked FROM dp",
     ),
     ("dx", f"SELECT *, CASE WHEN {_fitting('marked')} THEN marked ELSE '' END AS found FROM dt"),
 ]

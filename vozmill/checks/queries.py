@@ -19,6 +19,7 @@ from vozmill.operators import (
 from vozmill.plans.batch import AUTO_OR_MANUAL, collect
 from vozmill.plans.normalize import normalize_feedback
 from vozmill.schemas import FEEDBACK_COLUMNS
+from vozmill.session import prepare
 from vozmill.sources import readers
 
 _C = F.col
@@ -26,17 +27,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def _session(spark: SparkSession) -> None:
-    """Dates and timestamps are compared in UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-
 def query(function: Query) -> Query:
     """Register a function under its name."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        _session(spark)
-        return function(spark, sf_dir)
+        return function(prepare(spark), sf_dir)
 
     QUERIES[function.__name__] = run
     return function
@@ -457,7 +452,7 @@ def source_prefix(spark, d):
 @query
 def multi_filter(spark, d):
     chosen = filters.multi_filter(
-        labelled(spark, d),
+        stored(spark, labelled(spark, d).select("row_ord", "source", "sentiment_label", "primary_theme")),
         sources=["Site (coleta automatica)", "reviews"],
         sentiments=["Negativo", "Neutro"],
         themes=["Entrega e prazo", "Atendimento", "Outros"],
@@ -467,7 +462,7 @@ def multi_filter(spark, d):
 
 @query
 def high_priority(spark, d):
-    return filters.high_priority(labelled(spark, d)).select("row_ord", "priority")
+    return filters.high_priority(stored(spark, labelled(spark, d).select("row_ord", "priority")))
 
 
 @query
@@ -701,7 +696,7 @@ def link_entries(spark, d):
 @query
 def link_entries_pages(spark, d):
     """The same job on the given web pages: menu links with a long enough title."""
-    pages = readers.scan_pages(spark, f"{d}/pages.parquet")
+    pages = readers.spread(readers.scan_pages(spark, f"{d}/pages.parquet"), "page_id")
     entries = extract.link_entries(pages, "^/.+$", BASE_URL)
     return entries.select("page_id", "source_url", "title", "snippet", "status")
 
@@ -709,7 +704,7 @@ def link_entries_pages(spark, d):
 @query
 def page_headings(spark, d):
     """First heading of the given web pages, as the page detail reads it."""
-    pages = readers.scan_pages(spark, f"{d}/pages.parquet")
+    pages = readers.spread(readers.scan_pages(spark, f"{d}/pages.parquet"), "page_id")
     return extract.parse_pages(pages, ["heading"], BASE_URL).select(
         "page_id", text.collapse_spaces(_C("heading")).alias("heading")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vozmill import lexicon as lx
 from vozmill.functions.text import (
-    case_reference, clean_author, contains_any, count_hits, strip,
+    case_match, clean_author, contains_any, count_hits, reference_from, strip,
 )
 
 
@@ -28,7 +28,7 @@ def flags(text: Column, lowered: Column) -> dict[str, Column]:
 
 
 def case_flags(text: Column, lowered: Column) -> dict[str, Column]:
-    """Flags for issue summary and next step, and the case reference."""
+    """Flags for issue summary and next step, and the place that names the case."""
     exchange = lowered.contains("troca")
     return {
         "_coupon": lowered.contains("cupom"),
@@ -36,10 +36,15 @@ def case_flags(text: Column, lowered: Column) -> dict[str, Column]:
         "_refund": contains_any(lowered, ["reembolso", "estorno"]),
         "_refused": exchange & lowered.contains("recus"),
         "_exchange": exchange | contains_any(lowered, ["devolu", "cancel", "arrependimento"]),
-        "_reference": case_reference(text),
+        "_case": case_match(text),
     }
 
 
+def reference() -> Column:
+    """T19 from the match kept by :func:`case_flags`."""
+    return reference_from(F.col("_case"))
+
+
 def theme(hits=None) -> Column:
     """Theme with most hits, ties by declared order, "outros" without hits."""
     themes = list(lx.THEME_KEYWORDS)

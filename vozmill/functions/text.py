@@ -157,24 +157,29 @@ def status_class(c: Column) -> Column:
     )
 
 
-def case_reference(c: Column) -> Column:
-    """T19: "protocolo 12345"-like reference, or the placeholder.
+_REFERENCE = "(?iU)" + lx.REFERENCE_PATTERN
 
-    The long text is searched once; label and code are taken from the short match.
-    """
-    pattern = "(?iU)" + lx.REFERENCE_PATTERN
-
-    def shown(found: Column) -> Column:
-        label = F.regexp_replace(F.lower(F.regexp_extract(found, pattern, 1)), "^id$", "ID")
-        code = F.trim(F.regexp_extract(found, pattern, 2), F.lit(".,;:)"))
-        return bind(
-            code,
-            lambda bare: F.when(bare.rlike("[0-9*]"), F.concat_ws(" ", label, bare)).otherwise(
-                F.lit(lx.REFERENCE_PLACEHOLDER)
-            ),
-        )
 
-    return bind(F.regexp_extract(text_or_blank(c), pattern, 0), shown)
+def case_match(c: Column) -> Column:
+    """First "protocolo 12345"-like place of a long text, blank when none."""
+    return F.regexp_extract(text_or_blank(c), _REFERENCE, 0)
+
+
+def reference_from(found: Column) -> Column:
+    """Reference shown for a match of :func:`case_match`, or the placeholder."""
+    label = F.regexp_replace(F.lower(F.regexp_extract(found, _REFERENCE, 1)), "^id$", "ID")
+    code = F.trim(F.regexp_extract(found, _REFERENCE, 2), F.lit(".,;:)"))
+    return bind(
+        code,
+        lambda bare: F.when(bare.rlike("[0-9*]"), F.concat_ws(" ", label, bare)).otherwise(
+            F.lit(lx.REFERENCE_PLACEHOLDER)
+        ),
+    )
+
+
+def case_reference(c: Column) -> Column:
+    """Case reference of a text; the text itself is searched once."""
+    return bind(case_match(c), reference_from)
 
 
 def clean_author(c: Column) -> Column:

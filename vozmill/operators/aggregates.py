@@ -115,11 +115,16 @@ def kpis(df: DataFrame) -> DataFrame:
 
 
 def theme_priority_cross(df: DataFrame, pivot: bool = False) -> DataFrame:
-    """Counts per theme and priority above 0; optionally one column per priority."""
-    rated = df.where(_C("priority") > 0)
+    """Counts per theme and priority above 0; optionally one column per priority.
+
+    The condition is tested on the counts: a filter on the rows would be moved
+    below the rules and compute them a second time.
+    """
+    counts = df.groupBy("primary_theme", "priority").agg(_count_of(_C("priority") > 0).alias("n"))
+    rated = counts.where(_C("n") > 0)
     if pivot:
-        return rated.groupBy("primary_theme").pivot("priority", [1, 2, 3, 4, 5]).agg(F.count(F.lit(1)))
-    return rated.groupBy("primary_theme", "priority").agg(F.count(F.lit(1)).alias("n"))
+        return rated.groupBy("primary_theme").pivot("priority", [1, 2, 3, 4, 5]).agg(F.sum("n"))
+    return rated
 
 
 def theme_order(df: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ def classify_labels(df: DataFrame, text: str = "raw_text", accents: bool = False
             "sentiment_label": rules.sentiment(),
             "sentiment_score": rules.sentiment_score(),
             "primary_theme": rules.theme(),
+            "_reference": rules.reference(),
         }
     )
     urgent = labelled.withColumn("urgency", rules.urgency(_C("_urgent"), _C("sentiment_label")))
@@ -154,6 +155,7 @@ def validate_reply(
     lowered = labels.withColumn("_lower", F.lower(text_or_blank(_C(text))))
     named = lowered.withColumns(rules.case_flags(_C(text), _C("_lower"))).withColumns(
         {
+            "_reference": rules.reference(),
             "sentiment_label": _C("m_sentiment"),
             "sentiment_score": _C("m_score"),
             "primary_theme": _C("m_theme"),
@@ -213,6 +215,7 @@ def enrich(
             "sentiment_label": either(_C("m_sentiment"), rules.sentiment()),
             "sentiment_score": either(_C("m_score"), rules.sentiment_score()),
             "primary_theme": either(_C("m_theme"), rules.theme()),
+            "_reference": rules.reference(),
         }
     )
     staged = staged.withColumn(

@@ -117,7 +117,8 @@ def raw_entries(
     parsed: DataFrame, path_regex: str, brand: str = "Empresa", site: str = "Portal do Consumidor"
 ) -> DataFrame:
     """E1 before its per-page choice: one row per fitting anchor, in (page_id, pos) order."""
-    anchors = parsed.select("page_id", F.explode("links").alias("_link")).select(
+    links = parsed.select("page_id", F.explode_outer("links").alias("_link"))
+    anchors = links.where(_C("_link").isNotNull()).select(
         "page_id",
         _C("_link.pos").alias("pos"),
         _C("_link.url").alias("source_url"),
@@ -266,7 +267,8 @@ def with_ld_candidates(df: DataFrame, column: str = "ld_json") -> DataFrame:
 
 def explode_candidates(df: DataFrame, column: str) -> DataFrame:
     """One row per candidate: page_id, pos, score, text."""
-    return df.select("page_id", F.explode(column).alias("_c")).select(
+    each = df.select("page_id", F.explode_outer(column).alias("_c")).where(_C("_c").isNotNull())
+    return each.select(
         "page_id", _C("_c.pos").alias("pos"), _C("_c.score").alias("score"), _C("_c.text").alias("text")
     )
 

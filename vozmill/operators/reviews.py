@@ -36,7 +36,9 @@ def is_stop_line(line: Column) -> Column:
 
 def page_lines(pages: DataFrame, text: str = "text") -> DataFrame:
     """Numbered lines of every page (page_id, line_no, line), from 0."""
-    return pages.select("page_id", F.posexplode(lines_of(_C(text))).alias("line_no", "line"))
+    # The outer form keeps Spark from testing the array for emptiness, which would split twice.
+    lines = pages.select("page_id", F.posexplode_outer(lines_of(_C(text))).alias("line_no", "line"))
+    return lines.where(_C("line").isNotNull())
 
 
 def _dated(lines: Column) -> Column:
@@ -53,7 +55,9 @@ def _reviews(pages: DataFrame, text: str, keep) -> DataFrame:
     opened = F.transform(
         F.slice("_marks", F.lit(1), F.size("_marks") - 1), lambda at, i: _review(at, i)
     )
-    return marked.withColumn("_reviews", opened).select("page_id", *keep, F.inline("_reviews"))
+    # The outer form keeps Spark from testing the array for emptiness, which would build it twice.
+    reviews = marked.withColumn("_reviews", opened).select("page_id", *keep, F.inline_outer("_reviews"))
+    return reviews.where(_C("line_no").isNotNull())
 
 
 def review_segments(pages: DataFrame, text: str = "text", keep=()) -> DataFrame:

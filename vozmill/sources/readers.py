@@ -127,6 +127,16 @@ def read_review_seed(spark: SparkSession, path: str, default_url: str = "https:/
     return format_reviews(raw, default_url)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan of few, unsplittable pieces over the cores of the session.
+
+    Text and page work is heavy per row. A table of many row groups already has
+    more tasks than cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_pages(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
     """S3: stored pages (page_id, url, html) from Parquet, or raw files as (url, content)."""
     if file_format == "binaryFile":
