@@ -36,9 +36,13 @@ def extract_date(c: Column) -> Column:
 
 def extract_relative(c: Column) -> Column:
     """T11: "ha N unit", else ontem, hoje, agora, in that order; else blank."""
+    return bind(fold_text(c), relative_of_folded)
 
-    def found(folded: Column) -> Column:
-        ago = F.regexp_extract(folded, _AGO, 0)
+
+def relative_of_folded(folded: Column) -> Column:
+    """T11 for a folded text."""
+
+    def found(ago: Column) -> Column:
         return (
             F.when(ago != "", F.regexp_replace(ago, _AGO, "ha $1 $2"))
             .when(folded.contains("ontem"), F.lit("ontem"))
@@ -47,7 +51,7 @@ def extract_relative(c: Column) -> Column:
             .otherwise(F.lit(""))
         )
 
-    return bind(fold_text(c), found)
+    return bind(F.regexp_extract(folded, _AGO, 0), found)
 
 
 def parse_relative(c: Column, as_of) -> Column:

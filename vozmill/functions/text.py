@@ -80,9 +80,21 @@ def fold_accents(c: Column) -> Column:
     )
 
 
+def fold_flat(flat: Column) -> Column:
+    """:func:`fold_text` for a text that is collapsed already: ASCII text is only lowered."""
+    source, target = _fold_tables()
+
+    def plain(low: Column) -> Column:
+        # Some signs decompose to a space, so spaces are single again only after this.
+        single = F.trim(F.regexp_replace(F.translate(low, source, target), " +", " "))
+        return F.when(low.rlike(r"[^\x00-\x7f]"), single).otherwise(low)
+
+    return bind(F.lower(flat), plain)
+
+
 def fold_text(c: Column) -> Column:
     """Lower case, no accents, single spaces."""
-    return collapse_spaces(fold_accents(c))
+    return fold_flat(collapse_spaces(c))
 
 
 def contains_any(c: Column, words) -> Column:
@@ -100,7 +112,12 @@ def count_hits(c: Column, words) -> Column:
 
 def is_boilerplate(c: Column, hints=lx.BOILERPLATE_HINTS) -> Column:
     """Any hint occurs in the folded text."""
-    return bind(fold_text(c), lambda folded: contains_any(folded, hints))
+    return is_boilerplate_flat(collapse_spaces(c), hints)
+
+
+def is_boilerplate_flat(flat: Column, hints=lx.BOILERPLATE_HINTS) -> Column:
+    """T3 for a text that is collapsed already."""
+    return bind(fold_flat(flat), lambda folded: contains_any(folded, hints))
 
 
 def site_suffix_pattern(brand: str, site: str) -> str:
@@ -114,7 +131,7 @@ def site_suffix_pattern(brand: str, site: str) -> str:
     brand_words = r"\s*".join(re.escape(w) for w in brand.split())
     return (
         rf"(?:\s*-\s*(?:{brand_words}\s*-\s*)?{site_words}"
-        r"|pesquise\s+reputa(?:cao|ção)\s+de\s+empresas\s+antes\s+de\s+comprar"
+        r"|pesquise\s+reputa(?:cao|[çÇ][ãÃ]o)\s+de\s+empresas\s+antes\s+de\s+comprar"
         r"|toda\s+empresa\s+tem\s+problema).*$"
     )
 
@@ -126,10 +143,8 @@ def strip_boilerplate(
     hints=lx.BOILERPLATE_HINTS,
 ) -> Column:
     """T4: cut footers and slogans to the end; blank when hints remain."""
-    cut = collapse_spaces(
-        F.regexp_replace(collapse_spaces(c), "(?iu)" + site_suffix_pattern(brand, site), "")
-    )
-    return bind(cut, lambda t: F.when(is_boilerplate(t, hints), F.lit("")).otherwise(t))
+    cut = F.trim(F.regexp_replace(collapse_spaces(c), "(?i)" + site_suffix_pattern(brand, site), ""))
+    return bind(cut, lambda t: F.when(is_boilerplate_flat(t, hints), F.lit("")).otherwise(t))
 
 
 def sample_text(c: Column, limit: int = 150) -> Column:
@@ -149,11 +164,15 @@ def cut_text(c: Column, limit: int = 140) -> Column:
 
 def status_class(c: Column) -> Column:
     """Resolved / unresolved / unknown; unresolved hints are tested first."""
-    return bind(
-        fold_text(c),
-        lambda folded: F.when(contains_any(folded, lx.UNRESOLVED_HINTS), F.lit(lx.STATUS_UNRESOLVED))
+    return bind(fold_text(c), status_of_folded)
+
+
+def status_of_folded(folded: Column) -> Column:
+    """T18 for a folded text."""
+    return (
+        F.when(contains_any(folded, lx.UNRESOLVED_HINTS), F.lit(lx.STATUS_UNRESOLVED))
         .when(contains_any(folded, lx.RESOLVED_HINTS), F.lit(lx.STATUS_RESOLVED))
-        .otherwise(F.lit(lx.STATUS_UNKNOWN)),
+        .otherwise(F.lit(lx.STATUS_UNKNOWN))
     )
 
 
@@ -224,5 +243,10 @@ def looks_like_complaint(c: Column, hints=lx.BOILERPLATE_HINTS, min_length: int
     """long enough and no boilerplate."""
     return bind(
         collapse_spaces(c),
-        lambda flat: (F.length(flat) >= min_length) & ~is_boilerplate(flat, hints),
+        lambda flat: is_complaint_flat(flat, hints, min_length),
     )
+
+
+def is_complaint_flat(flat: Column, hints=lx.BOILERPLATE_HINTS, min_length: int = 40) -> Column:
+    """F9 for a text that is collapsed already."""
+    return (F.length(flat) >= min_length) & ~is_boilerplate_flat(flat, hints)

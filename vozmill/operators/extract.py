@@ -19,8 +19,8 @@ from vozmill import lexicon as lx
 from vozmill.functions import dates
 from vozmill.functions.ids import bare_url, short_hash
 from vozmill.functions.text import (
-    bind, collapse_spaces, fold_text, is_boilerplate, looks_garbled, looks_like_complaint,
-    status_class, strip_boilerplate, text_or_blank,
+    bind, collapse_spaces, fold_flat, fold_text, is_boilerplate_flat, is_complaint_flat,
+    looks_garbled, status_class, status_of_folded, strip_boilerplate, text_or_blank,
 )
 from vozmill.operators import filters
 from vozmill.operators.dedupe import dedupe_id, keep_one
@@ -131,10 +131,11 @@ def raw_entries(
     blocks = titled.where(F.length("title") >= 10).withColumn(
         "_block", collapse_spaces(F.coalesce(_C("_raw_block"), _C("title")))
     )
-    entries = blocks.withColumns(
+    # The block is folded once for both readings.
+    entries = blocks.withColumn("_folded", fold_flat(_C("_block"))).withColumns(
         {
-            "status": status_class(_C("_block")),
-            "relative_text": dates.extract_relative(_C("_block")),
+            "status": status_of_folded(_C("_folded")),
+            "relative_text": dates.relative_of_folded(_C("_folded")),
             **_entry_columns(brand, site),
         }
     )
@@ -222,7 +223,7 @@ def _candidates(items: Column, score) -> Column:
     cleaned = F.transform(
         items, lambda x, i: F.struct(x.alias("item"), i.alias("pos"), collapse_spaces(x["text"]).alias("text"))
     )
-    fitting = F.filter(cleaned, lambda x: looks_like_complaint(x["text"]))
+    fitting = F.filter(cleaned, lambda x: is_complaint_flat(x["text"]))
     return F.transform(
         fitting,
         lambda x: F.struct(
@@ -371,7 +372,7 @@ def complaint_records(
     windowed = filters.time_window(detail, as_of, hours).withColumn(
         "raw_text", collapse_spaces(F.concat_ws(" ", "title", "description"))
     )
-    kept = windowed.where((F.length("raw_text") >= 20) & ~is_boilerplate(_C("raw_text")))
+    kept = windowed.where((F.length("raw_text") >= 20) & ~is_boilerplate_flat(_C("raw_text")))
     records = kept.select(
         short_hash(bare_url(_C("source_url"))).alias("feedback_id"),
         F.lit(source).alias("source"),
