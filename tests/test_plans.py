@@ -87,3 +87,38 @@ def test_no_cartesian_products(spark, stored):
     }.items():
         plan = plan_of(df)
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
+
+
+def test_a_hot_id_is_split_over_tasks_in_the_reply_join(spark):
+    """A third of the feedback shares one id; the join must split its partition."""
+    old = {}
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    for name, value in settings.items():
+        old[name] = spark.conf.get(name, None)
+        spark.conf.set(name, value)
+    try:
+        ident = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("i"), F.col("id")))
+        feedback = spark.range(0, 60_000, 1, 8).select(
+            ident.alias("feedback_id"), F.lit("Ana").alias("author"),
+            F.concat(F.lit("Atraso na entrega "), F.sha2(F.col("id").cast("string"), 512)).alias("raw_text"),
+        )
+        replies = spark.range(0, 20_000, 1, 8).select(
+            ident.alias("feedback_id"), F.lit('{"sentimento":"positivo"}').alias("reply"),
+            F.col("id").alias("reply_seq"),
+        )
+        done = classify.enrich(feedback, replies)
+        assert done.groupBy("provider").count().count() == 2
+        rows = done.select("feedback_id", "provider", "raw_text")
+        assert len(rows.collect()) == 60_000
+        plan = plan_of(rows)
+        assert "skewed" in plan or "skew=true" in plan
+    finally:
+        for name, value in old.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

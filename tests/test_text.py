@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vozmill.functions import dates, ids, text
-from vozmill.functions.values import label_of, percent, title_label_of, to_bool, to_number, with_aliases
+from vozmill.functions.values import label_of, percent, resolve_column, title_label_of, to_bool, to_number, with_aliases
 
 AS_OF = "2024-12-31 00:00:00"
 
@@ -129,4 +129,6 @@ def test_values(spark, values):
     pct = spark.createDataFrame([(1, 3), (1, 8), (0, 0), (5, 5)], "p bigint, t bigint")
     assert [r[0] for r in pct.select(percent(F.col("p"), F.col("t"))).collect()] == [33.3, 12.5, 0.0, 100.0]
     aliased = with_aliases(spark.createDataFrame([("x", 2)], "primary_theme string, priority int"))
+    assert resolve_column(aliased, ["sentimento", "prioridade", "priority"]) == "prioridade"
+    assert resolve_column(aliased, ["x"], "y") == "y"
     assert aliased.columns == ["primary_theme", "priority", "tema_principal", "prioridade"]

@@ -587,8 +587,9 @@ def merge_key() -> str:
 
 
 _BAD = f"(trim(source) = 'site_auto' AND {boilerplate('raw_text', lx.BOILERPLATE_HINTS_LOADER)})"
+_DAY_TEXT = f"coalesce(CAST({day('feedback_date')} AS VARCHAR), '')"
 _FILLED_ID = (
-    f"CASE WHEN trim(feedback_id) <> '' THEN feedback_id ELSE {short_hash('source', 'feedback_date', 'raw_text')} END"
+    f"CASE WHEN trim(feedback_id) <> '' THEN feedback_id ELSE {short_hash('source', _DAY_TEXT, strip('raw_text'))} END"
 )
 FILLED = [
     ("f", sql(inputs.feedback)),
@@ -672,7 +673,6 @@ ORACLES["sample_text"] = _raw(
     f"SELECT row_ord, {sample('raw_text', 150)} AS sample_150, {sample('raw_text', 240)} AS sample_240, "
     f"substr({collapse('raw_text')}, 1, 140) AS cut_140 FROM f"
 )
-_DAY_TEXT = f"coalesce(CAST({day('feedback_date')} AS VARCHAR), '')"
 ORACLES["stable_id"] = _raw(
     f"SELECT row_ord, CASE WHEN trim(feedback_id) <> '' THEN feedback_id ELSE {short_hash('source', _DAY_TEXT, 'raw_text')} END AS feedback_id FROM f"
 )
@@ -1040,6 +1040,22 @@ LINES = [
     ),
 ]
 ORACLES["page_lines"] = chain(*LINES, body="SELECT page_id, line_no, line FROM page_lines")
+_UNTAGGED = "(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>"
+_ENTITIES = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&#x27;": "''", "&amp;": "&"}
+
+
+def _visible(x: str) -> str:
+    out = f"regexp_replace({x}, '{_UNTAGGED}', chr(10), 'g')"
+    for entity, char in _ENTITIES.items():
+        out = f"replace({out}, '{entity}', '{char}')"
+    return out
+
+
+ORACLES["page_lines_html"] = chain(
+    ("pieces", f"SELECT page_id, regexp_split_to_array({_visible('html')}, '{_LINE_END}') AS a FROM pages"),
+    ("numbered_lines", f"SELECT page_id, {collapse('unnest(a)')} AS line, unnest(range(len(a))) AS n FROM pieces"),
+    body="SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INT) AS line_no, line FROM numbered_lines WHERE line <> ''",
+)
 ORACLES["review_segments"] = chain(*LINES, body="SELECT page_id, line_no, feedback_date, segment FROM segments")
 ORACLES["review_author"] = chain(*LINES, body="SELECT page_id, line_no, author FROM segments")
 ORACLES["review_records"] = chain(

@@ -143,10 +143,7 @@ def empty_input(spark, d):
 
 def _sides(spark, d):
     """Stored and incoming batch with filled ids."""
-    filled = feedback(spark, d).withColumn(
-        "feedback_id",
-        ids.stable_id(_C("feedback_id"), _C("source"), _C("feedback_date"), _C("raw_text")),
-    )
+    filled = sets.fill_ids(feedback(spark, d))
     rows = sets.align_schema(filled, FEEDBACK_COLUMNS, keep=["batch_seq", "row_ord"])
     return rows.where(_C("batch_seq") == 0), rows.where(_C("batch_seq") == 1)
 
@@ -792,6 +789,13 @@ def page_lines(spark, d):
     return reviews.page_lines(_review_pages(spark, d))
 
 
+@query
+def page_lines_html(spark, d):
+    """Text lines of the given web pages."""
+    pages = readers.spread(readers.scan_pages(spark, f"{d}/pages.parquet"), "page_id")
+    return reviews.page_lines(extract.parse_pages(pages, ["lines"], BASE_URL), "lines")
+
+
 @query
 def review_segments(spark, d):
     return reviews.review_segments(_review_pages(spark, d)).drop("author")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vozmill import lexicon as lx
 from vozmill.functions.ids import merge_key
-from vozmill.functions.text import is_boilerplate, strip, text_or_blank
+from vozmill.functions.text import is_boilerplate, strip
 from vozmill.schemas import ORDER_COLUMNS
 
 
@@ -52,16 +52,14 @@ def dedupe_content(df: DataFrame, order_columns=ORDER_COLUMNS) -> DataFrame:
     return keep_one(keyed, keys, _ordering(order_columns, "first")).drop("_digest")
 
 
-def is_low_quality(auto_source: str = "site_auto") -> Column:
+def is_low_quality(source: Column, text: Column, auto_source: str = "site_auto") -> Column:
     """F4 predicate: boilerplate text from the automatic source."""
-    return (strip(F.col("source")) == auto_source) & is_boilerplate(
-        F.col("raw_text"), lx.BOILERPLATE_HINTS_LOADER
-    )
+    return (strip(source) == auto_source) & is_boilerplate(text, lx.BOILERPLATE_HINTS_LOADER)
 
 
 def drop_low_quality(df: DataFrame, auto_source: str = "site_auto") -> DataFrame:
     """F4"""
-    return df.where(~F.coalesce(is_low_quality(auto_source), F.lit(False)))
+    return df.where(~is_low_quality(F.col("source"), F.col("raw_text"), auto_source))
 
 
 def _merge_sides(stored: DataFrame, incoming: DataFrame, auto_source: str) -> DataFrame:
@@ -69,23 +67,26 @@ def _merge_sides(stored: DataFrame, incoming: DataFrame, auto_source: str) -> Da
 
     Each side keeps its last row per key and loses it when it is of low quality;
     across the sides the incoming row wins. Both steps need the same grouping,
-    so one aggregation with map-side combine does the work of three dedupes.
+    so one aggregation with map-side combine does the work of three dedupes, and
+    the quality of a text is tested only for the rows that are left.
     """
-    columns = stored.columns
     sides = _with_key(
         stored.withColumn("_new", F.lit(False)).unionByName(incoming.withColumn("_new", F.lit(True))),
         ["_new", *ORDER_COLUMNS],
-    ).withColumn("_bad", F.coalesce(is_low_quality(auto_source), F.lit(False)))
-    row = F.struct("_bad", *columns)
+    )
+    row = F.struct(*stored.columns)
     order = F.struct(*ORDER_COLUMNS)
     best = sides.groupBy("_key").agg(
         F.max_by(row, F.when(~F.col("_new"), order)).alias("_old_row"),
         F.max_by(row, F.when(F.col("_new"), order)).alias("_new_row"),
     )
-    return best.select(
-        F.when(~F.col("_old_row._bad"), F.col("_old_row")).alias("_old_row"),
-        F.when(~F.col("_new_row._bad"), F.col("_new_row")).alias("_new_row"),
-    )
+
+    def clean(side: str) -> Column:
+        row = F.col(side)
+        bad = is_low_quality(row["source"], row["raw_text"], auto_source)
+        return F.when(row.isNotNull() & ~bad, row).alias(side)
+
+    return best.select(clean("_old_row"), clean("_new_row"))
 
 
 def upsert_feedback(stored: DataFrame, incoming: DataFrame, auto_source: str = "site_auto") -> DataFrame:

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vozmill.functions.dates import parse_date
+from vozmill.functions.ids import stable_id
+from vozmill.functions.text import strip
 from vozmill.schemas import FEEDBACK_COLUMNS, FEEDBACK_SCHEMA, ORDER_COLUMNS
 
 
@@ -19,6 +22,12 @@ def align_schema(df: DataFrame, columns=FEEDBACK_COLUMNS, keep=()) -> DataFrame:
     return df.select(*aligned, *[c for c in keep if c in df.columns])
 
 
+def fill_ids(df: DataFrame) -> DataFrame:
+    """T6 ahead of a merge: blank ids get the id that normalization would give them."""
+    day, text = parse_date(F.col("feedback_date")), strip(F.col("raw_text"))
+    return df.withColumn("feedback_id", stable_id(F.col("feedback_id"), F.col("source"), day, text))
+
+
 def empty_feedback(spark: SparkSession, schema=FEEDBACK_SCHEMA) -> DataFrame:
     """Typed table without rows."""
     return spark.createDataFrame([], schema)

@@ -13,15 +13,14 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vozmill.operators.aggregates import source_breakdown
 from vozmill.operators.classify import classify_rules, enrich
 from vozmill.operators.report import report_lines
 from vozmill.operators.sets import empty_feedback, fallback_source, union_sources
 from vozmill.plans.normalize import normalize_feedback
-from vozmill.schemas import FEEDBACK_COLUMNS
 from vozmill.sources.writers import save_report, save_table, save_upsert
-from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
 
@@ -70,15 +69,19 @@ class RunResult:
 def run_batch(
     spark: SparkSession, auto: Callable[[], DataFrame], manual: Callable[[], DataFrame],
     out_dir: str, as_of, stored_path: str | None = None, replies: DataFrame | None = None,
-    mode: str = BOTH, brand: str = "Empresa",
+    mode: str = BOTH, brand: str = "Empresa", sort_output: bool = False,
 ) -> RunResult:
-    """P2 (mode "both") and P3 (the other modes): one full run into ``out_dir``."""
+    """P2 (mode "both") and P3 (the other modes): one full run into ``out_dir``.
+
+    ``sort_output`` writes the normalized table in its global order (L1), which
+    costs one more shuffle of the whole table; reports do not need it.
+    """
     fresh = collect(mode, try_source(spark, "auto", auto), try_source(spark, "manual", manual))
     merged_path = f"{out_dir}/merged"
     merged, added = save_upsert(spark, stored_path, fresh, merged_path)
 
     normalized_path = save_table(
-        normalize_feedback(merged, as_of, sort=True), f"{out_dir}/normalized"
+        normalize_feedback(merged, as_of, sort=sort_output), f"{out_dir}/normalized"
     )
     normalized = spark.read.parquet(normalized_path)
     analyzed_path = save_table(classify(normalized, replies, brand), f"{out_dir}/analyzed")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vozmill.operators.dedupe import upsert_feedback, upsert_into_clean
+from vozmill.operators.sets import fill_ids
 from vozmill.sources.readers import path_exists
 
 
@@ -29,6 +30,7 @@ def save_upsert(
     """
     if stored_path and stored_path.rstrip("/") == out_path.rstrip("/"):
         raise ValueError("The new snapshot needs a path of its own")
+    incoming = fill_ids(incoming)
     known = bool(stored_path) and path_exists(spark, stored_path)
     if known:
         stored = spark.read.parquet(stored_path)
