@@ -50,10 +50,12 @@ def test_link_entries(spark):
 def test_merge_keeps_the_first_page(spark):
     one = "<li><a href='/loja/caso_1'>Titulo da primeira pagina</a></li><li><a href='/loja/caso_2'>Titulo numero dois</a></li>"
     two = "<li><a href='/loja/caso_1'>Titulo da segunda pagina</a></li><li><a href='/loja/caso_3'>Titulo numero tres</a></li>"
-    entries = extract.raw_entries(extract.parse_pages(pages(spark, one, two), ["links"], BASE), PATH)
-    got = extract.merge_entries(entries, 2).collect()
-    assert [r.title for r in got] == ["Titulo da primeira pagina", "Titulo numero dois"]
-    assert extract.merge_entries(entries).count() == 3
+    stored = pages(spark, one, two)
+    got = extract.listing_entries(stored, PATH, BASE, 2).collect()
+    assert sorted(r.title for r in got) == ["Titulo da primeira pagina", "Titulo numero dois"]
+    per_page = extract.link_entries(stored, PATH, BASE)
+    assert per_page.count() == 4 and extract.merge_entries(per_page).count() == 3
+    assert extract.listing_entries(stored, PATH, BASE).count() == 3
 
 
 def walk(node, path=""):

@@ -707,20 +707,18 @@ def page_headings(spark, d):
     )
 
 
-def _entries(spark, d) -> DataFrame:
-    return extract.raw_entries(
-        extract.parse_pages(_listings(spark, d), ["links"], BASE_URL), PATH_REGEX
-    )
+def _entries(spark, d, limit=None) -> DataFrame:
+    return extract.listing_entries(_listings(spark, d), PATH_REGEX, BASE_URL, limit)
 
 
 @query
 def merge_entries(spark, d):
-    return extract.merge_entries(_entries(spark, d))
+    return _entries(spark, d)
 
 
 @query
 def merge_entries_first(spark, d):
-    return extract.merge_entries(_entries(spark, d), limit=50)
+    return _entries(spark, d, limit=50)
 
 
 def _json_candidates(spark, d) -> DataFrame:
@@ -767,15 +765,13 @@ def text_cascade(spark, d):
 
 @query
 def page_detail(spark, d):
-    return extract.page_detail(
-        extract.merge_entries(_entries(spark, d)), load(spark, d, inputs.details), BASE_URL
-    )
+    return extract.page_detail(_entries(spark, d), load(spark, d, inputs.details), BASE_URL)
 
 
 @query
 def complaint_records(spark, d):
     return extract.complaint_records(
-        extract.merge_entries(_entries(spark, d)), load(spark, d, inputs.details), BASE_URL, AS_OF,
+        _entries(spark, d), load(spark, d, inputs.details), BASE_URL, AS_OF,
         status_option=filters.UNRESOLVED, hours=24 * 200,
     )
 

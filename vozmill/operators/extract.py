@@ -108,29 +108,36 @@ def decode_pages(df: DataFrame, column: str = "content") -> DataFrame:
 def _entry_columns(brand: str, site: str) -> dict[str, Column]:
     """Snippet of an entry: its block without the title, or the title when too short."""
     block, title = _C("_block"), _C("title")
-    at = F.position(title, block)
-    rest = F.when(at > 0, F.overlay(block, F.lit(""), at, F.length(title))).otherwise(block)
+    # At position 0 (title not in the block) nothing is cut.
+    rest = bind(
+        F.position(title, block),
+        lambda at: F.when(at > 0, F.overlay(block, F.lit(""), at, F.length(title))).otherwise(block),
+    )
     return {"_rest": strip_boilerplate(rest, brand, site)}
 
 
-def raw_entries(
+def fitting_anchors(
     parsed: DataFrame, path_regex: str, brand: str = "Empresa", site: str = "Portal do Consumidor"
 ) -> DataFrame:
-    """E1 before its per-page choice: one row per fitting anchor, in (page_id, pos) order."""
+    """Anchors with a fitting path and a long enough title: page_id, pos, source_url, title, block."""
     links = parsed.select("page_id", F.explode_outer("links").alias("_link"))
     anchors = links.where(_C("_link").isNotNull()).select(
         "page_id",
         _C("_link.pos").alias("pos"),
         _C("_link.url").alias("source_url"),
-        _C("_link.title").alias("_title"),
-        _C("_link.block").alias("_raw_block"),
-    )
-    titled = anchors.where(filters.url_matches(_C("source_url"), path_regex)).withColumn(
-        "title", strip_boilerplate(_C("_title"), brand, site)
+        strip_boilerplate(_C("_link.title"), brand, site).alias("title"),
+        _C("_link.block").alias("block"),
     )
-    blocks = titled.where(F.length("title") >= 10).withColumn(
-        "_block", collapse_spaces(F.coalesce(_C("_raw_block"), _C("title")))
+    return anchors.where(
+        filters.url_matches(_C("source_url"), path_regex) & (F.length("title") >= 10)
     )
+
+
+def read_entries(
+    anchors: DataFrame, brand: str = "Empresa", site: str = "Portal do Consumidor"
+) -> DataFrame:
+    """Status, relative time and snippet from the block around each anchor."""
+    blocks = anchors.withColumn("_block", collapse_spaces(F.coalesce(_C("block"), _C("title"))))
     # The block is folded once for both readings.
     entries = blocks.withColumn("_folded", fold_flat(_C("_block"))).withColumns(
         {
@@ -147,16 +154,25 @@ def raw_entries(
 
 def link_entries(pages: DataFrame, path_regex: str, base_url: str, **names) -> DataFrame:
     """Entries of listing pages, the first per page and URL."""
-    entries = raw_entries(parse_pages(pages, ["links"], base_url), path_regex, **names)
-    return keep_one(entries, [_C("page_id"), _C("source_url")], [_C("pos").asc()])
+    anchors = fitting_anchors(parse_pages(pages, ["links"], base_url), path_regex, **names)
+    first = keep_one(anchors, [_C("page_id"), _C("source_url")], [_C("pos").asc()])
+    return read_entries(first, **names)
 
 
 def merge_entries(entries: DataFrame, limit: int | None = None) -> DataFrame:
-    """First entry per URL over all pages in order, then the first N."""
+    """First entry (or anchor) per URL over all pages in order, then the first N."""
     first = keep_one(entries, [_C("source_url")], [_C("page_id").asc(), _C("pos").asc()])
     return first if limit is None else first.orderBy("page_id", "pos").limit(int(limit))
 
 
+def listing_entries(
+    pages: DataFrame, path_regex: str, base_url: str, limit: int | None = None, **names
+) -> DataFrame:
+    """E1 and E2 together: anchors are merged and limited before their blocks are read."""
+    anchors = fitting_anchors(parse_pages(pages, ["links"], base_url), path_regex, **names)
+    return read_entries(merge_entries(anchors, limit), **names)
+
+
 # ---------------------------------------------------------------------- candidates
 def _walk_strings(payload: str | None) -> list[dict]:
     """All strings of nested JSON with their paths, in document order."""
@@ -364,15 +380,16 @@ def complaint_records(
     brand: str = "Empresa", site: str = "Portal do Consumidor",
 ) -> DataFrame:
     """Feedback rows from listing entries and complaint pages."""
-    detail = filters.status_filter(
-        page_detail(entries, pages, base_url, brand, site), status_option
-    ).withColumn(
-        "feedback_date", dates.effective_date(_C("date_str"), _C("relative_text"), as_of)
-    )
-    windowed = filters.time_window(detail, as_of, hours).withColumn(
-        "raw_text", collapse_spaces(F.concat_ws(" ", "title", "description"))
+    detail = page_detail(entries, pages, base_url, brand, site)
+    # As output of a generator these are computed once: filters on them stay above it.
+    fields = F.struct(
+        "status",
+        dates.effective_date(_C("date_str"), _C("relative_text"), as_of).alias("feedback_date"),
+        collapse_spaces(F.concat_ws(" ", "title", "description")).alias("raw_text"),
     )
-    kept = windowed.where((F.length("raw_text") >= 20) & ~is_boilerplate_flat(_C("raw_text")))
+    staged = detail.select("page_id", "pos", "source_url", F.inline_outer(F.array(fields)))
+    chosen = filters.time_window(filters.status_filter(staged, status_option), as_of, hours)
+    kept = chosen.where((F.length("raw_text") >= 20) & ~is_boilerplate_flat(_C("raw_text")))
     records = kept.select(
         short_hash(bare_url(_C("source_url"))).alias("feedback_id"),
         F.lit(source).alias("source"),
