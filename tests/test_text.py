@@ -46,6 +46,12 @@ def test_boilerplate_and_cut(values):
     assert values(text.is_boilerplate, texts) == [False, False, True, True, True, False]
 
 
+def test_loader_hints_keep_the_spaces(values):
+    texts = ["TODA empresa tem problêma", "toda  empresa tem problema", None]
+    assert values(text.has_loader_hint, texts) == [True, False, False]
+    assert values(text.is_boilerplate, texts) == [True, True, False]
+
+
 def test_samples(values):
     long = "abc " * 60
     assert values(lambda c: text.sample_text(c, 150), [long, "curto"]) == [

@@ -54,6 +54,10 @@ def boilerplate(x: str, hints=lx.BOILERPLATE_HINTS) -> str:
     return any_of(fold(x), hints)
 
 
+def loader_hint(x: str) -> str:
+    return any_of(f"strip_accents(lower(coalesce({x}, '')))", lx.BOILERPLATE_HINTS_LOADER)
+
+
 def cut_site(x: str) -> str:
     patterns = [
         r"(?i)\s*-\s*empresa\s*-\s*portal\s*do\s*consumidor.*$",
@@ -586,7 +590,7 @@ def merge_key() -> str:
     )
 
 
-_BAD = f"(trim(source) = 'site_auto' AND {boilerplate('raw_text', lx.BOILERPLATE_HINTS_LOADER)})"
+_BAD = f"(trim(source) = 'site_auto' AND {loader_hint('raw_text')})"
 _DAY_TEXT = f"coalesce(CAST({day('feedback_date')} AS VARCHAR), '')"
 _FILLED_ID = (
     f"CASE WHEN trim(feedback_id) <> '' THEN feedback_id ELSE {short_hash('source', _DAY_TEXT, strip('raw_text'))} END"
@@ -658,7 +662,7 @@ ORACLES["collapse_spaces"] = _raw(f"SELECT row_ord, {collapse('raw_text')} AS fl
 ORACLES["fold_text"] = _raw(f"SELECT row_ord, {fold('raw_text')} AS folded FROM f")
 ORACLES["boilerplate_flag"] = _raw(
     f"SELECT row_ord, {boilerplate('raw_text')} AS site_hints, "
-    f"{boilerplate('raw_text', lx.BOILERPLATE_HINTS_LOADER)} AS loader_hints FROM f"
+    f"{loader_hint('raw_text')} AS loader_hints FROM f"
 )
 ORACLES["strip_boilerplate"] = _raw(
     f"SELECT row_ord, {clean('t')} AS clean FROM g",
@@ -708,7 +712,6 @@ ORACLES["to_bool"] = chain(
     "SELECT row_ord, 'word', lower(trim(CASE WHEN row_ord % 2 = 0 THEN ' Sim ' ELSE status END)) IN ('1', 'true', 't', 'sim', 'yes', 'y') FROM f "
     "UNION ALL SELECT doc_id, 'reply', m_escalation FROM answers",
 )
-_NUMBER = "coalesce(TRY_CAST(word AS DOUBLE), {default})"
 ORACLES["to_number"] = chain(
     (
         "w",
@@ -878,7 +881,6 @@ ORACLES["read_analyzed"] = chain(
 )
 
 # ------------------------------------------------------------------------- extraction
-_ENTRY_COLUMNS = "page_id, pos, source_url, title, status, relative_text, snippet"
 ENTRIES = [
     ("parts", sql(inputs.listing_parts)),
     (

@@ -217,7 +217,7 @@ def boilerplate_flag(spark, d):
     return raw_text(spark, d).select(
         "row_ord",
         text.is_boilerplate(_C("raw_text")).alias("site_hints"),
-        text.is_boilerplate(_C("raw_text"), lx.BOILERPLATE_HINTS_LOADER).alias("loader_hints"),
+        text.has_loader_hint(_C("raw_text")).alias("loader_hints"),
     )
 
 

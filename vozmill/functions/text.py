@@ -120,6 +120,11 @@ def is_boilerplate_flat(flat: Column, hints=lx.BOILERPLATE_HINTS) -> Column:
     return bind(fold_flat(flat), lambda folded: contains_any(folded, hints))
 
 
+def has_loader_hint(c: Column, hints=lx.BOILERPLATE_HINTS_LOADER) -> Column:
+    """T3 as the manual loader tests it: the spaces of the text are left as they are."""
+    return bind(fold_accents(c), lambda folded: contains_any(folded, hints))
+
+
 def site_suffix_pattern(brand: str, site: str) -> str:
     """One pattern for everything that starts a site footer or slogan.
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from vozmill import lexicon as lx
 from vozmill.functions.rules import fill
 from vozmill.functions.values import label_of, percent
-from vozmill.operators.filters import high_priority
 
 _C = F.col
 

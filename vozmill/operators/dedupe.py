@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vozmill import lexicon as lx
 from vozmill.functions.ids import merge_key
-from vozmill.functions.text import is_boilerplate, strip
+from vozmill.functions.text import has_loader_hint, strip
 from vozmill.schemas import ORDER_COLUMNS
 
 
@@ -54,7 +53,7 @@ def dedupe_content(df: DataFrame, order_columns=ORDER_COLUMNS) -> DataFrame:
 
 def is_low_quality(source: Column, text: Column, auto_source: str = "site_auto") -> Column:
     """F4 predicate: boilerplate text from the automatic source."""
-    return (strip(source) == auto_source) & is_boilerplate(text, lx.BOILERPLATE_HINTS_LOADER)
+    return (strip(source) == auto_source) & has_loader_hint(text)
 
 
 def drop_low_quality(df: DataFrame, auto_source: str = "site_auto") -> DataFrame:

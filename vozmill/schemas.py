@@ -23,7 +23,6 @@ def strings(names):
 
 
 FEEDBACK_SCHEMA = strings(FEEDBACK_COLUMNS)
-REVIEW_SCHEMA = strings(REVIEW_COLUMNS)
 ORDER_FIELDS = [T.StructField("batch_seq", T.IntegerType()), T.StructField("row_ord", T.LongType())]
 NORMALIZED_SCHEMA = T.StructType(
     [
