@@ -905,6 +905,16 @@ ORACLES["link_entries"] = chain(
     *ENTRIES,
     body="SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY page_id, source_url ORDER BY pos) = 1",
 )
+# The entities that occur in the given pages.
+_ENTITIES = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&#x27;": "''"}
+
+
+def unescaped(x: str) -> str:
+    for entity, char in _ENTITIES.items():
+        x = f"replace({x}, '{entity}', '{char}')"
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"
+
+
 _ANCHOR = '<a href="([^"]*)">([^<]*)</a>'
 ORACLES["link_entries_pages"] = chain(
     (
@@ -914,14 +924,12 @@ ORACLES["link_entries_pages"] = chain(
         f"unnest(range(len(regexp_extract_all(html, '{_ANCHOR}')))) AS pos FROM pages",
     ),
     ("named", f"SELECT page_id, pos, 'https://site.example.com' || href AS source_url, {clean('html_unescaped')} AS title FROM "
-     "(SELECT *, replace(anchor, '&amp;', '&') AS html_unescaped FROM found)"),
+     f"(SELECT *, {unescaped('anchor')} AS html_unescaped FROM found)"),
     body=f"SELECT page_id, source_url, title, title AS snippet, {status_of('title')} AS status FROM named WHERE length(title) >= 10 "
     "QUALIFY row_number() OVER (PARTITION BY page_id, source_url ORDER BY pos) = 1",
 )
 _H1 = "regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
-ORACLES["page_headings"] = (
-    f"SELECT page_id, {collapse(f'replace({_H1}, {lit(chr(38) + chr(97) + chr(109) + chr(112) + chr(59))}, {lit(chr(38))})')} AS heading FROM pages"
-)
+ORACLES["page_headings"] = f"SELECT page_id, {collapse(unescaped(_H1))} AS heading FROM pages"
 ORACLES["merge_entries"] = chain(*ENTRIES, body="SELECT * FROM merged_entries")
 ORACLES["merge_entries_first"] = chain(
     *ENTRIES, body="SELECT * FROM merged_entries ORDER BY page_id, pos LIMIT 50"
@@ -1043,18 +1051,9 @@ LINES = [
 ]
 ORACLES["page_lines"] = chain(*LINES, body="SELECT page_id, line_no, line FROM page_lines")
 _UNTAGGED = "(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>"
-_ENTITIES = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&#x27;": "''", "&amp;": "&"}
-
-
-def _visible(x: str) -> str:
-    out = f"regexp_replace({x}, '{_UNTAGGED}', chr(10), 'g')"
-    for entity, char in _ENTITIES.items():
-        out = f"replace({out}, '{entity}', '{char}')"
-    return out
-
-
+_VISIBLE = unescaped(f"regexp_replace(html, '{_UNTAGGED}', chr(10), 'g')")
 ORACLES["page_lines_html"] = chain(
-    ("pieces", f"SELECT page_id, regexp_split_to_array({_visible('html')}, '{_LINE_END}') AS a FROM pages"),
+    ("pieces", f"SELECT page_id, regexp_split_to_array({_VISIBLE}, '{_LINE_END}') AS a FROM pages"),
     ("numbered_lines", f"SELECT page_id, {collapse('unnest(a)')} AS line, unnest(range(len(a))) AS n FROM pieces"),
     body="SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INT) AS line_no, line FROM numbered_lines WHERE line <> ''",
 )
