@@ -1,22 +1,71 @@
-"""The corpus pipeline: documents in, a mixed training corpus out."""
+"""The corpus pipeline: documents in, a mixed training corpus out.
+
+Every stage works on all rows that the one before it kept and hands on the columns of
+``documents``; the last adds what the mix takes of each document. Rows without an id pass the
+filters, which decide by id; rows that share an id share a decision.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vozmill.llm import decontamination, line_dedup, quality_rules, simhash_dedup, source_mixing
 from vozmill.llm.common import read, stored
 from vozmill.session import prepare
 
-STAGES: list = []
+_C = F.col
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    judged = quality_rules.judge(docs, read(prepare(spark), sf_dir, "labels"))
+    rejected = judged.where(~_C("kept")).select(_C("doc_id").alias("__rejected"))
+    return docs.join(rejected, docs["doc_id"] == rejected["__rejected"], "left_anti")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that stand elsewhere; a text of such lines only becomes empty."""
+    prepare(spark)
+    cleaned = line_dedup.dedup_lines(docs).select(docs.columns)
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.length("text").cast("long"))
+    return cleaned
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    prepare(spark)
+    return simhash_dedup.keep_one(docs, shingle=4, max_bits=4)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return decontamination.keep_clean(docs, read(prepare(spark), sf_dir, "benchmark"))
+
 
-#: Fuzzy duplicates, fingerprints and latent search are beyond SQL; tests hold brute force against it.
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which the mix takes words, and how many."""
+    dealt = source_mixing.mix(docs).where(_C("taken") > 0)
+    dealt = dealt.withColumnRenamed("doc_id", "__id").dropDuplicates(["__id"])
+    return docs.join(dealt, docs["doc_id"].eqNullSafe(dealt["__id"])).drop("__id")
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("simhash_dedup", near_copies),
+    ("decontamination", benchmark_free),
+    ("source_mixing", mixed),
+]
+
+#: Fuzzy lines, Hamming balls and latent search are beyond SQL; a test holds brute force against it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn; each one's rows are written and read again."""
-    prepare(spark)
-    docs = read(spark, sf_dir, "documents")
+    """The stages in turn; each one's rows are written as Parquet and read again."""
+    docs = read(prepare(spark), sf_dir, "documents")
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
     return docs
