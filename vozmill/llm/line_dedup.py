@@ -21,6 +21,8 @@ Lines shorter than a shingle are compared as a whole. An empty table gives no ro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,19 +36,31 @@ from vozmill.llm.components import components
 
 _C = F.col
 SHINGLE, BANDS, ROWS, SEED = 8, 10, 4, 5
+#: Lines of a bucket that meet in one task: two blocks of about this many.
+BLOCK = 256
 
 
 def normal(line: bytes) -> bytes:
     return b" ".join(line.lower().split())
 
 
-def shingles(line: bytes, size: int = SHINGLE) -> frozenset[bytes]:
-    return frozenset(line[i : i + size] for i in range(max(len(line) - size + 1, 1)))
+@lru_cache(maxsize=4096)
+def shingles(line: bytes, size: int = SHINGLE) -> np.ndarray:
+    """The different shingles as sorted numbers; a shorter line is one shingle. 8 bytes at most."""
+    raw = np.frombuffer(line.ljust(size, b"\0"), np.uint8)
+    windows = np.zeros((len(raw) - size + 1, 8), np.uint8)
+    windows[:, :size] = np.lib.stride_tricks.sliding_window_view(raw, size)
+    return np.unique(windows.view("<u8"))
 
 
-def jaccard(a: bytes, b: bytes, size: int = SHINGLE) -> float:
+def jaccard(a: bytes, b: bytes, size: int = SHINGLE, least: float = 0.0) -> float:
+    """Similarity of the shingle sets; 0 where their sizes alone keep it below ``least``."""
     x, y = shingles(a, size), shingles(b, size)
-    both = len(x & y)
+    if min(len(x), len(y)) < least * max(len(x), len(y)):
+        return 0.0
+    merged = np.concatenate([x, y])
+    merged.sort()
+    both = int(np.count_nonzero(merged[1:] == merged[:-1]))
     return both / (len(x) + len(y) - both)
 
 
@@ -149,7 +163,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = (batch.column(k).to_pylist() for k in ("one", "two"))
-            good = [jaccard(x, y, shingle) >= similarity for x, y in zip(one, two)]
+            good = [jaccard(x, y, shingle, similarity) >= similarity for x, y in zip(one, two)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     one = texts.select(_C("line").alias("a"), _C("folded").alias("one"))
@@ -157,6 +171,56 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
     return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
 
 
+def open_links(placed: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b): verified links between lines of one bucket that are in different components.
+
+    ``placed``: band, line, component. A bucket is dealt in blocks, and each two blocks meet
+    in one group of bounded size. Pairs are formed and tested inside the group, each in the first
+    bucket that its lines share; only links that join components leave it.
+    """
+    state = placed.groupBy("band").agg(
+        F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")
+    ).where(_C("x") < _C("y"))
+    blocks = state.select("band", F.ceil(_C("n") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("line"), _C("blocks")).cast("int")
+    dealt = placed.join(blocks, "band").withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), _C("blocks") - 1))
+    )
+    dealt = dealt.select(
+        "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "line", "component"
+    ).join(texts, "line")
+    dealt = dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(batch.column(k).to_pylist() for k in ("band", "x", "y", "own", "line", "component", "folded")))
+
+    def links(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        band, x, y = group[0][:3]
+        bands = band_values([r[6] for r in group], size=shingle).view(np.int64)
+        side = np.array([r[3] for r in group])
+        component = np.array([r[5] for r in group], np.int64)
+        here = int(np.flatnonzero((bands == band).all(0))[0])
+        for i, row in enumerate(group):
+            able = component[i + 1 :] != component[i]
+            if x != y:
+                able &= side[i + 1 :] != side[i]
+            able &= ~(bands[i + 1 :, :here] == bands[i, :here]).any(1)
+            for j in (np.flatnonzero(able) + i + 1).tolist():
+                if component[i] != component[j] and jaccard(row[6], group[j][6], shingle, similarity) >= similarity:
+                    component[component == component[j]] = component[i]
+                    yield row[4], group[j][4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in groupby(rows(batches), key=lambda r: r[:3]):
+            found = list(links(list(group)))
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.select("band", "x", "y", "own", "line", "component", "folded").mapInArrow(run, "a long, b long")
+
+
 def linked_lines(docs: DataFrame, lines: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """(node, component) of the lines that are similar to others."""
     bands = lines.where(_C("bands").isNotNull()).select(F.explode("bands").alias("band"), _C("h1").alias("line"))
@@ -178,13 +242,7 @@ def linked_lines(docs: DataFrame, lines: DataFrame, similarity: float, shingle:
         "band", "line", F.coalesce("component", "line").alias("component")
     )
     placed = stored(placed)
-    open_bands = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(
-        _C("x") < _C("y")
-    ).select("band")
-    left = placed.join(open_bands, "band")
-    right = left.select("band", _C("line").alias("b"), _C("component").alias("other"))
-    rest = left.withColumnRenamed("line", "a").join(right, "band").where(_C("component") < _C("other")).select("a", "b")
-    more = stored(verified(rest.distinct(), texts, similarity, shingle))
+    more = stored(open_links(placed, texts, similarity, shingle))
     if more.isEmpty():
         return found
     return components(links.union(more))
