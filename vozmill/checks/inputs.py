@@ -3,19 +3,22 @@
 Each input is a list of (column, expression) over one table; the expressions run
 unchanged on Spark and, as a SELECT, in SQL (only "replace all" differs). All
 rows and whole texts are used; phrases, keys, dates and statuses are added by
-row number, because the given texts hold no customer feedback.
+row number, because the given texts hold no customer feedback. Rows without a text
+of their own come on top, with numbers from ``ADDED`` on.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vozmill.sources.readers import spread
-
 AS_OF = "2024-12-31 00:00:00"
 BASE_URL = "https://site.example.com"
 PATH_REGEX = "^/loja/[^?#]+_[A-Za-z0-9-]+/?$"
 NL = "chr(10)"
+#: A multiple of all row number cycles below, so an added row has the keys of the row it follows.
+ADDED = 720720 * 17 * 10**6
+_ADD_WHERE = "doc_id % 12 = 10 OR doc_id % 24 = 9 OR doc_id % 3 = 0"
+_KIND = f"CASE WHEN doc_id >= {ADDED} THEN 3 WHEN doc_id % 5 = 3 THEN 0 ELSE doc_id % 5 END"
 
 
 def _replace_all(text: str, pattern: str, by: str, engine: str) -> str:
@@ -30,7 +33,7 @@ JSON_SAFE = "translate(text, concat('\"', chr(92), chr(10), chr(13), chr(9)), '
 def _cases(number: str, options: list[str]) -> str:
     last = len(options) - 1
     arms = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(options[:-1]))
-    return f"CASE {number} {arms} ELSE {options[last]} END"
+    return f"CASE ({number}) {arms} ELSE {options[last]} END"
 
 
 def _text(*options: str) -> list[str]:
@@ -106,7 +109,7 @@ def feedback(engine: str) -> list[tuple[str, str]]:
         (
             "raw_text",
             f"concat({_cases('doc_id % 12', _PHRASES)}, "
-            "CASE WHEN doc_id % 12 = 10 OR doc_id % 24 = 9 THEN '' ELSE text END)",
+            "text)",
         ),
     ]
 
@@ -122,7 +125,7 @@ def manual(engine: str) -> list[tuple[str, str]]:
             "CASE WHEN doc_id % 3 = 0 THEN '/ ' ELSE '' END) END",
         ),
         ("title", f"CASE WHEN doc_id % 4 = 1 THEN '' ELSE {_cases('doc_id % 12', _PHRASES)} END"),
-        ("description", "CASE WHEN doc_id % 12 IN (10, 9) THEN ' ' ELSE text END"),
+        ("description", "CASE WHEN text = '' THEN ' ' ELSE text END"),
         ("date", f"CASE WHEN doc_id % 11 = 0 THEN 'NaN' ELSE {_ddmmyyyy('doc_id')} END"),
         ("status", _cases("doc_id % 5", _STATUS)),
         ("initial_category", "CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE 'reclamacao' END"),
@@ -130,15 +133,14 @@ def manual(engine: str) -> list[tuple[str, str]]:
 
 
 def seed(engine: str) -> list[tuple[str, str]]:
-    """Review seed table (base: documents); every third row repeats its neighbour's review."""
+    """Review seed table (base: documents); the rows without text repeat each other's reviews."""
     return [
         ("row_ord", "doc_id"),
         ("author", "CASE WHEN doc_id % 6 = 1 THEN ' ' ELSE concat('Cliente ', CAST(CAST(floor(doc_id / 24) AS BIGINT) AS STRING)) END"),
         ("feedback_date", "'05/06/2024'"),
         (
             "raw_text",
-            f"CASE WHEN doc_id % 3 = 0 THEN concat('\"', {_cases('doc_id % 12', _PHRASES)}, '\"') "
-            f"ELSE concat(' \"', {_cases('doc_id % 12', _PHRASES)}, text, '\" ') END",
+            f"concat(' \"', {_cases('doc_id % 12', _PHRASES)}, text, '\" ')",
         ),
         ("initial_category", "CASE WHEN doc_id % 4 = 0 THEN 'elogio' ELSE '' END"),
         ("source_url", "CASE WHEN doc_id % 5 = 0 THEN 'https://reviews.example.com/loja' ELSE '' END"),
@@ -163,18 +165,24 @@ def replies(engine: str) -> list[tuple[str, str]]:
         '{"priority":"4.7","urgencia":"sem pressa","escalation_required":2,"confianca":null,"sentiment_score":0.125}',
         '{"tema_principal":"qualidade_produto","prioridade":-7,"resposta_sugerida_cliente":"GUIA PARA ATENDENTE: x. Checklist: y. Texto-base: z"}',
     )
-    options += [
-        "NULL",
+    options += ["NULL", "''"]
+    told = [
         "concat('{\"sentimento\":\"negativo\",\"tema_principal\":\"atendimento\",\"prioridade\":3,\"suggested_response\":\"', "
         + plain + ", '\"}')",
         "concat('{\"sentimento\":\"neutro\",\"suggested_response\":\"Prezado cliente ', " + plain + ", '\"}')",
-        "''",
     ]
     return [
         ("doc_id", "doc_id"),
-        ("reply_seq", "doc_id"),
+        (
+            "reply_seq",
+            f"2 * (doc_id % {ADDED}) + CASE WHEN doc_id >= {ADDED} THEN doc_id % 2 ELSE 1 - doc_id % 2 END",
+        ),
         ("feedback_id", _ID),
-        ("reply", _cases("doc_id % 17", options)),
+        (
+            "reply",
+            f"CASE WHEN doc_id >= {ADDED} THEN {_cases(f'doc_id % {len(options)}', options)} "
+            f"ELSE {_cases('doc_id % 3', [told[0], told[1], told[0]])} END",
+        ),
     ]
 
 
@@ -295,7 +303,7 @@ def details(engine: str) -> list[tuple[str, str]]:
             "html",
             f"concat('<html><head><meta property=\"og:title\" content=\"Titulo social ', CAST(doc_id AS STRING), '\"></head><body>', "
             f"CASE WHEN doc_id % 6 = 5 THEN '' ELSE concat('<h1>', {_H1}, '</h1>') END, '<em>', {_DETAIL_STATUS}, '</em>', "
-            f"CASE WHEN doc_id % 3 = 0 THEN {date} ELSE '' END, {_cases('doc_id % 5', kinds)}, '</body></html>')",
+            f"CASE WHEN doc_id % 3 = 0 THEN {date} ELSE '' END, {_cases(_KIND, kinds)}, '</body></html>')",
         ),
     ]
 
@@ -310,7 +318,7 @@ def detail_parts(engine: str) -> list[tuple[str, str]]:
         ("og", "concat('Titulo social ', CAST(doc_id AS STRING))"),
         ("status_text", _DETAIL_STATUS),
         ("date_text", f"CASE WHEN doc_id % 3 = 0 THEN {_ddmmyyyy('doc_id')} ELSE '' END"),
-        ("kind", "doc_id % 5"),
+        ("kind", _KIND),
         ("plain", plain),
         ("safe", _safe(engine)),
     ]
@@ -325,13 +333,25 @@ def raw_bytes(engine: str) -> list[tuple[str, str]]:
     ]
 
 
+#: Inputs that hold rows without text beside the documents with their whole texts.
+WITH_ADDED = (feedback, manual, seed, replies, details, detail_parts)
+
+
 def load(spark: SparkSession, sf_dir: str, make, table: str = "documents") -> DataFrame:
     """An input as a DataFrame."""
     scan = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    base = spread(scan, "page_id" if table == "pages" else "doc_id")
+    base = scan
+    if make in WITH_ADDED:
+        blank = scan.where(_ADD_WHERE).selectExpr(f"doc_id + {ADDED} AS doc_id", "'' AS text", "lang", "source", "n_chars")
+        base = scan.select("doc_id", "text", "lang", "source", "n_chars").union(blank)
     return base.selectExpr(*[f"{expr} AS {name}" for name, expr in make("spark")])
 
 
 def sql(make, table: str = "documents") -> str:
     """The same input as a SELECT."""
+    if make in WITH_ADDED:
+        table = (
+            "(SELECT doc_id, text, lang, source, n_chars FROM documents UNION ALL "
+            f"SELECT doc_id + {ADDED}, '', lang, source, n_chars FROM documents WHERE {_ADD_WHERE}) AS base"
+        )
     return "SELECT " + ", ".join(f"{expr} AS {name}" for name, expr in make("sql")) + f" FROM {table}"

@@ -570,7 +570,7 @@ ORACLES["review_seed"] = chain(
     "QUALIFY row_number() OVER (PARTITION BY author, feedback_date, raw_text, source_url ORDER BY row_ord) = 1",
 )
 ORACLES["scan_pages"] = "SELECT page_id, url, CAST(length(html) AS BIGINT) AS n_chars FROM pages"
-ORACLES["lenient_csv"] = _raw("SELECT row_ord, source, raw_text FROM f WHERE row_ord % 5 <> 0")
+ORACLES["lenient_csv"] = _raw("SELECT row_ord, source, CASE WHEN row_ord % 7 <> 3 THEN raw_text END AS raw_text FROM f WHERE row_ord % 5 <> 0")
 ORACLES["align_schema"] = chain(
     ("m", sql(inputs.manual)),
     body="SELECT '' AS feedback_id, '' AS source, source_url, '' AS author, '' AS feedback_date, '' AS raw_text, "
@@ -988,7 +988,7 @@ _BODY = (
     f"CASE WHEN kind IN (1, 4) THEN nullif({strip('safe')}, '') WHEN kind = 3 THEN 'sem texto' END)"
 )
 DETAIL_ROWS = ENTRIES + DETAILS + [
-    ("heads", f"SELECT url, found, h1, og, substr({_BODY}, 1, 2400) AS body FROM dx"),
+    ("heads", f"SELECT url, found, h1, og, {_BODY} AS body FROM dx"),
     (
         "joined_detail",
         "SELECT e.*, h.url IS NOT NULL AS has_page, h.found, h.h1, h.og, h.body FROM merged_entries e LEFT JOIN heads h ON e.source_url = h.url",
@@ -1004,7 +1004,7 @@ DETAIL_ROWS = ENTRIES + DETAILS + [
         "SELECT page_id, pos, source_url, relative_text, CASE WHEN has_page THEN page_title ELSE title END AS title, "
         f"CASE WHEN NOT has_page THEN snippet WHEN length(page_text) < 20 THEN {clean('snippet')} ELSE page_text END AS description, "
         "CASE WHEN has_page THEN regexp_extract(context, '\\b([0-9]{2}/[0-9]{2}/[0-9]{4})\\b', 1) ELSE '' END AS date_str, "
-        f"CASE WHEN has_page AND {status_of('substr(context, 1, 1800)')} <> 'nao informada' THEN {status_of('substr(context, 1, 1800)')} ELSE status END AS status FROM context_rows",
+        f"CASE WHEN has_page AND {status_of('context')} <> 'nao informada' THEN {status_of('context')} ELSE status END AS status FROM context_rows",
     ),
 ]
 ORACLES["page_detail"] = chain(*DETAIL_ROWS, body="SELECT * FROM detail")
@@ -1263,3 +1263,9 @@ ORACLES["refresh_fallback"] = chain(
     *normalized_ctes("SELECT * FROM merged"),
     body="SELECT source, count(*) AS n FROM norm GROUP BY 1",
 )
+
+# Every other page is stored in a one-byte code, which holds no signs beyond it.
+ORACLES["decode_pages"] = (
+    "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN html "
+    "ELSE regexp_replace(html, '[^\\x{0000}-\\x{00FF}]', '?', 'g') END AS html FROM pages"
+)

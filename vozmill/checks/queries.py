@@ -38,8 +38,12 @@ def query(function: Query) -> Query:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors see; a local one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vozmill-")
+    """A new folder that all executors see; a local one only where everything is one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="vozmill-")
     return f"{base.rstrip('/')}/vozmill-{uuid.uuid4().hex}"
 
 
@@ -112,21 +116,19 @@ def scan_pages(spark, d):
 
 @query
 def lenient_csv(spark, d):
-    """Whole documents as CSV with too long rows among them, written and read back."""
+    """Whole documents as CSV with too long and too short rows among them, written and read back."""
     rows = load(spark, d, inputs.feedback).select("row_ord", "source", "raw_text")
     quoted = F.concat(F.lit('"'), F.replace(_C("raw_text"), F.lit('"'), F.lit('""')), F.lit('"'))
     line = F.concat_ws(
-        ",", _C("row_ord").cast("string"), "source", quoted,
+        ",", _C("row_ord").cast("string"), "source",
+        F.when((_C("row_ord") % 7 != 3) | (_C("row_ord") % 5 == 0), quoted),
         F.when(_C("row_ord") % 5 == 0, F.lit("extra")),
     )
     lines = rows.select(line.alias("value"))
     path = shared_folder(spark)
     lines.write.text(path)
-    schema = "row_ord bigint, source string, raw_text string"
-    return (
-        spark.read.schema(schema).option("multiLine", True).option("escape", '"')
-        .option("mode", "DROPMALFORMED").csv(path)
-    )
+    found = readers.read_lenient_csv(spark, path, ["seq", "source", "raw_text"])
+    return found.select(_C("seq").cast("bigint").alias("row_ord"), "source", "raw_text")
 
 
 @query
@@ -693,7 +695,7 @@ def link_entries(spark, d):
 @query
 def link_entries_pages(spark, d):
     """The same job on the given web pages: menu links with a long enough title."""
-    pages = readers.spread(readers.scan_pages(spark, f"{d}/pages.parquet"), "page_id")
+    pages = readers.scan_pages(spark, f"{d}/pages.parquet")
     entries = extract.link_entries(pages, "^/.+$", BASE_URL)
     return entries.select("page_id", "source_url", "title", "snippet", "status")
 
@@ -701,7 +703,7 @@ def link_entries_pages(spark, d):
 @query
 def page_headings(spark, d):
     """First heading of the given web pages, as the page detail reads it."""
-    pages = readers.spread(readers.scan_pages(spark, f"{d}/pages.parquet"), "page_id")
+    pages = readers.scan_pages(spark, f"{d}/pages.parquet")
     return extract.parse_pages(pages, ["heading"], BASE_URL).select(
         "page_id", text.collapse_spaces(_C("heading")).alias("heading")
     )
@@ -788,7 +790,7 @@ def page_lines(spark, d):
 @query
 def page_lines_html(spark, d):
     """Text lines of the given web pages."""
-    pages = readers.spread(readers.scan_pages(spark, f"{d}/pages.parquet"), "page_id")
+    pages = readers.scan_pages(spark, f"{d}/pages.parquet")
     return reviews.page_lines(extract.parse_pages(pages, ["lines"], BASE_URL), "lines")
 
 

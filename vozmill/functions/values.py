@@ -21,7 +21,8 @@ def number_to_bool(c: Column) -> Column:
 
 def to_number(c: Column, default=0, low=None, high=None, kind: str = "double") -> Column:
     """Typed number or the default, then clamped."""
-    value = F.coalesce(c.try_cast(kind), F.lit(default).cast(kind))
+    typed = c.try_cast("double").try_cast(kind) if kind in ("int", "bigint") else c.try_cast(kind)
+    value = F.coalesce(typed, F.lit(default).cast(kind))
     if low is not None:
         value = F.greatest(value, F.lit(low).cast(kind))
     if high is not None:

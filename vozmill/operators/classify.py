@@ -183,15 +183,15 @@ def enrich(
     """Labels of a valid reply, else of the rules.
 
     ``model_replies`` holds (feedback_id, reply); with a ``reply_seq`` column the
-    last reply of an id counts, without it the ids have to be unique.
+    last reply of an id counts, without it the largest text, so that rows never multiply.
 
     An id may be shared by a large part of the feedback. Adaptive execution splits
     such a partition only when both sides of the join come straight from an
     exchange, so the replies are grouped by a wider key than the join needs.
     """
-    if "reply_seq" in model_replies.columns:
-        wide = [F.xxhash64("feedback_id"), _C("feedback_id")]
-        model_replies = keep_one(model_replies, wide, [_C("reply_seq").desc()])
+    wide = [F.xxhash64("feedback_id"), _C("feedback_id")]
+    last = [_C(c).desc() for c in ("reply_seq", "reply") if c in model_replies.columns]
+    model_replies = keep_one(model_replies, wide, last)
     joined = feedback.join(
         model_replies.select("feedback_id", _C("reply").alias("_raw_reply"), F.lit(True).alias("_answered")),
         "feedback_id",

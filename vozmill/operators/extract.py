@@ -78,30 +78,17 @@ def parse_pages(pages: DataFrame, parts: list[str], base_url: str) -> DataFrame:
 def decode_pages(df: DataFrame, column: str = "content") -> DataFrame:
     """Adds ``html``: UTF-8, or a legacy code page where that fails or is garbled.
 
-    Good rows are decoded by the JVM; to Python goes a null for them and the bytes
-    only of the rows that need a code page.
+    The legacy page is Latin-1 with signs in place of 27 controls; bytes that it leaves
+    undefined mean plain Latin-1.
     """
-
-    @F.pandas_udf("string")
-    def legacy(raw: pd.Series) -> pd.Series:
-        def decode(data):
-            if data is None:
-                return None
-            try:
-                return bytes(data).decode("cp1252")
-            except UnicodeDecodeError:
-                return bytes(data).decode("latin-1")
-
-        return raw.map(decode, na_action=None)
-
+    undefined = "".join(chr(b) for b in range(0x80, 0xA0) if not bytes([b]).decode("cp1252", "ignore"))
+    controls = "".join(chr(b) for b in range(0x80, 0xA0) if chr(b) not in undefined)
+    signs = controls.encode("latin-1").decode("cp1252")
     as_utf8 = _C(column).cast("string")
+    latin = F.decode(_C(column), "ISO-8859-1")
+    legacy = F.when(latin.rlike(f"[{undefined}]"), latin).otherwise(F.translate(latin, controls, signs))
     good = F.is_valid_utf8(as_utf8) & ~looks_garbled(as_utf8)
-    marked = df.withColumn("_good", good).withColumn(
-        "_legacy", legacy(F.when(~_C("_good"), _C(column)))
-    )
-    return marked.withColumn(
-        "html", F.when(_C("_good"), as_utf8).otherwise(_C("_legacy"))
-    ).drop("_good", "_legacy")
+    return df.withColumn("html", F.when(good, as_utf8).otherwise(legacy))
 
 
 # ------------------------------------------------------------------------- entries
@@ -327,8 +314,7 @@ def page_detail(
     without page keeps its own title, snippet and status.
     """
     parsed = parse_pages(pages, DETAIL_PARTS, base_url)
-    # Only the head of the body text counts for date and status.
-    texts = page_texts(parsed.withColumn("body", F.substring("body", 1, 2400))).select(
+    texts = page_texts(parsed).select(
         _C("url").alias("source_url"),
         _C("page_id").alias("_page"),
         "body",
@@ -357,7 +343,7 @@ def page_detail(
         "_context",
         F.when(found, collapse_spaces(F.concat_ws(" ", "_title", "_description", "body"))).otherwise(""),
     )
-    seen = status_class(F.substring("_context", 1, 1800))
+    seen = status_class(_C("_context"))
     shown = {
         "title": F.when(found & (_C("_title") != ""), _C("_title")).otherwise(_C("title")),
         "description": F.when(~found, _C("snippet"))

@@ -9,19 +9,16 @@ import tempfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """UTC for dates and timestamps, small Python batches, this package on the workers.
+    """UTC for dates and timestamps, the last of repeated JSON keys, this package on the workers.
 
-    A page may be large, so the default of 10,000 rows per Python batch is lowered
-    (another setting is left alone). On a cluster the package usually comes with
-    ``--py-files``; shipping it again is harmless. Done once per application.
+    On a cluster the package usually comes with ``--py-files``; shipping it again is
+    harmless. Done once per application.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, "256")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     application = spark.sparkContext.applicationId
     if application not in _SHIPPED:
         package = os.path.dirname(os.path.abspath(__file__))

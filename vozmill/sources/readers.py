@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vozmill import lexicon as lx
 from vozmill.functions.dates import parse_date
@@ -38,22 +39,30 @@ def _known(c: Column) -> Column:
     return F.when(text.isin(MISSING_WORDS), F.lit("")).otherwise(text)
 
 
-def read_csv(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+def _csv(spark: SparkSession):
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text; quoted line breaks are kept; adds ``row_ord``.
 
-    With quoted line breaks Spark reads each file in one piece, so the id grows
-    along the rows of a file.
+    With quoted line breaks Spark reads each file in one task; land large CSV files as
+    Parquet once. The id grows along the rows of a file.
     """
-    frame = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-        .option("mode", mode).csv(path)
-    )
-    return frame.withColumn("row_ord", F.monotonically_increasing_id())
+    return _csv(spark).csv(path).withColumn("row_ord", F.monotonically_increasing_id())
 
 
-def read_lenient_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows that do not fit the header are skipped."""
-    return read_csv(spark, path, mode="DROPMALFORMED")
+def read_lenient_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Rows longer than the header are skipped, shorter ones end in nulls.
+
+    One column after the header's catches what is too much; empty fields are null.
+    ``columns`` names the columns of files that have no header.
+    """
+    names = columns or _csv(spark).csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "__over"]])
+    rows = _csv(spark).option("header", not columns).schema(schema).option("nullValue", "\x00").csv(path)
+    fitting = rows.withColumn("row_ord", F.monotonically_increasing_id()).where(_C("__over").isNull())
+    return fitting.select(*[F.nullif(_C(f"`{n}`"), F.lit("")).alias(n) for n in names], "row_ord")
 
 
 def format_manual(
@@ -127,16 +136,6 @@ def read_review_seed(spark: SparkSession, path: str, default_url: str = "https:/
     return format_reviews(raw, default_url)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan of few, unsplittable pieces over the cores of the session.
-
-    Text and page work is heavy per row. A table of many row groups already has
-    more tasks than cores and is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def scan_pages(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
     """S3: stored pages (page_id, url, html) from Parquet, or raw files as (url, content)."""
     if file_format == "binaryFile":
@@ -171,14 +170,14 @@ def _typed_label(raw: DataFrame, name: str) -> Column:
         return to_bool(_C(name), lx.TRUE_WORDS_STORED)
     if name == "response_guide":
         return strip(_C(name))
+    if isinstance(kind, T.IntegerType):
+        return _C(name).try_cast("double").try_cast(kind)  # a CSV may hold "4.0"
     return _C(name).try_cast(kind)
 
 
 def read_analyzed(spark: SparkSession, path: str, file_format: str = "parquet", prefix: str = "site_") -> DataFrame:
     """The analyzed table, from Parquet or (leniently) from CSV."""
     if not path_exists(spark, path):
-        from pyspark.sql import types as T
-
         return spark.createDataFrame([], T.StructType(ANALYZED_SCHEMA.fields + ORDER_FIELDS))
     if file_format == "csv":
         return type_analyzed(read_lenient_csv(spark, path), prefix)
