@@ -2,7 +2,7 @@
 
 Labelled pages give each host a number of bad pages out of n. Beta-binomial priors shrink these
 down the tree of names: the corpus gives the prior of suffixes, a suffix that of its registered
-domains, a domain that of its hosts. How strongly a level pulls is fitted from how much the
+domains, a domain that of its hosts, each without what the lower one holds itself. How strongly a level pulls is fitted from how much the
 rates below it vary beyond chance (moments). A host is blocked if the lower posterior bound of
 its rate of bad pages exceeds a limit, so few or mixed outcomes do not block. Explicit rules
 come first; the longest that fits wins.
@@ -128,14 +128,15 @@ def reputation(pages: DataFrame, low: float) -> DataFrame:
     n, bad = suffixes.agg(F.sum("n"), F.sum("bad")).first()
     overall = ((bad or 0) + 0.5) / ((n or 0) + 1)
 
-    def shrunk(children: DataFrame, pull: float) -> DataFrame:
-        return children.withColumn("rate", (_C("bad") + pull * _C("m")) / (_C("n") + pull))
+    def below(children: DataFrame, parents: DataFrame, name: str, pull: float) -> DataFrame:
+        """Children with the rate ``m`` of their parent, shrunk, without what they hold themselves."""
+        upper = parents.select(name, _C("n").alias("__n"), _C("bad").alias("__bad"), _C("m").alias("__m"))
+        others = (_C("__bad") - _C("bad") + pull * _C("__m")) / (_C("__n") - _C("n") + pull)
+        return children.join(upper, name).withColumn("m", others).drop("__n", "__bad", "__m")
 
     suffixes = suffixes.withColumn("m", F.lit(overall))
-    suffixes = shrunk(suffixes, _pull(suffixes)).select("suffix", _C("rate").alias("m"))
-    domains = domains.join(suffixes, "suffix")
-    domains = stored(shrunk(domains, _pull(domains)).select("domain", _C("rate").alias("m")))
-    hosts = hosts.join(domains, "domain")
+    domains = stored(below(domains, suffixes, "suffix", _pull(suffixes)))
+    hosts = stored(below(hosts, domains.drop("suffix"), "domain", _pull(domains)))
     pull = _pull(hosts)
     posterior = hosts.withColumns({
         "alpha": _C("bad") + pull * _C("m"), "beta": _C("n") - _C("bad") + pull * (1 - _C("m")),
