@@ -83,7 +83,7 @@ def _rows(sets: list[set[str]], index: dict[str, int]) -> np.ndarray:
 
 def fit(
     sets: list[set[str]], y: np.ndarray, weight: np.ndarray, swaps: list[tuple[int, set[str]]],
-    sparse: float = 1e-4, fairness: float = 5.0, steps: int = 600, words: int = 4000, least: int = 3,
+    sparse: float = 1e-4, fairness: float = 5.0, steps: int = 600, words: int = 3000, least: int = 3,
 ) -> tuple[dict[str, float], float]:
     """Weights of words and the intercept, by proximal gradient steps.
 
@@ -128,7 +128,7 @@ def fit(
 def score_rows(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label_id: str = "doc_id", label: str = "toxic", folds: int = 5, fold: int = 0,
-    rows: int = 6000, groups: tuple[tuple[str, ...], ...] = IDENTITY, seed: int = 11,
+    rows: int = 4000, groups: tuple[tuple[str, ...], ...] = IDENTITY, seed: int = 11,
 ) -> DataFrame:
     """(id_col, held_out, score, predicted) of every row; labels of the fold ``fold`` do not teach."""
     kind = docs.schema[id_col].dataType
