@@ -128,3 +128,10 @@ def test_modes(spark):
     assert sources("manual", auto) == ["site_manual"] == sources("auto_or_manual", auto.limit(0))
     with pytest.raises(ValueError):
         batch.collect("x", auto, manual)
+
+
+def test_lenient_csv_keeps_short_rows(spark, tmp_path):
+    path = tmp_path / "mixed.csv"
+    path.write_text("a,b,c\n1,2,3\n4,5\n6,7,8,9\n10,,12\n13,14,15,\n")
+    got = readers.read_lenient_csv(spark, str(path)).select("a", "b", "c").collect()
+    assert [tuple(r) for r in got] == [("1", "2", "3"), ("4", "5", None), ("10", None, "12"), ("13", "14", "15")]

@@ -55,14 +55,18 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_lenient_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Rows longer than the header are skipped, shorter ones end in nulls.
 
-    One column after the header's catches what is too much; empty fields are null.
+    One column after the header's catches what is too much; empty fields are
+    null, so a comma at the end of a full row is no further field.
     ``columns`` names the columns of files that have no header.
     """
     names = columns or _csv(spark).csv(path).columns
+    names = ["__own_row_ord" if n == "row_ord" else n for n in names]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "__over"]])
-    rows = _csv(spark).option("header", not columns).schema(schema).option("nullValue", "\x00").csv(path)
+    rows = _csv(spark).option("header", not columns).schema(schema).csv(path)
     fitting = rows.withColumn("row_ord", F.monotonically_increasing_id()).where(_C("__over").isNull())
-    return fitting.select(*[F.nullif(_C(f"`{n}`"), F.lit("")).alias(n) for n in names], "row_ord")
+    return fitting.select(
+        *[F.nullif(_C(f"`{n}`"), F.lit("")).alias(n) for n in names if n != "__own_row_ord"], "row_ord"
+    )
 
 
 def format_manual(
