@@ -27,7 +27,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -257,11 +257,10 @@ def removed_lines(docs: DataFrame, similarity: float, shingle: int) -> DataFrame
         F.when(_C("component").isNull(), _C("h2")).otherwise(0).alias("g2"),
     )
     placed = stored(placed)
-    repeated = placed.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min("id").alias("owner")).where(_C("n") > 1)
-    copies = placed.join(repeated, ["g1", "g2"])
-    first = F.rank().over(Window.partitionBy("g1", "g2", "id").orderBy("line_no"))
-    in_owner = copies.where(_C("id") == _C("owner")).withColumn("place", first).where(_C("place") > 1)
-    gone = copies.where(_C("id") != _C("owner")).select("id", "line_no").union(in_owner.select("id", "line_no"))
+    # A group is one row per task before it is dealt out, and the join's large side can be split.
+    first = F.min(F.struct("id", "line_no")).alias("first")
+    repeated = placed.groupBy("g1", "g2").agg(F.count("*").alias("n"), first).where(_C("n") > 1)
+    gone = placed.join(repeated, ["g1", "g2"]).where(F.struct("id", "line_no") != _C("first"))
     return gone.groupBy("id").agg(F.collect_set("line_no").alias("gone"))
 
 
