@@ -33,6 +33,8 @@ _C = F.col
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 
+#: Characters of the beginnings of words that are features too.
+STEMS = (4, 6)
 #: Names of groups by kind; a swap goes to the other names of the kind.
 IDENTITY = (
     ("women", "men", "girls", "boys", "transgender"),
@@ -51,6 +53,11 @@ def word_set(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
+def features(words: set[str]) -> set[str]:
+    """The words and, marked, the beginnings of longer ones, which compounds and endings share."""
+    return words | {f"^{w[:n]}" for n in STEMS for w in words if len(w) > n}
+
+
 def swapped_sets(text: str | None, groups: tuple[tuple[str, ...], ...]) -> list[set[str]]:
     """Word sets of the text with the names in its sentences turned to others of their kind.
 
@@ -83,7 +90,7 @@ def _rows(sets: list[set[str]], index: dict[str, int]) -> np.ndarray:
 
 def fit(
     sets: list[set[str]], y: np.ndarray, weight: np.ndarray, swaps: list[tuple[int, set[str]]],
-    sparse: float = 1e-4, fairness: float = 5.0, steps: int = 600, words: int = 3000, least: int = 3,
+    sparse: float = 3e-4, fairness: float = 5.0, steps: int = 600, words: int = 3000, least: int = 3,
 ) -> tuple[dict[str, float], float]:
     """Weights of words and the intercept, by proximal gradient steps.
 
@@ -160,15 +167,18 @@ def score_rows(
     weights, intercept, constant = {}, 0.0, None
     if len(set(y)) == 2:
         weight = np.array([1 / rates[r["mark"]] for r in taught])
-        swaps = [(i, set(s)) for i, r in enumerate(taught) for s in r["swaps"]]
-        weights, intercept = fit([set(r["words"]) for r in taught], y, weight, swaps)
+        # Rows share their strings, so equal words take memory once.
+        shared: dict[str, str] = {}
+        known_of = lambda words: {shared.setdefault(w, w) for w in features(set(words))}
+        swaps = [(i, known_of(s)) for i, r in enumerate(taught) for s in r["swaps"]]
+        weights, intercept = fit([known_of(r["words"]) for r in taught], y, weight, swaps)
     else:
         constant = float(y.mean()) if len(y) else 0.0
     known = frozenset(weights)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            sums = [sum(weights[w] for w in sorted(known & word_set(t))) for t in batch.column("text").to_pylist()]
+            sums = [sum(weights[w] for w in sorted(known & features(word_set(t)))) for t in batch.column("text").to_pylist()]
             score = 1 / (1 + np.exp(-np.clip(np.array(sums, float) + intercept, -30, 30)))
             if constant is not None:
                 score = np.full(len(sums), constant)
