@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from vozmill.functions.text import bind, fold_text, strip, text_or_blank
 
+_DAY = (
+    r"^([0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{4}-[0-9]{1,2}-[0-9]{1,2})"
+    r"(?:[T ]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?\s*(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
+)
 _DATE = r"\b([0-9]{2}/[0-9]{2}/[0-9]{4})\b"
 # Fixed value: the singular form matches first, so the unit is always singular.
 _AGO = r"ha\s*([0-9]+)\s*(hora|horas|dia|dias|minuto|minutos)"
@@ -20,12 +24,14 @@ def as_timestamp(as_of) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """Day-first text, else ISO text, else null; decided per row."""
+    """Day-first text, else ISO text, else null; decided per row.
+
+    Days and months may have one digit. A time of day may follow a date; it is left out, and
+    its zone does not move the day.
+    """
     return bind(
-        strip(c),
-        lambda text: F.coalesce(
-            F.try_to_date(text, "dd/MM/yyyy"), F.try_to_date(text, "yyyy-MM-dd")
-        ),
+        F.regexp_extract(strip(c), _DAY, 1),
+        lambda day: F.coalesce(F.try_to_date(day, "d/M/yyyy"), F.try_to_date(day, "yyyy-M-d")),
     )
 
 

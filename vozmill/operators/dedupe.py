@@ -40,6 +40,15 @@ def dedupe_id(df: DataFrame, keep: str = "last", order_columns=ORDER_COLUMNS) ->
     return keep_one(df, [F.col("feedback_id")], _ordering(order_columns, keep))
 
 
+def dedupe_columns(df: DataFrame, keys: list[Column], keep: str, order_columns) -> DataFrame:
+    """One row per whole value of the keys, the first or the last.
+
+    For rows whose short id is a hash of the keys: equal ids of different rows lose nothing.
+    """
+    keyed = df.withColumn("_digest", F.xxhash64(*keys))
+    return keep_one(keyed, [F.col("_digest"), *keys], _ordering(order_columns, keep)).drop("_digest")
+
+
 def dedupe_content(df: DataFrame, order_columns=ORDER_COLUMNS) -> DataFrame:
     """D3: one row per (source, date, text), the first.
 

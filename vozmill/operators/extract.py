@@ -23,7 +23,7 @@ from vozmill.functions.text import (
     looks_garbled, status_class, status_of_folded, strip_boilerplate, text_or_blank,
 )
 from vozmill.operators import filters
-from vozmill.operators.dedupe import dedupe_id, keep_one
+from vozmill.operators.dedupe import dedupe_columns, keep_one
 from vozmill.operators.page_parts import PageParts
 from vozmill.schemas import strings
 
@@ -389,4 +389,4 @@ def complaint_records(
         "page_id",
         "pos",
     )
-    return dedupe_id(records, "last", ["page_id", "pos"])
+    return dedupe_columns(records, [bare_url(_C("source_url"))], "last", ["page_id", "pos"])

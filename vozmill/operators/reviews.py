@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vozmill import lexicon as lx
 from vozmill.functions.ids import review_id
 from vozmill.functions.text import bind, clean_review, collapse_spaces, infer_category, text_or_blank
-from vozmill.operators.dedupe import dedupe_id
+from vozmill.operators.dedupe import dedupe_columns
 
 _C = F.col
 # Line ends in the sense of Unicode text.
@@ -109,4 +109,5 @@ def review_records(
         "page_id",
         "line_no",
     )
-    return dedupe_id(records, "first", ["page_id", "line_no"])
+    hashed = [_C(c) for c in ("author", "feedback_date", "raw_text", "source_url")]
+    return dedupe_columns(records, hashed, "first", ["page_id", "line_no"])

@@ -13,7 +13,7 @@ from vozmill.functions.text import clean_review, infer_category, strip
 from vozmill.functions.values import to_bool
 from vozmill.operators import filters
 from vozmill.operators.classify import refresh_guides
-from vozmill.operators.dedupe import dedupe_id
+from vozmill.operators.dedupe import dedupe_columns
 from vozmill.operators.sets import align_schema, empty_feedback, require_columns
 from vozmill.schemas import (
     ANALYSIS_COLUMNS, ANALYZED_SCHEMA, FEEDBACK_COLUMNS, MANUAL_COLUMNS, ORDER_FIELDS,
@@ -128,7 +128,8 @@ def format_reviews(
         F.lit(channel).alias("channel"),
         "row_ord",
     )
-    return dedupe_id(done, "first", ["row_ord"])
+    hashed = [_C(c) for c in ("author", "feedback_date", "raw_text", "source_url")]
+    return dedupe_columns(done, hashed, "first", ["row_ord"])
 
 
 def read_review_seed(spark: SparkSession, path: str, default_url: str = "https://reviews.example.com/") -> DataFrame:
