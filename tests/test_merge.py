@@ -120,3 +120,13 @@ def test_fallback_and_alignment(spark):
     assert sets.align_schema(none.drop("author"), FEEDBACK_COLUMNS).columns == FEEDBACK_COLUMNS
     with pytest.raises(ValueError, match="title"):
         sets.require_columns(none, ["title", "source"], "input")
+
+
+def test_equal_ids_of_different_rows_lose_nothing(spark):
+    rows = [("x", "Ana", "um texto", 1), ("x", "Ana", "outro texto", 2), ("x", "Ana", "um texto", 3)]
+    df = spark.createDataFrame(rows, "feedback_id string, author string, raw_text string, row_ord bigint")
+    keys = [F.col("author"), F.col("raw_text")]
+    first = dedupe.dedupe_columns(df, keys, "first", ["row_ord"])
+    assert sorted(r.row_ord for r in first.collect()) == [1, 2]
+    last = dedupe.dedupe_columns(df, keys, "last", ["row_ord"])
+    assert sorted(r.row_ord for r in last.collect()) == [2, 3]

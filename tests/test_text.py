@@ -96,6 +96,10 @@ def test_dates_are_decided_per_row(values):
     assert values(dates.parse_date, texts) == [
         dt.date(2024, 2, 1), dt.date(2024, 2, 3), dt.date(2024, 12, 31), None, None, None, None,
     ]
+    texts = ["1/2/2024", "2024-2-3", "2024-02-03 10:00:00", "2024-02-03T10:00:00Z", "3/2/2024 9:05", "2024-02-03x", "1/2/24"]
+    assert values(dates.parse_date, texts) == [
+        dt.date(2024, 2, 1), dt.date(2024, 2, 3), dt.date(2024, 2, 3), dt.date(2024, 2, 3), dt.date(2024, 2, 3), None, None,
+    ]
     assert values(dates.extract_date, ["em 05/06/2024 e 07/08/2024", "2024", "105/06/20241"]) == [
         "05/06/2024", "", "",
     ]
