@@ -1,6 +1,6 @@
 """Toxicity by a counterfactually regularised classifier.
 
-A sparse logistic model over the words of a text. In each labelled training text that names a
+A sparse logistic model over the words of a text and their beginnings. In each labelled training text that names a
 group, every sentence is also read with the group's name swapped for others of its kind, and
 the squared change of the score is part of the loss. So names of groups carry no weight of
 their own: what is said counts, not about whom. Weights are kept sparse, so that the length of
