@@ -30,7 +30,21 @@ def test_parts_of_a_page():
 def test_broken_markup_does_not_lose_text():
     page = PageParts("</div><p>um</b> dois<li>tres<li>quatro <a href='x'>cinco")
     assert " ".join(page.pieces) == "um dois tres quatro cinco"
-    assert page.links(BASE)[0]["title"] == "cinco" and page.links(BASE)[0]["block"] == "quatro cinco"
+    links = page.links(BASE)
+    anchor = links["anchors"][0]
+    assert anchor["title"] == "cinco"
+    assert " ".join(links["pieces"][anchor["start"]:anchor["stop"]]) == "quatro cinco"
+
+
+def test_many_links_in_one_block_stay_small(spark):
+    """The parts of a page with many anchors in one block, and of tags that never close, grow with the page."""
+    anchors = [f"<a href='/loja/caso_{i % 900}'>Titulo do caso numero {i}</a>" for i in range(1000)]
+    html = "<div>" + "".join(anchors) + "</div>"
+    assert len(json.dumps(PageParts(html).links(BASE))) < 8 * len(html)
+    entries = extract.link_entries(pages(spark, html), PATH, BASE)
+    assert "Exchange" not in entries._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.pos for r in entries.select("pos").collect()) == list(range(900))
+    assert len(PageParts("<p>" + "<b>x<div>" * 20_000).pieces) == 20_000
 
 
 def test_link_entries(spark):

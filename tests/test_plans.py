@@ -52,8 +52,16 @@ def test_upsert_needs_one_exchange(stored):
 
 
 def test_clean_upsert_does_not_shuffle_a_large_stored_table(stored):
-    plan = plan_of(dedupe.upsert_into_clean(stored, stored.limit(5)))
-    assert "LeftAnti" in plan
+    incoming = stored.sparkSession.createDataFrame(stored.limit(5).collect(), stored.schema)
+    kept = dedupe.upsert_into_clean(stored, incoming)
+    kept.collect()
+    upper = plan_of(kept).split("Final Plan")[-1].split("Initial Plan")[0].split("LeftAnti")[0]
+    assert "LeftAnti" in plan_of(kept) and "Exchange" not in upper
+
+
+def test_top_themes_are_counted_once(stored):
+    plan = plan_of(aggregates.theme_top_other(stored))
+    assert plan.count("Scan parquet") == 1
 
 
 def test_aggregates_read_only_their_columns(stored):

@@ -42,20 +42,14 @@ def theme_top(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 def theme_top_other(df: DataFrame, n: int = 5) -> DataFrame:
-    """A3: the top n themes, the rest added to "outros", with shares.
-
-    The top list has n rows by construction, which bounds the broadcast.
-    """
+    """A3: the top n themes, the rest added to "outros", with shares. One pass; themes are ranked by their counts."""
     counts = theme_counts(
         df.withColumn("primary_theme", F.coalesce("primary_theme", F.lit(lx.OTHER_THEME)))
     )
-    top = counts.orderBy(_C("n").desc(), _C("primary_theme").asc()).limit(n)
-    top = top.select(_C("primary_theme").alias("top_theme"))
-    slices = (
-        counts.join(F.broadcast(top), _C("primary_theme") == _C("top_theme"), "left")
-        .groupBy(F.coalesce("top_theme", F.lit(lx.OTHER_THEME)).alias("primary_theme"))
-        .agg(F.sum("n").alias("n"))
-    )
+    by_count = Window.partitionBy(F.lit(1)).orderBy(_C("n").desc(), _C("primary_theme").asc())
+    ranked = counts.withColumn("_rank", F.row_number().over(by_count))
+    shown = F.when(_C("_rank") <= n, _C("primary_theme")).otherwise(lx.OTHER_THEME)
+    slices = ranked.groupBy(shown.alias("primary_theme")).agg(F.sum("n").alias("n"))
     whole = Window.partitionBy(F.lit(1))
     return slices.select(
         "primary_theme", "n", percent(_C("n"), F.sum("n").over(whole)).alias("pct")

@@ -30,7 +30,8 @@ from vozmill.schemas import strings
 _C = F.col
 
 PART_TYPES = {
-    "links": "array<struct<pos: int, url: string, title: string, block: string>>",
+    "links": "struct<anchors: array<struct<pos: int, url: string, title: string, start: int, stop: int>>, "
+             "pieces: array<string>>",
     "heading": "string",
     "og_title": "string",
     "body": "string",
@@ -106,18 +107,37 @@ def _entry_columns(brand: str, site: str) -> dict[str, Column]:
 def fitting_anchors(
     parsed: DataFrame, path_regex: str, brand: str = "Empresa", site: str = "Portal do Consumidor"
 ) -> DataFrame:
-    """Anchors with a fitting path and a long enough title: page_id, pos, source_url, title, block."""
-    links = parsed.select("page_id", F.explode_outer("links").alias("_link"))
-    anchors = links.where(_C("_link").isNotNull()).select(
-        "page_id",
-        _C("_link.pos").alias("pos"),
-        _C("_link.url").alias("source_url"),
-        strip_boilerplate(_C("_link.title"), brand, site).alias("title"),
-        _C("_link.block").alias("block"),
+    """Anchors with a fitting path and a long enough title: page_id, pos, source_url, title, block.
+
+    The first per URL of a page. All is decided inside the row of the page, and only the anchors
+    that stay get the text of their block.
+    """
+    fitting = F.filter(_C("links.anchors"), lambda x: filters.url_matches(x["url"], path_regex))
+    titled = F.filter(
+        F.transform(
+            fitting,
+            lambda x: F.struct(
+                x["url"].alias("source_url"), x["pos"].alias("pos"),
+                strip_boilerplate(x["title"], brand, site).alias("title"), x["start"].alias("start"), x["stop"].alias("stop"),
+            ),
+        ),
+        lambda x: F.length(x["title"]) >= 10,
     )
-    return anchors.where(
-        filters.url_matches(_C("source_url"), path_regex) & (F.length("title") >= 10)
+    # Sorted by URL, then position: the first of each URL follows another URL.
+    placed = parsed.select("page_id", _C("links.pieces").alias("_pieces"), F.array_sort(titled).alias("_placed"))
+    first = F.filter(
+        "_placed", lambda x, i: (i == 0) | (F.get(_C("_placed"), i - 1)["source_url"] != x["source_url"])
     )
+    blocked = F.transform(
+        first,
+        lambda x: F.struct(
+            "page_id", x["pos"].alias("pos"), x["source_url"].alias("source_url"), x["title"].alias("title"),
+            F.when(
+                x["start"].isNotNull(), F.array_join(F.slice("_pieces", x["start"] + 1, x["stop"] - x["start"]), " ")
+            ).alias("block"),
+        ),
+    )
+    return placed.select(F.inline(blocked))
 
 
 def read_entries(
@@ -141,9 +161,7 @@ def read_entries(
 
 def link_entries(pages: DataFrame, path_regex: str, base_url: str, **names) -> DataFrame:
     """Entries of listing pages, the first per page and URL."""
-    anchors = fitting_anchors(parse_pages(pages, ["links"], base_url), path_regex, **names)
-    first = keep_one(anchors, [_C("page_id"), _C("source_url")], [_C("pos").asc()])
-    return read_entries(first, **names)
+    return read_entries(fitting_anchors(parse_pages(pages, ["links"], base_url), path_regex, **names), **names)
 
 
 def merge_entries(entries: DataFrame, limit: int | None = None) -> DataFrame:

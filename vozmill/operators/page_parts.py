@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -44,6 +45,8 @@ class PageParts(HTMLParser):
         self.og_title = ""
         self.scripts: list[tuple[str, str, str]] = []
         self._open: list[_Element] = []
+        # Places in the stack of open elements, per tag: no step looks through the stack.
+        self._at: dict[str, list[int]] = defaultdict(list)
         self._buffer: list[str] = []
         self._script: tuple[str, str] | None = None
         self.feed(html or "")
@@ -60,7 +63,7 @@ class PageParts(HTMLParser):
         self._buffer = []
         if self._script is not None:
             self.scripts.append((*self._script, text.strip()))
-        if any(e.tag in _HIDDEN for e in self._open):
+        if self._innermost(_HIDDEN) >= 0:
             return
         self.raw.append(text)
         if text.strip():
@@ -93,12 +96,14 @@ class PageParts(HTMLParser):
         if tag in _VOID:
             element.end = element.start
         else:
+            self._at[tag].append(len(self._open))
             self._open.append(element)
         self._mark(tag, found, element)
 
     def _mark(self, tag: str, found: dict, element: _Element) -> None:
         if tag == "a" and found.get("href", "").strip():
-            block = next((e for e in reversed(self._open[:-1]) if e.tag in _BLOCKS), None)
+            depth = self._innermost(_BLOCKS)
+            block = self._open[depth] if depth >= 0 else None
             self.anchors.append((found["href"].strip(), element, block))
         elif tag == "h1":
             self.headings.append(element)
@@ -120,16 +125,18 @@ class PageParts(HTMLParser):
             self._script = None
         self._close(tag)
 
+    def _innermost(self, tags) -> int:
+        """Place of the innermost open element with one of the tags, -1 without any."""
+        return max((self._at[t][-1] for t in tags if self._at[t]), default=-1)
+
     def _close(self, tag: str, until=()) -> None:
-        """Close the innermost open ``tag`` and all in it; stop looking at ``until``."""
-        for depth in range(len(self._open) - 1, -1, -1):
-            if self._open[depth].tag == tag:
-                for element in self._open[depth:]:
-                    element.end = len(self.pieces)
-                del self._open[depth:]
-                return
-            if self._open[depth].tag in until:
-                return
+        """Close the innermost open ``tag`` and all in it, unless ``until`` lies deeper."""
+        depth = self._innermost((tag,))
+        if depth > self._innermost(until):
+            for element in self._open[depth:]:
+                element.end = len(self.pieces)
+                self._at[element.tag].pop()
+            del self._open[depth:]
 
     # -- results ------------------------------------------------------------------
     def heading(self) -> str:
@@ -143,7 +150,8 @@ class PageParts(HTMLParser):
     def ld_json(self) -> list[str]:
         return [text for _, kind, text in self.scripts if kind == "application/ld+json" and text]
 
-    def links(self, base_url: str) -> list[dict]:
+    def links(self, base_url: str) -> dict:
+        """Anchors, and the text pieces once: the block around an anchor is a range of them."""
         out = []
         for pos, (href, element, block) in enumerate(self.anchors):
             title = self.text_of(element)
@@ -156,10 +164,11 @@ class PageParts(HTMLParser):
                     "pos": pos,
                     "url": url,
                     "title": title,
-                    "block": self.text_of(block) if block is not None else None,
+                    "start": block.start if block is not None else None,
+                    "stop": block.end if block is not None else None,
                 }
             )
-        return out
+        return {"anchors": out, "pieces": self.pieces}
 
     def blocks(self) -> list[dict]:
         """Texts of the marked blocks, by selector rank, then position."""
