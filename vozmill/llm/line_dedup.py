@@ -192,12 +192,15 @@ def open_links(placed: DataFrame, texts: DataFrame, similarity: float, shingle:
     dealt = dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(batch.column(k).to_pylist() for k in ("band", "x", "y", "own", "line", "component", "folded")))
+        for batch in pieces(batches, "folded"):
+            texts = batch.column("folded").to_pylist()
+            bands = band_values(texts, size=shingle).view(np.int64)
+            fields = (batch.column(k).to_pylist() for k in ("band", "x", "y", "own", "line", "component"))
+            yield from zip(*fields, texts, bands)
 
     def links(group: list[tuple]) -> Iterator[tuple[int, int]]:
         band, x, y = group[0][:3]
-        bands = band_values([r[6] for r in group], size=shingle).view(np.int64)
+        bands = np.array([r[7] for r in group])
         side = np.array([r[3] for r in group])
         component = np.array([r[5] for r in group], np.int64)
         here = int(np.flatnonzero((bands == band).all(0))[0])
@@ -228,14 +231,16 @@ def linked_lines(docs: DataFrame, lines: DataFrame, similarity: float, shingle:
         bands.groupBy("band").agg(F.count("*").alias("n"), F.min("line").alias("low"), F.max("line").alias("high"))
         .where(_C("low") < _C("high"))
     )
+    # Hashed joins here and below: the hinted sides hold narrow rows of different keys, so they deal
+    # out evenly, and the wide or many rows of the other side need no sort.
     large = buckets.where(_C("n") > 2).select("band", "low")
-    members = stored(bands.join(large, "band").distinct())
+    members = stored(bands.join(large.hint("shuffle_hash"), "band").distinct())
     stars = buckets.where(_C("n") == 2).select(_C("low").alias("a"), _C("high").alias("b")).union(
         members.where(_C("line") != _C("low")).select(_C("low").alias("a"), _C("line").alias("b"))
     )
     pairs = stored(stars.distinct())
     wanted = pairs.select(_C("a").alias("line")).union(pairs.select(_C("b").alias("line"))).distinct()
-    texts = stored(line_texts(docs, shingle).join(wanted, "line").dropDuplicates(["line"]))
+    texts = stored(line_texts(docs, shingle).join(wanted.hint("shuffle_hash"), "line").dropDuplicates(["line"]))
     links = stored(verified(pairs, texts, similarity, shingle))
     found = components(links)
     placed = members.where(_C("line") != _C("low")).join(found, members["line"] == found["node"], "left").select(
@@ -252,16 +257,23 @@ def removed_lines(docs: DataFrame, similarity: float, shingle: int) -> DataFrame
     """(id, lines): the numbers of the lines that go, per document. ``docs``: id, text."""
     lines = stored(hashed_lines(docs, shingle))
     found = linked_lines(docs, lines, similarity, shingle)
-    placed = lines.select("id", "line_no", "h1", "h2").join(found, lines["h1"] == found["node"], "left").select(
+    placed = lines.select("id", "line_no", "h1", "h2").join(
+        found.hint("shuffle_hash"), lines["h1"] == found["node"], "left"
+    ).select(
         "id", "line_no", F.coalesce("component", "h1").alias("g1"),
         F.when(_C("component").isNull(), _C("h2")).otherwise(0).alias("g2"),
     )
     placed = stored(placed)
     # A group is one row per task before it is dealt out, and the join's large side can be split.
-    first = F.min(F.struct("id", "line_no")).alias("first")
-    repeated = placed.groupBy("g1", "g2").agg(F.count("*").alias("n"), first).where(_C("n") > 1)
-    gone = placed.join(repeated, ["g1", "g2"]).where(F.struct("id", "line_no") != _C("first"))
-    return gone.groupBy("id").agg(F.collect_set("line_no").alias("gone"))
+    groups = placed.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where(_C("n") > 1)
+    repeated = placed.join(groups.hint("shuffle_hash"), ["g1", "g2"]).select(
+        "id", "g1", "g2", "line_no", (_C("id") == _C("first_id")).alias("own")
+    )
+    # One exchange serves both groupings: the lines of a document lie together.
+    per_group = repeated.repartition("id").groupBy("id", "g1", "g2", "own").agg(F.collect_set("line_no").alias("nos"))
+    gone = F.when(_C("own"), F.array_except("nos", F.array(F.array_min("nos")))).otherwise(_C("nos"))
+    per_document = per_group.select("id", gone.alias("gone")).where(F.size("gone") > 0)
+    return per_document.groupBy("id").agg(F.flatten(F.collect_list("gone")).alias("gone"))
 
 
 def dedup_lines(
@@ -273,7 +285,7 @@ def dedup_lines(
     """
     base = docs.select(_C(id_col).alias("id"), _C(text_col).alias("text")).where(_C("id").isNotNull())
     gone = removed_lines(base, similarity, shingle).select(_C("id").alias("__id"), _C("gone").alias("__gone"))
-    joined = docs.join(gone, docs[id_col] == gone["__id"], "left")
+    joined = docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["__id"], "left")
     split = F.split(docs[text_col], "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
     text = F.when(_C("__gone").isNull(), docs[text_col]).otherwise(
