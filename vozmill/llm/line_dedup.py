@@ -38,19 +38,25 @@ _C = F.col
 SHINGLE, BANDS, ROWS, SEED = 8, 10, 4, 5
 #: Lines of a bucket that meet in one task: two blocks of about this many.
 BLOCK = 256
+#: Shingles that are hashed at a time.
+CACHED = 1 << 16
 
 
 def normal(line: bytes) -> bytes:
     return b" ".join(line.lower().split())
 
 
+def _codes(raw: bytes, size: int) -> np.ndarray:
+    """Each run of ``size`` bytes as one number, 8 at most; the runs overlap in the buffer itself."""
+    runs = np.ndarray((len(raw) - size + 1,), "<u8", raw + bytes(8 - size), strides=(1,))
+    return runs & np.uint64((1 << 8 * size) - 1)
+
+
 @lru_cache(maxsize=4096)
 def shingles(line: bytes, size: int = SHINGLE) -> np.ndarray:
     """The different shingles as sorted numbers; a shorter line is one shingle. 8 bytes at most."""
-    raw = np.frombuffer(line.ljust(size, b"\0"), np.uint8)
-    windows = np.zeros((len(raw) - size + 1, 8), np.uint8)
-    windows[:, :size] = np.lib.stride_tricks.sliding_window_view(raw, size)
-    return np.unique(windows.view("<u8"))
+    code = np.sort(_codes(line.ljust(size, b"\0"), size))
+    return np.concatenate([code[:1], code[1:][code[1:] != code[:-1]]])
 
 
 def jaccard(a: bytes, b: bytes, size: int = SHINGLE, least: float = 0.0) -> float:
@@ -71,27 +77,33 @@ def band_values(lines: list[bytes], bands: int = BANDS, rows: int = ROWS, size:
     factors = rng.integers(0, 1 << 31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     shifts = rng.integers(0, 1 << 32, count, dtype=np.uint32)
     lengths = np.array([len(x) for x in lines])
-    raw = np.frombuffer(b"".join(lines), np.uint8)
-    windows = np.zeros((len(raw) - size + 1, 8), np.uint8)
-    windows[:, :size] = np.lib.stride_tricks.sliding_window_view(raw, size)
+    raw = b"".join(lines)
     whole = np.ones(len(raw), bool)
     ends = np.cumsum(lengths)
     for back in range(1, size):
         whole[ends - back] = False
-    code = windows.view("<u8").ravel()[whole[: len(windows)]]
+    code = _codes(raw, size)
+    code = code[whole[: len(code)]]
     mixed = ((code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
     mixed = mixed.astype(np.uint32)
-    starts = np.concatenate([[0], np.cumsum(lengths - size + 1)[:-1]])
+    stops = np.cumsum(lengths - size + 1)
+    starts = stops - (lengths - size + 1)
+    least = np.empty((count, len(lines)), np.uint32)
+    i = 0
+    while i < len(lines):  # a few lines at a time, so that their numbers stay in the processor's cache
+        j = max(int(np.searchsorted(stops, starts[i] + CACHED, side="right")), i + 1)
+        part, inner = mixed[starts[i] : stops[j - 1]], starts[i:j] - starts[i]
+        step = np.empty_like(part)
+        for k in range(count):
+            np.multiply(part, factors[k], out=step)
+            np.add(step, shifts[k], out=step)
+            least[k, i:j] = np.minimum.reduceat(step, inner)
+        i = j
     out = np.zeros((len(lines), bands), np.uint64)
-    step = np.empty_like(mixed)
     for band in range(bands):
         value = np.full(len(lines), band + 1, np.uint64)
-        for row in range(rows):
-            k = band * rows + row
-            np.multiply(mixed, factors[k], out=step)
-            np.add(step, shifts[k], out=step)
-            least = np.minimum.reduceat(step, starts).astype(np.uint64)
-            value = (value ^ least) * np.uint64(0xD6E8FEB86659FD93)
+        for k in range(band * rows, band * rows + rows):
+            value = (value ^ least[k]) * np.uint64(0xD6E8FEB86659FD93)
             value ^= value >> np.uint64(32)
         out[:, band] = value
     return out
