@@ -1,6 +1,7 @@
 """The operators against plain versions, on the smallest tables and on odd rows."""
 
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -130,6 +131,25 @@ def test_decontamination_paraphrase_and_odd_rows(spark, docs, odd, none):
     assert rows(two)[10_001]["items"] == [1, 11]
 
 
+@pytest.mark.parametrize("size, many", [(15, 1500), (59, 200), (200, 200)])
+def test_decontamination_finds_every_copy(spark, docs, size, many):
+    rng = np.random.default_rng(size)
+    texts = [re.findall(r"[^\W_]+", d["text"].lower()) for d in docs.where("length(text) > 2500").orderBy("doc_id").collect()]
+    cut = lambda: (lambda t: (lambda a: t[a : a + size])(rng.integers(len(t) - size)))(texts[rng.integers(len(texts))])
+    items = [cut() for _ in range(many)]
+    rest = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    asked = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    planted = []
+    for k in range(60):
+        around, copy = texts[k % len(texts)][:150], list(items[k])
+        for x in rng.permutation(size)[: size // 7 if k % 2 else 0]:
+            copy[x] = "zzyx"
+        at = rng.integers(len(around))
+        planted.append((10_000 + k, " ".join(around[:at] + copy + around[at:])))
+    got = rows(decontamination.find_contaminated(rest.union(spark.createDataFrame(planted, rest.schema)), asked))
+    assert all(k in got[10_000 + k]["items"] for k in range(60))
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(30):
