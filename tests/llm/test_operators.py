@@ -150,6 +150,18 @@ def test_decontamination_finds_every_copy(spark, docs, size, many):
     assert all(k in got[10_000 + k]["items"] for k in range(60))
 
 
+def test_decontamination_finds_parts_of_an_item(spark):
+    item = [f"w{k}" for k in range(59)]
+    other = [f"v{k}" for k in range(80)]
+    edited = [("zzyx" if k % 7 == 3 else w) for k, w in enumerate(item[5:45])]
+    parts = [item[:34], item[:45], item[20:32], edited, item[20:31], item[::2]]
+    texts = spark.createDataFrame([(k, " ".join(other[:40] + p + other[40:])) for k, p in enumerate(parts)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = rows(decontamination.find_contaminated(texts, asked))
+    assert [got[k]["contaminated"] for k in range(6)] == [True, True, True, True, False, False]
+    assert abs(got[0]["share"] - 34 / 59) < 1e-9
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(30):
