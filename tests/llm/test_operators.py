@@ -162,6 +162,27 @@ def test_decontamination_finds_parts_of_an_item(spark):
     assert abs(got[0]["share"] - 34 / 59) < 1e-9
 
 
+def test_decontamination_finds_short_items_and_scripts_without_spaces(spark):
+    asked = spark.createDataFrame([
+        (1, "Who wrote Faust?"), (2, "中国最长的河流是哪一条"), (3, "ประเทศไทยมีกี่จังหวัด"),
+        (4, "日本で一番高い山は富士山で、二番目に高い山は北岳であると言われている。"), (5, "???"),
+    ], "item_id long, text string")
+    texts = [
+        "asked: who wrote Faust", "who wrote a Faust", "他问：中国最长的河流是哪一条？我不知道。", "中国的河流最长", "ถามว่าประเทศไทยมีกี่จังหวัดครับ",
+        "それでは日本で一番高い山は富士山で、二番目に高い岳は北岳であると言われている。そうです", "日本の山", "who wrote",
+    ]
+    rest = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(decontamination.find_contaminated(rest, asked))
+    assert [got[k]["items"] for k in range(8)] == [[1], [], [2], [], [3], [4], [], []]
+
+
+def test_words_of_scripts_without_spaces():
+    split = decontamination.Words(["ab 中国、x日y ไทย 한국 é𠀀z".encode(), "本".encode()])
+    parts = [w.decode() for w in split.slice(0, len(split.start))]
+    assert parts == ["ab", "中", "国", "x", "日", "y", "ไ", "ท", "ย", "한국", "é", "𠀀", "z", "本"]
+    assert split.bounds.tolist() == [0, 13, 14]
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(30):
