@@ -183,6 +183,14 @@ def test_words_of_scripts_without_spaces():
     assert split.bounds.tolist() == [0, 13, 14]
 
 
+def test_decontamination_fit_is_not_one_task(spark, docs, monkeypatch):
+    plans, fit = [], decontamination.latent_space
+    monkeypatch.setattr(decontamination, "latent_space", lambda texts, *a: plans.append(texts._jdf.queryExecution().toString()) or fit(texts, *a))
+    asked = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20)))], "item_id long, text string")
+    decontamination.find_contaminated(docs, asked)
+    assert plans and "Limit" not in plans[0]
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(30):
