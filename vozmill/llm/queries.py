@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vozmill.llm import (
-    decontamination, language_id, license_scan, line_dedup, quality_classifier, quality_rules, simhash_dedup,
+    collocations, decontamination, language_id, license_scan, line_dedup, quality_classifier, quality_rules, simhash_dedup,
     source_mixing, toxicity, url_reputation,
 )
 from vozmill.llm.common import read
@@ -75,6 +75,10 @@ def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules.judge(read(spark, d, "documents"), read(spark, d, "labels"))
 
 
+def op11_collocations(spark: SparkSession, d: str) -> DataFrame:
+    return collocations.collocations(read(spark, d, "documents"), max_words=3, min_count=10, held_percent=50, top=2000)
+
+
 def _prepared(function: Query) -> Query:
     return lambda spark, d: function(prepare(spark), d)
 
@@ -83,6 +87,6 @@ QUERIES: dict[str, Query] = {
     f.__name__: _prepared(f)
     for f in (
         op1_simhash_dedup, op2_decontamination, op3_language_id, op4_toxicity, op5_line_dedup, op6_url_reputation, op7_license_scan,
-        op8_quality_classifier, op9_source_mixing, op10_quality_rules,
+        op8_quality_classifier, op9_source_mixing, op10_quality_rules, op11_collocations,
     )
 }
