@@ -45,4 +45,35 @@ FROM scored JOIN size USING (lang)
 QUALIFY rank <= 2000
 """
 
-ORACLES: dict[str, str] = {"op11_collocations": OP11}
+#: Terms of documents and items, weights, impacts; every document is scored for every item.
+OP13 = r"""
+WITH term AS (
+    SELECT doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents
+), tf AS (
+    SELECT doc_id, term, count(*) AS tf FROM term GROUP BY ALL
+), len AS (
+    SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id
+), total AS (
+    SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM len
+), weight AS (
+    SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w
+    FROM tf, total GROUP BY term, docs
+), asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), scored AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // terms))))::BIGINT AS score
+    FROM asked JOIN tf USING (term) JOIN len USING (doc_id) JOIN weight USING (term), total
+    GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 50
+"""
+
+ORACLES: dict[str, str] = {"op11_collocations": OP11, "op13_lexical_search": OP13}

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vozmill.llm import (
-    collocations, decontamination, language_id, license_scan, line_dedup, quality_classifier, quality_rules, simhash_dedup,
-    source_mixing, toxicity, url_reputation,
+    collocations, consistent_parsing, decontamination, language_id, lexical_search, license_scan, line_dedup,
+    quality_classifier, quality_rules, simhash_dedup, source_mixing, toxicity, url_reputation,
 )
 from vozmill.llm.common import read
 from vozmill.session import prepare
@@ -79,6 +79,14 @@ def op11_collocations(spark: SparkSession, d: str) -> DataFrame:
     return collocations.collocations(read(spark, d, "documents"), max_words=3, min_count=10, held_percent=50, top=2000)
 
 
+def op12_document_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return consistent_parsing.with_neighbours(read(spark, d, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, d: str) -> DataFrame:
+    return lexical_search.search(read(spark, d, "documents"), read(spark, d, "benchmark"), top=50)
+
+
 def _prepared(function: Query) -> Query:
     return lambda spark, d: function(prepare(spark), d)
 
@@ -88,5 +96,6 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_simhash_dedup, op2_decontamination, op3_language_id, op4_toxicity, op5_line_dedup, op6_url_reputation, op7_license_scan,
         op8_quality_classifier, op9_source_mixing, op10_quality_rules, op11_collocations,
+        op12_document_fingerprints, op13_lexical_search,
     )
 }
