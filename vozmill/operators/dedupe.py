@@ -23,10 +23,14 @@ def _ordering(order_columns, keep: str) -> list[Column]:
     return [F.col(c).desc() if keep == "last" else F.col(c).asc() for c in order_columns]
 
 
-def _with_key(df: DataFrame, order_columns) -> DataFrame:
+def with_merge_key(df: DataFrame, order_columns=ORDER_COLUMNS, name: str = "merge_key") -> DataFrame:
     """Merge key; a row without URL and id gets a key of its own."""
     own = F.concat_ws(":", F.lit("row:"), *[F.col(c).cast("string") for c in order_columns])
-    return df.withColumn("_key", F.coalesce(merge_key(F.col("source_url"), F.col("feedback_id")), own))
+    return df.withColumn(name, F.coalesce(merge_key(F.col("source_url"), F.col("feedback_id")), own))
+
+
+def _with_key(df: DataFrame, order_columns) -> DataFrame:
+    return with_merge_key(df, order_columns, "_key")
 
 
 def dedupe_url(df: DataFrame, order_columns=ORDER_COLUMNS) -> DataFrame:
