@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from vozmill.operators import extract, reviews
+from vozmill import lexicon as lx
+from vozmill.operators import extract, json_parts, reviews
 from vozmill.operators.page_parts import PageParts
 
 BASE = "https://site.example.com"
@@ -73,8 +74,9 @@ def test_merge_keeps_the_first_page(spark):
 
 
 def walk(node, path=""):
+    """(number of hint words in the path, text) of all strings."""
     if isinstance(node, str):
-        yield path, node
+        yield sum(hint in path.lower() for hint in lx.JSON_PATH_HINTS), node
     elif isinstance(node, dict):
         for k, v in node.items():
             yield from walk(v, f"{path}.{k}" if path else k)
@@ -83,26 +85,103 @@ def walk(node, path=""):
             yield from walk(v, f"{path}[{i}]")
 
 
-def test_json_strings_against_recursion():
+def linked(node):
+    if isinstance(node, dict):
+        kind = node.get("@type", "")
+        for key in lx.LD_TEXT_KEYS:
+            if isinstance(node.get(key), str):
+                yield kind if isinstance(kind, str) else "", node[key]
+        for value in node.values():
+            yield from linked(value)
+    elif isinstance(node, list):
+        for value in node:
+            yield from linked(value)
+
+
+KEYS = ["a", "Text", "bodyMessage", "@type", "description", "question Body", "x.y", "reviewBody", ""]
+
+
+def test_json_reader_against_recursion():
     rng = random.Random(7)
 
     def make(depth):
-        kind = rng.randrange(4 if depth else 2)
-        if kind == 0:
-            return rng.choice(["a", "b c", ""])
-        if kind == 1:
-            return rng.choice([1, None, True])
-        if kind == 2:
-            return [make(depth - 1) for _ in range(rng.randrange(4))]
-        return {f"k{i}": make(depth - 1) for i in range(rng.randrange(4))}
-
-    for _ in range(200):
+        kind = rng.random()
+        if depth == 0 or kind < 0.4:
+            return rng.choice(["s", '"q"\\n', "é\u2028", "", 1, -2.5e3, True, None, float("nan")])
+        if kind < 0.7:
+            return [make(depth - 1) for _ in range(rng.randrange(5))]
+        return {rng.choice(KEYS): make(depth - 1) for _ in range(rng.randrange(6))}
+
+    for _ in range(3000):
         tree = make(5)
-        got = [(x["path"], x["text"]) for x in extract._walk_strings(json.dumps(tree))]
-        assert got == list(walk(tree))
-    assert extract._walk_strings("{bad") == [] and extract._walk_strings(None) == []
-    deep = "[" * 900 + '"x"' + "]" * 900
-    assert len(extract._walk_strings(deep)) == 1
+        text = json.dumps(tree, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5)
+        assert json_parts.strings(text) == list(walk(tree))
+        assert json_parts.linked_texts([text]) == list(linked(tree))
+        cut = json_parts.strings(text[: rng.randrange(len(text) + 1)])
+        assert len(cut) <= len(list(walk(tree)))
+
+
+def test_json_reader_on_broken_and_deep_texts():
+    assert json_parts.strings("{bad") == [] and json_parts.strings(None) == [] and json_parts.strings("") == []
+    assert json_parts.strings('{"text":"kept","b":["also", oops, "lost"]}') == [(1, "kept"), (0, "also")]
+    assert json_parts.strings('{"a":"1","b":"x","a":"2"}') == [(0, "x"), (0, "2")]
+    assert json_parts.strings('["\\ud800"]') == [(0, "\ufffd")]
+    deep = "[" * 20_000 + '"x"' + "]" * 20_000
+    assert json_parts.strings(f'{{"a":{deep},"text":"y"}}') == [(0, "x"), (1, "y")]
+    nested = '{"description":' * 20_000 + '"z"' + "}" * 20_000
+    assert json_parts.strings(nested) == [(1, "z")] and json_parts.linked_texts([nested]) == [("", "z")]
+
+
+def test_deep_lists_leave_the_other_strings(spark):
+    deep = "[" * 20_000 + "]" * 20_000
+    html = (
+        f'<h1>Titulo da pagina</h1><script id="__NEXT_DATA__">{{"deep":{deep},"text":"{LONG}"}}</script>'
+        f'<script type="application/ld+json">[{deep},{{"@type":"Review","text":"{LONG} ld"}}]</script>'
+    )
+    parsed = extract.parse_pages(pages(spark, html), extract.DETAIL_PARTS, BASE)
+    row = extract.page_texts(parsed).first()
+    assert (row.json_text, row.ld_text, row.heading) == (LONG, LONG + " ld", "Titulo da pagina")
+    df = spark.createDataFrame([(0, f'{{"deep":{deep},"text":"{LONG}"}}')], "page_id int, embedded_json string")
+    got = extract.with_json_candidates(df).select(extract.best_candidate(F.col("json_candidates")).alias("t"))
+    assert got.first().t == LONG
+
+
+def test_unclosed_anchors_and_nested_blocks_stay_small():
+    html = "".join(f'<a href="/x/{i}">titulo do caso numero {i} ' for i in range(1000))
+    page = PageParts(html)
+    found = page.links(BASE)
+    assert [x["title"] for x in found["anchors"][:2]] == ["titulo do caso numero 0", "titulo do caso numero 1"]
+    assert sum(len(x["title"]) for x in found["anchors"]) + sum(map(len, found["pieces"])) < 2 * len(html)
+    html = "".join(f'<div class="complaint-description">texto do nivel {i} ' for i in range(1000)) + "</div>" * 1000
+    page = PageParts(html)
+    assert len(page.blocks()) == 1000 and sum(map(len, page.pieces)) < len(html)
+    assert all(
+        b["n_chars"] == len(" ".join(page.pieces[b["start"] : b["stop"]])) for b in page.blocks()
+    )
+    closed = PageParts('<a href="/a">um <b>dois</a> tres <a href="/b">quatro</a> cinco')
+    assert [x["title"] for x in closed.links(BASE)["anchors"]] == ["um dois", "quatro"]
+
+
+def test_best_block_equals_the_best_candidate(spark):
+    bad = "termos de uso " + LONG
+    html = [
+        f'<div id="complaint-description">{LONG}</div><p class="complaint-description">{LONG} mais longo</p>',
+        f'<div class="complaint-description">{bad}<div class="complaint-description"> {LONG}  <b>e mais</b>\n texto </div></div>',
+        '<div class="complaint-description">curto</div>', "<p>nada</p>",
+        f'<div class="x complaint-description"><p class="complaint-description">{LONG}</p></div><div class="complaint-description">{LONG[::-1]}</div>',
+    ]
+    parsed = extract.parse_pages(pages(spark, *html), extract.DETAIL_PARTS, BASE)
+    both = extract.with_block_candidates(parsed).select(
+        extract.best_block().alias("fast"), extract.best_candidate(F.col("block_candidates")).alias("plain")
+    )
+    rows = both.collect()
+    assert [r.fast for r in rows] == [r.plain for r in rows] and sum(r.fast != "" for r in rows) == 3
+
+
+def test_details_need_one_python_pass(spark):
+    parsed = extract.parse_pages(pages(spark, "<h1>x</h1>"), extract.DETAIL_PARTS, BASE)
+    plan = extract.page_texts(parsed)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Arrow") + plan.count("Python") + plan.count("Pandas") == 1
 
 
 def test_best_json_candidate(spark):
@@ -118,7 +197,9 @@ def test_linked_data(spark):
         '<script type="application/ld+json">{broken</script>' % (LONG, LONG)
     )
     parsed = extract.parse_pages(pages(spark, html), extract.DETAIL_PARTS, BASE)
-    rows = extract.explode_candidates(extract.with_ld_candidates(parsed), "ld_candidates").collect()
+    rows = extract.explode_candidates(
+        parsed.withColumn("ld_candidates", extract.ld_candidates(F.col("ld_strings"))), "ld_candidates"
+    ).collect()
     assert sorted((r.pos, r.score) for r in rows) == [(0, len(LONG) + 1), (1, len(LONG) + 100)]
     assert extract.page_texts(parsed).first().ld_text == LONG
 

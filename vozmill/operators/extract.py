@@ -7,13 +7,13 @@ and everything about one page is decided within its row, without a shuffle.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vozmill import lexicon as lx
 from vozmill.functions import dates
@@ -24,8 +24,8 @@ from vozmill.functions.text import (
 )
 from vozmill.operators import filters
 from vozmill.operators.dedupe import dedupe_columns, keep_one
+from vozmill.operators import json_parts
 from vozmill.operators.page_parts import PageParts
-from vozmill.schemas import strings
 
 _C = F.col
 
@@ -34,14 +34,18 @@ PART_TYPES = {
              "pieces: array<string>>",
     "heading": "string",
     "og_title": "string",
-    "body": "string",
+    "pieces": "array<string>",
     "lines": "string",
-    "embedded_json": "string",
-    "ld_json": "array<string>",
-    "blocks": "array<struct<rank: int, text: string>>",
+    "json_strings": "array<struct<hits: int, text: string>>",
+    "ld_strings": "array<struct<type: string, text: string>>",
+    "blocks": "array<struct<rank: int, start: int, stop: int, n_chars: int>>",
 }
 
 
+#: Pages whose parts are held at once.
+PAGES_PER_BATCH = 256
+
+
 def parse_pages(pages: DataFrame, parts: list[str], base_url: str) -> DataFrame:
     """Named parts of every page; one row per page, (page_id, url, *parts).
 
@@ -52,28 +56,29 @@ def parse_pages(pages: DataFrame, parts: list[str], base_url: str) -> DataFrame:
         raise ValueError(f"Unknown page parts: {unknown}")
     schema = "page_id bigint, url string, " + ", ".join(f"{p} {PART_TYPES[p]}" for p in parts)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make = {
-            "links": lambda page: page.links(base_url),
-            "heading": lambda page: page.heading(),
-            "og_title": lambda page: page.og_title,
-            "body": lambda page: " ".join(page.pieces),
-            "lines": lambda page: "\n".join(page.raw),
-            "embedded_json": lambda page: page.embedded_json(),
-            "ld_json": lambda page: page.ld_json(),
-            "blocks": lambda page: page.blocks(),
-        }
+    make = {
+        "links": lambda page: page.links(base_url),
+        "heading": lambda page: page.heading(),
+        "og_title": lambda page: page.og_title,
+        "pieces": lambda page: page.pieces,
+        "lines": lambda page: "\n".join(page.raw),
+        "json_strings": lambda page: [{"hits": n, "text": t} for n, t in page.json_strings()],
+        "ld_strings": lambda page: [{"type": k, "text": t} for k, t in page.linked_texts()],
+        "blocks": lambda page: page.blocks(),
+    }
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            read_pages = [PageParts(html) for html in batch["html"]]
-            yield pd.DataFrame(
-                {
-                    "page_id": batch["page_id"],
-                    "url": batch["url"],
-                    **{p: [make[p](page) for page in read_pages] for p in parts},
-                }
-            )
+            for start in range(0, batch.num_rows, PAGES_PER_BATCH):
+                part = batch.slice(start, PAGES_PER_BATCH)
+                read_pages = [PageParts(html) for html in part.column("html").to_pylist()]
+                made = [pa.array([make[p](page) for page in read_pages], kinds.field(p).type) for p in parts]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *made], schema=kinds)
 
-    return pages.select("page_id", "url", "html").mapInPandas(read, schema)
+    return pages.select(
+        _C("page_id").cast("bigint").alias("page_id"), _C("url").cast("string").alias("url"), "html"
+    ).mapInArrow(read, schema)
 
 
 def decode_pages(df: DataFrame, column: str = "content") -> DataFrame:
@@ -179,59 +184,18 @@ def listing_entries(
 
 
 # ---------------------------------------------------------------------- candidates
-def _walk_strings(payload: str | None) -> list[dict]:
-    """All strings of nested JSON with their paths, in document order."""
-    try:
-        root = json.loads(payload) if payload else None
-    except (ValueError, RecursionError):
-        return []
-    found, stack = [], [("", root)]
-    while stack:
-        path, node = stack.pop()
-        if isinstance(node, str):
-            found.append({"path": path, "text": node})
-        elif isinstance(node, dict):
-            inner = [(f"{path}.{k}" if path else str(k), v) for k, v in node.items()]
-            stack.extend(reversed(inner))
-        elif isinstance(node, list):
-            stack.extend(reversed([(f"{path}[{i}]", v) for i, v in enumerate(node)]))
-    return found
-
-
-def _walk_ld(payloads) -> list[dict]:
-    """Text fields of linked-data objects at any depth, with the type of their object."""
-    found = []
-    for payload in payloads if payloads is not None else []:
-        try:
-            stack = [json.loads(payload)]
-        except (ValueError, RecursionError):
-            continue
-        while stack:
-            node = stack.pop()
-            if isinstance(node, dict):
-                kind = str(node.get("@type", ""))
-                for key in lx.LD_TEXT_KEYS:
-                    if isinstance(node.get(key), str):
-                        found.append({"type": kind, "text": node[key]})
-                stack.extend(reversed(list(node.values())))
-            elif isinstance(node, list):
-                stack.extend(reversed(node))
-    return found
-
-
-@F.pandas_udf(T.ArrayType(strings(["path", "text"])))
-def json_strings(payload: pd.Series) -> pd.Series:
-    return payload.map(_walk_strings)
-
-
-@F.pandas_udf(T.ArrayType(strings(["type", "text"])))
-def ld_strings(payloads: pd.Series) -> pd.Series:
-    return payloads.map(_walk_ld)
-
-
-def json_score(path: Column, text: Column) -> Column:
-    lowered = F.lower(path)
-    hits = sum((lowered.contains(h).cast("int") for h in lx.JSON_PATH_HINTS), F.lit(0))
+_JSON_STRINGS = T.ArrayType(T.StructType([T.StructField("hits", T.IntegerType()), T.StructField("text", T.StringType())]))
+
+
+@F.arrow_udf(_JSON_STRINGS)
+def json_strings(payload: pa.Array) -> pa.Array:
+    """The strings of JSON texts, each with the number of hint words in the keys above it."""
+    kind = pa.list_(pa.struct([("hits", pa.int32()), ("text", pa.string())]))
+    found = [json_parts.strings(text) for text in payload.to_pylist()]
+    return pa.array([[{"hits": n, "text": t} for n, t in each] for each in found], kind)
+
+
+def json_score(hits: Column, text: Column) -> Column:
     return F.length(text) + hits * lx.JSON_HINT_WEIGHT
 
 
@@ -264,27 +228,55 @@ def best_candidate(candidates: Column) -> Column:
     return F.coalesce(F.array_max(ranked)["t"], F.lit(""))
 
 
+def json_candidates(strings: Column) -> Column:
+    """Candidates among the strings of embedded JSON."""
+    return _candidates(strings, lambda item, text: json_score(item["hits"], text))
+
+
+def ld_candidates(strings: Column) -> Column:
+    """E5: candidates among the text fields of linked data."""
+    return _candidates(strings, lambda item, text: ld_score(item["type"], text))
+
+
 def with_json_candidates(df: DataFrame, column: str = "embedded_json") -> DataFrame:
     """Adds ``json_candidates`` from the JSON text of a column."""
     return df.withColumn("_strings", json_strings(_C(column))).withColumn(
-        "json_candidates",
-        _candidates(_C("_strings"), lambda item, text: json_score(item["path"], text)),
+        "json_candidates", json_candidates(_C("_strings"))
     ).drop("_strings")
 
 
+def _block_text(block: Column, pieces: Column) -> Column:
+    return F.array_join(F.slice(pieces, block["start"] + 1, block["stop"] - block["start"]), " ")
+
+
 def with_block_candidates(df: DataFrame) -> DataFrame:
-    """Adds ``block_candidates`` from the marked blocks of a parsed page."""
+    """Adds ``block_candidates``, all with their texts, from the marked blocks of a parsed page."""
+    texts = F.transform("blocks", lambda x: F.struct(x["rank"].alias("rank"), _block_text(x, _C("pieces")).alias("text")))
     return df.withColumn(
-        "block_candidates",
-        _candidates(_C("blocks"), lambda item, text: F.length(text) + lx.BLOCK_WEIGHT),
+        "block_candidates", _candidates(texts, lambda item, text: F.length(text) + lx.BLOCK_WEIGHT)
+    )
+
+
+def best_block() -> Column:
+    """E4 and E6 at once: the text of the best block, blank without candidates.
+
+    The score grows with the length, which is known without the text: blocks are tried from the
+    longest on, and only those that are tried get their text.
+    """
+    tried = F.array_sort(
+        F.transform(
+            F.filter("blocks", lambda x: x["n_chars"] >= 40),
+            lambda x, i: F.struct((-x["n_chars"]).alias("less"), i.alias("pos"), x["start"].alias("start"), x["stop"].alias("stop")),
+        )
     )
 
+    def first(found: Column, block: Column) -> Column:
+        fitting = bind(
+            _block_text(block, _C("pieces")), lambda text: F.when(is_complaint_flat(text), text).otherwise(F.lit(""))
+        )
+        return F.when(found != "", found).otherwise(fitting)
 
-def with_ld_candidates(df: DataFrame, column: str = "ld_json") -> DataFrame:
-    """E5: adds ``ld_candidates`` from the linked-data scripts of a parsed page."""
-    return df.withColumn("_ld", ld_strings(_C(column))).withColumn(
-        "ld_candidates", _candidates(_C("_ld"), lambda item, text: ld_score(item["type"], text))
-    ).drop("_ld")
+    return F.coalesce(F.aggregate(tried, F.lit(""), first), F.lit(""))
 
 
 def explode_candidates(df: DataFrame, column: str) -> DataFrame:
@@ -296,19 +288,18 @@ def explode_candidates(df: DataFrame, column: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- detail
-DETAIL_PARTS = ["heading", "og_title", "body", "embedded_json", "ld_json", "blocks"]
+DETAIL_PARTS = ["heading", "og_title", "pieces", "json_strings", "ld_strings", "blocks"]
 
 
 def page_texts(parsed: DataFrame) -> DataFrame:
     """Best text of each kind per page: ``json_text``, ``block_text``, ``ld_text``."""
-    staged = with_ld_candidates(with_block_candidates(with_json_candidates(parsed)))
-    return staged.withColumns(
+    return parsed.withColumns(
         {
-            "json_text": best_candidate(_C("json_candidates")),
-            "block_text": best_candidate(_C("block_candidates")),
-            "ld_text": best_candidate(_C("ld_candidates")),
+            "json_text": best_candidate(json_candidates(_C("json_strings"))),
+            "block_text": best_block(),
+            "ld_text": best_candidate(ld_candidates(_C("ld_strings"))),
         }
-    ).drop("json_candidates", "block_candidates", "ld_candidates")
+    ).drop("json_strings", "blocks", "ld_strings")
 
 
 def own_text(default: Column | None = None) -> Column:
@@ -335,7 +326,7 @@ def page_detail(
     texts = page_texts(parsed).select(
         _C("url").alias("source_url"),
         _C("page_id").alias("_page"),
-        "body",
+        F.array_join("pieces", " ").alias("body"),
         strip_boilerplate(_C("heading"), brand, site).alias("_h1"),
         strip_boilerplate(_C("og_title"), brand, site).alias("_og"),
         (own_text() != "").alias("_has_text"),

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 from vozmill import lexicon as lx
+from vozmill.operators import json_parts
 
+# Blank characters as the Catalyst expressions see them.
+_BLANK = re.compile("[\\s\x1c-\x1f]+")
 _VOID = {
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
     "track", "wbr",
@@ -45,6 +49,7 @@ class PageParts(HTMLParser):
         self.og_title = ""
         self.scripts: list[tuple[str, str, str]] = []
         self._open: list[_Element] = []
+        self._anchor: _Element | None = None
         # Places in the stack of open elements, per tag: no step looks through the stack.
         self._at: dict[str, list[int]] = defaultdict(list)
         self._buffer: list[str] = []
@@ -53,7 +58,7 @@ class PageParts(HTMLParser):
         self.close()
         self._flush()
         for element in self._open:
-            element.end = len(self.pieces)
+            self._end(element)
 
     # -- text -----------------------------------------------------------------
     def _flush(self) -> None:
@@ -66,8 +71,9 @@ class PageParts(HTMLParser):
         if self._innermost(_HIDDEN) >= 0:
             return
         self.raw.append(text)
-        if text.strip():
-            self.pieces.append(text.strip())
+        flat = _BLANK.sub(" ", text).strip(" ")
+        if flat:
+            self.pieces.append(flat)
 
     def text_of(self, element: _Element) -> str:
         return " ".join(self.pieces[element.start:element.end])
@@ -101,6 +107,11 @@ class PageParts(HTMLParser):
         self._mark(tag, found, element)
 
     def _mark(self, tag: str, found: dict, element: _Element) -> None:
+        if tag == "a":
+            # Anchors do not nest: one that was never closed ends where the next begins.
+            if self._anchor is not None:
+                self._end(self._anchor)
+            self._anchor = element
         if tag == "a" and found.get("href", "").strip():
             depth = self._innermost(_BLOCKS)
             block = self._open[depth] if depth >= 0 else None
@@ -134,10 +145,14 @@ class PageParts(HTMLParser):
         depth = self._innermost((tag,))
         if depth > self._innermost(until):
             for element in self._open[depth:]:
-                element.end = len(self.pieces)
+                self._end(element)
                 self._at[element.tag].pop()
             del self._open[depth:]
 
+    def _end(self, element: _Element) -> None:
+        if element.end is None:
+            element.end = len(self.pieces)
+
     # -- results ------------------------------------------------------------------
     def heading(self) -> str:
         return self.text_of(self.headings[0]) if self.headings else ""
@@ -150,6 +165,14 @@ class PageParts(HTMLParser):
     def ld_json(self) -> list[str]:
         return [text for _, kind, text in self.scripts if kind == "application/ld+json" and text]
 
+    def json_strings(self) -> list[tuple[int, str]]:
+        """All strings of the embedded JSON with the hints in their keys."""
+        return json_parts.strings(self.embedded_json())
+
+    def linked_texts(self) -> list[tuple[str, str]]:
+        """Text fields of the linked data with the type of their object."""
+        return json_parts.linked_texts(self.ld_json())
+
     def links(self, base_url: str) -> dict:
         """Anchors, and the text pieces once: the block around an anchor is a range of them."""
         out = []
@@ -171,6 +194,15 @@ class PageParts(HTMLParser):
         return {"anchors": out, "pieces": self.pieces}
 
     def blocks(self) -> list[dict]:
-        """Texts of the marked blocks, by selector rank, then position."""
+        """The marked blocks as ranges of the pieces with their text's length, by selector rank, then position.
+
+        Nested blocks share their pieces, so their texts are joined only where one is needed.
+        """
+        ends = [0]
+        for piece in self.pieces:
+            ends.append(ends[-1] + len(piece) + 1)
         ordered = sorted(self.marked, key=lambda m: m[0])
-        return [{"rank": rank, "text": self.text_of(e)} for rank, e in ordered]
+        return [
+            {"rank": rank, "start": e.start, "stop": e.end, "n_chars": max(0, ends[e.end] - ends[e.start] - 1)}
+            for rank, e in ordered
+        ]
