@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import unicodedata
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -142,3 +143,29 @@ def test_values(spark, values):
     assert resolve_column(aliased, ["sentimento", "prioridade", "priority"]) == "prioridade"
     assert resolve_column(aliased, ["x"], "y") == "y"
     assert aliased.columns == ["primary_theme", "priority", "tema_principal", "prioridade"]
+
+
+def test_folding_equals_the_standard_decomposition_of_every_character(spark):
+    """Lower case is Spark's; all else is compared over all code points, alone and between letters."""
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rows = [(i, "x" + chr(c) + "y" + chr(c)) for i, c in enumerate(codes)]
+    df = spark.createDataFrame(rows, "i int, x string").repartition(8)
+    got = df.select("i", F.lower("x").alias("low"), text.fold_accents(F.col("x")).alias("y")).collect()
+    assert len(got) == len(codes)
+    for r in got:
+        want = "".join(c for c in unicodedata.normalize("NFKD", r["low"]) if not unicodedata.combining(c))
+        assert r["y"] == want, hex(codes[r["i"]])
+
+
+def test_fold_signs_of_several_letters(values):
+    texts = ["ﬁm ﬄ", " ½  ㎏ №Ⅳ", "ĳ𝐀𝒷", "한국어 각", "ﷺ", "´x", "Ação ①℡", "ﬁ" * 500 + "各각" * 500]
+    plain = [unicodedata.normalize("NFKD", t.strip().lower()) for t in texts]
+    want = [" ".join("".join(c for c in t if not unicodedata.combining(c)).split()) for t in plain]
+    assert values(text.fold_text, texts) == want
+    assert want[0] == "fim ffl" and want[6] == "acao 1tel"[:5] + "1TEL"
+
+
+def test_whole_numbers_keep_their_digits(values):
+    texts = ["9007199254740993", " 4 ", "4.7", "-1e3", "x", None, "9223372036854775807", "1e30"]
+    got = values(lambda c: to_number(c, 0, kind="bigint"), texts)
+    assert got == [9007199254740993, 4, 4, -1000, 0, 0, 9223372036854775807, 0]

@@ -21,29 +21,95 @@ def _blank_chars() -> str:
     return "".join(chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace())
 
 
+# Syllables of Hangul are arithmetic on three rows of letters, so they need no table.
+_HANGUL = "\uac00-\ud7a3"
+_HANGUL_ROWS = tuple(
+    "".join(chr(first + i) for i in range(n)) for first, n in ((0x1100, 19), (0x1161, 21), (0x11A7, 28))
+)
+# Signs of up to this many letters are spelled letter by letter, the few longer ones one by one.
+_SPELLED = 4
+
+
+@lru_cache(maxsize=1)
+def _bases() -> dict[str, str]:
+    """Characters whose compatibility decomposition without marks differs from them; marks give nothing."""
+    found = {}
+    for code in [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x110000)]:
+        char = chr(code)
+        base = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        if base != char:
+            found[char] = base
+    return found
+
+
 @lru_cache(maxsize=1)
 def _fold_tables() -> tuple[str, str]:
-    """Arguments of ``translate`` that drop accents: built by rule from Unicode.
+    """Arguments of ``translate`` for characters with one base letter, and for marks, which go."""
+    bases = _bases()
+    single = [c for c, base in bases.items() if len(base) == 1]
+    marks = [c for c, base in bases.items() if not base]
+    return "".join(single + marks), "".join(bases[c] for c in single)
+
 
-    Every character whose compatibility decomposition is one base character
-    plus marks maps to that base; marks alone are deleted. Characters that
-    decompose to several letters (ligatures, Hangul) are left as they are.
+def _char_class(chars) -> str:
+    """A class of a regular expression that lists the characters as ranges; ASCII fails at once."""
+    codes, ranges = sorted(map(ord, chars)), []
+    for code in codes:
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "(?=[^\\x00-\\x7f])[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + _HANGUL + "]"
+
+
+@lru_cache(maxsize=1)
+def _sign_tables() -> tuple[dict[str, str], list[tuple[str, str]], str]:
+    """Characters of several letters: the long ones, ``translate`` arguments per letter, the class of all.
+
+    The arguments for letter k delete the signs that have fewer letters.
     """
-    source, target, marks = [], [], []
-    for code in range(0x80, 0x10000):
-        char = chr(code)
-        if 0xD800 <= code <= 0xDFFF:
-            continue
-        if unicodedata.combining(char):
-            marks.append(char)
-            continue
-        base = "".join(
-            c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)
+    wide = {c: base for c, base in _bases().items() if len(base) > 1}
+    long = {c: base for c, base in wide.items() if len(base) > _SPELLED}
+    short = {c: base for c, base in wide.items() if len(base) <= _SPELLED}
+    steps = []
+    for k in range(_SPELLED):
+        having = [c for c in short if len(short[c]) > k]
+        rest = [c for c in short if len(short[c]) <= k]
+        steps.append(("".join(having + rest), "".join(short[c][k] for c in having)))
+    return long, steps, _char_class(wide)
+
+
+def _spell_signs(folded: Column) -> Column:
+    """Ligatures, fractions, units and syllables as their letters.
+
+    The text is split around each of them; what is left in between is not looked at again.
+    """
+    long, steps, signs = _sign_tables()
+    spelled = reduce(lambda text, sign: F.replace(text, F.lit(sign), F.lit(long[sign])), long, folded)
+    parts = F.split(spelled, f"(?<={signs})|(?={signs})".replace("(?<=(?=[^\\x00-\\x7f])", "(?<="))
+
+    def letters(part: Column) -> Column:
+        number = F.ascii(part) - ord(_HANGUL[0])
+        places = ((number / 588).cast("int"), ((number % 588) / 28).cast("int"), number % 28)
+        rows = [F.substring(F.lit(row), place + 1, F.lit(1)) for row, place in zip(_HANGUL_ROWS, places)]
+        syllable = F.concat(rows[0], rows[1], F.when(places[2] > 0, rows[2]).otherwise(F.lit("")))
+        return (
+            F.when(part.rlike(f"^[{_HANGUL}]$"), syllable)
+            .when(part.rlike(f"^{signs}$"), F.concat(*[F.translate(part, a, b) for a, b in steps]))
+            .otherwise(part)
         )
-        if len(base) == 1 and base != char:
-            source.append(char)
-            target.append(base)
-    return "".join(source + marks), "".join(target)
+
+    return F.array_join(F.transform(parts, letters), "")
+
+
+def _decompose(low: Column) -> Column:
+    """Compatibility decomposition without marks. Few texts hold more than single letters with accents."""
+    source, target = _fold_tables()
+    signs = _sign_tables()[2]
+    return bind(
+        F.translate(low, source, target),
+        lambda single: F.when(single.rlike(signs), _spell_signs(single)).otherwise(single),
+    )
 
 
 def bind(value: Column, make) -> Column:
@@ -71,22 +137,17 @@ def collapse_spaces(c: Column) -> Column:
 
 def fold_accents(c: Column) -> Column:
     """Lower case without accents. Plain ASCII text skips the translation."""
-    source, target = _fold_tables()
     return bind(
         F.lower(text_or_blank(c)),
-        lambda low: F.when(
-            low.rlike(r"[^\x00-\x7f]"), F.translate(low, source, target)
-        ).otherwise(low),
+        lambda low: F.when(low.rlike(r"[^\x00-\x7f]"), _decompose(low)).otherwise(low),
     )
 
 
 def fold_flat(flat: Column) -> Column:
     """:func:`fold_text` for a text that is collapsed already: ASCII text is only lowered."""
-    source, target = _fold_tables()
-
     def plain(low: Column) -> Column:
         # Some signs decompose to a space, so spaces are single again only after this.
-        single = F.trim(F.regexp_replace(F.translate(low, source, target), " +", " "))
+        single = F.trim(F.regexp_replace(_decompose(low), " +", " "))
         return F.when(low.rlike(r"[^\x00-\x7f]"), single).otherwise(low)
 
     return bind(F.lower(flat), plain)

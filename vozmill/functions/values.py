@@ -20,8 +20,10 @@ def number_to_bool(c: Column) -> Column:
 
 
 def to_number(c: Column, default=0, low=None, high=None, kind: str = "double") -> Column:
-    """Typed number or the default, then clamped."""
-    typed = c.try_cast("double").try_cast(kind) if kind in ("int", "bigint") else c.try_cast(kind)
+    """Typed number or the default, then clamped. Whole numbers keep all digits; fractions are cut off."""
+    typed = c.try_cast(kind)
+    if kind in ("int", "bigint"):
+        typed = F.coalesce(typed, c.try_cast("double").try_cast(kind))
     value = F.coalesce(typed, F.lit(default).cast(kind))
     if low is not None:
         value = F.greatest(value, F.lit(low).cast(kind))
