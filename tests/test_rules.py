@@ -170,3 +170,22 @@ def test_refresh_without_text_uses_the_static_guide(spark):
     df = spark.createDataFrame([(None,), ("guia para atendente e checklist",)], "response_guide string")
     got = [r[0] for r in classify.refresh_guides(df).collect()]
     assert got == [lx.STATIC_GUIDE, "guia para atendente e checklist"]
+
+
+def test_equal_ids_get_the_replies_of_their_own_content(spark):
+    rows = spark.createDataFrame(
+        [("id", "a", "2024-01-01", f"Texto numero {i}", "Ana") for i in range(3)],
+        "feedback_id string, source string, feedback_date string, raw_text string, author string",
+    ).withColumn("feedback_date", F.col("feedback_date").cast("date"))
+    asked = classify.reply_requests(rows)
+    assert asked.select("content_key").distinct().count() == 3
+    made = asked.where("raw_text <> 'Texto numero 2'").withColumn(
+        "reply", F.when(F.col("raw_text") == "Texto numero 0", '{"tema_principal":"entrega"}').otherwise('{"tema_principal":"preco_frete"}')
+    )
+    for replies in (made, made.drop("source", "feedback_date", "raw_text")):
+        got = {r.raw_text: (r.primary_theme, r.provider) for r in classify.enrich(rows, replies).collect()}
+        assert got["Texto numero 0"] == ("entrega", "model") and got["Texto numero 1"] == ("preco_frete", "model")
+        assert got["Texto numero 2"][1] == "rules"
+    wrong = made.withColumn("raw_text", F.lit("another content with the same key"))
+    assert {r.provider for r in classify.enrich(rows, wrong).collect()} == {"rules"}
+    assert classify.enrich(rows, made).columns == classify.enrich(rows, made.select("feedback_id", "reply")).columns

@@ -135,3 +135,52 @@ def test_lenient_csv_keeps_short_rows(spark, tmp_path):
     path.write_text("a,b,c\n1,2,3\n4,5\n6,7,8,9\n10,,12\n13,14,15,\n")
     got = readers.read_lenient_csv(spark, str(path)).select("a", "b", "c").collect()
     assert [tuple(r) for r in got] == [("1", "2", "3"), ("4", "5", None), ("10", None, "12"), ("13", "14", "15")]
+
+
+@pytest.mark.parametrize("threads", [1, 4])
+def test_rows_of_several_files_follow_their_names(spark, tmp_path, threads):
+    """A small file before a large one: Spark reads the large one first, the order stays by name."""
+    folder = tmp_path / "many files"
+    folder.mkdir()
+
+    def rows(name, n):
+        return [[f"https://x/{name}{i}", f"Titulo {name} {i}", "descricao comprida\ncom duas linhas", "01/02/2024", "", ""] for i in range(n)]
+
+    small, large = rows("a", 3), rows("b", 4000)
+    write_csv(folder / "a 1.csv", MANUAL_COLUMNS, small)
+    write_csv(folder / "b.csv", MANUAL_COLUMNS, large)
+    write_csv(folder / "c.csv", MANUAL_COLUMNS, [[*small[0][:1], "Titulo final", "o ultimo vence", "", "", ""]])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1g" if threads == 1 else "128m")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1" if threads == 1 else "4194304")
+    try:
+        first = readers.read_manual(spark, str(folder), limit=5).orderBy("row_ord").collect()
+        assert [r.source_url for r in first] == [r[0] for r in small + large[:2]]
+        loaded = readers.read_manual(spark, str(folder))
+        ordered = [r.source_url for r in loaded.orderBy("row_ord").collect()]
+        assert ordered == [r[0] for r in small + large + small[:1]]
+        merged, added = writers.load_and_upsert(spark, str(folder), None, str(tmp_path / f"out{threads}"))
+        assert added == 4003
+        assert merged.where("source_url = 'https://x/a0'").first().raw_text == "Titulo final o ultimo vence"
+        lenient = readers.read_lenient_csv(spark, str(folder)).orderBy("row_ord").collect()
+        assert [r.source_url for r in lenient] == ordered
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_reviews_of_several_files_keep_the_first(spark, tmp_path):
+    header = ["author", "feedback_date", "raw_text", "initial_category"]
+    review = ["Ana", "01/02/2024", "gostei muito do produto"]
+    (tmp_path / "in").mkdir()
+    write_csv(tmp_path / "in" / "a.csv", header, [[*review, "primeira"]])
+    write_csv(tmp_path / "in" / "b.csv", header, [[*review, "segunda"]] * 2000)
+    rows = readers.read_review_seed(spark, str(tmp_path / "in")).collect()
+    assert [r.initial_category for r in rows] == ["primeira"]
+
+
+def test_load_and_upsert_without_files_keeps_the_snapshot(spark, tmp_path):
+    path = write_csv(tmp_path / "m.csv", MANUAL_COLUMNS, MANUAL_ROWS)
+    before, added = writers.load_and_upsert(spark, path, None, str(tmp_path / "1"))
+    assert added == before.count() == 2
+    after, added = writers.load_and_upsert(spark, str(tmp_path / "none.csv"), str(tmp_path / "1"), str(tmp_path / "2"))
+    assert added == 0 and sorted(after.collect()) == sorted(before.collect())

@@ -34,6 +34,12 @@ def review_id(author: Column, date: Column, text: Column, url: Column) -> Column
     return short_hash(author, date, text, url)
 
 
+def content_key(source: Column, date: Column, text: Column) -> Column:
+    """128 bits over source, ISO date and text, each with its length: the full key of a normalized row."""
+    parts = [text_or_blank(p) for p in (source, date, text)]
+    return F.md5(F.concat_ws("|", *[F.concat_ws(":", F.length(p).cast("string"), p) for p in parts]))
+
+
 def merge_key(url: Column, feedback_id: Column) -> Column:
     """D1 key: the bare URL, else the id, else null (a row without key is never a duplicate)."""
     bare, own = bare_url(url), strip(feedback_id)

@@ -7,11 +7,14 @@ an expensive expression that is used several times is not inlined.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vozmill import lexicon as lx
 from vozmill.functions import replies, rules
+from vozmill.functions.ids import content_key
 from vozmill.functions.text import contains_all, fold_accents, strip, text_or_blank
 from vozmill.operators.dedupe import keep_one
 from vozmill.schemas import ANALYSIS_COLUMNS
@@ -19,7 +22,6 @@ from vozmill.schemas import ANALYSIS_COLUMNS
 _C = F.col
 
 
-
 def with_flags(df: DataFrame, text: str = "raw_text", accents: bool = False) -> DataFrame:
     """Scratch columns of the rules; ``accents=True`` folds accents before matching."""
     lowered = fold_accents(_C(text)) if accents else F.lower(text_or_blank(_C(text)))
@@ -176,6 +178,23 @@ def validate_reply(
     return guided.select(*base, *ANALYSIS_COLUMNS)
 
 
+#: What a model is asked about, and what makes the content key.
+REQUEST_COLUMNS = ("source", "feedback_date", "raw_text")
+
+
+def own_content_key() -> Column:
+    return content_key(*[_C(c) for c in REQUEST_COLUMNS])
+
+
+def reply_requests(feedback: DataFrame) -> DataFrame:
+    """Rows to send to a model: id, full key, and the content it is asked about.
+
+    Its replies come back as (feedback_id, content_key, reply), so that rows whose short ids
+    are equal by chance get their own.
+    """
+    return feedback.select("feedback_id", own_content_key().alias("content_key"), *REQUEST_COLUMNS)
+
+
 def enrich(
     feedback: DataFrame, model_replies: DataFrame, model_name: str = "batch_model",
     brand: str = "Empresa", keys=lx.REPLY_KEYS,
@@ -184,19 +203,35 @@ def enrich(
 
     ``model_replies`` holds (feedback_id, reply); with a ``reply_seq`` column the
     last reply of an id counts, without it the largest text, so that rows never multiply.
+    An id has 48 bits where it is a hash. With a ``content_key`` column, as :func:`reply_requests` hands
+    out, a reply belongs to the rows of its id and content; where the replies also repeat source, date or
+    text of their request, a reply with other values counts as none.
 
     An id may be shared by a large part of the feedback. Adaptive execution splits
     such a partition only when both sides of the join come straight from an
     exchange, so the replies are grouped by a wider key than the join needs.
     """
-    wide = [F.xxhash64("feedback_id"), _C("feedback_id")]
+    keyed = "content_key" in model_replies.columns
+    keys_of_reply = ["feedback_id", "content_key"] if keyed else ["feedback_id"]
+    wide = [F.xxhash64("feedback_id"), *[_C(c) for c in keys_of_reply]]
     last = [_C(c).desc() for c in ("reply_seq", "reply") if c in model_replies.columns]
     model_replies = keep_one(model_replies, wide, last)
-    joined = feedback.join(
-        model_replies.select("feedback_id", _C("reply").alias("_raw_reply"), F.lit(True).alias("_answered")),
-        "feedback_id",
+    asked_with = [c for c in REQUEST_COLUMNS if keyed and c in model_replies.columns]
+    asking = feedback.withColumn("content_key", own_content_key()) if keyed else feedback
+    joined = asking.join(
+        model_replies.select(
+            *keys_of_reply, _C("reply").alias("_raw_reply"), F.lit(True).alias("_answered"),
+            *[_C(c).alias(f"_asked_{c}") for c in asked_with],
+        ),
+        keys_of_reply,
         "left",
     )
+    if keyed:
+        same = [_C(c).cast("string").eqNullSafe(_C(f"_asked_{c}").cast("string")) for c in asked_with]
+        fits = reduce(lambda a, b: a & b, same, F.lit(True))
+        joined = joined.withColumn("_answered", F.when(fits, _C("_answered"))).drop(
+            "content_key", *[f"_asked_{c}" for c in asked_with]
+        )
     # A row without reply row must not read as the empty reply: "-" holds no JSON.
     answered = joined.withColumn(
         "_reply_text", F.when(_C("_answered"), _C("_raw_reply")).otherwise(F.lit("-"))

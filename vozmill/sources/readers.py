@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +30,10 @@ MISSING_WORDS = [
 ]
 
 _C = F.col
+# A file's rows are numbered in this many bits below the rank of the file.
+_PLACE_BITS = 33
+# Listings and rows write the beginning of local paths in two ways.
+_LOCAL = "^file:/+"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -43,13 +50,34 @@ def _csv(spark: SparkSession):
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"')
 
 
+def with_file_order(rows: DataFrame) -> DataFrame:
+    """Adds ``row_ord`` to files read whole by one task each: by file path, then by place in the file.
+
+    Spark packs files into tasks by size, so a number that grows along the tasks would not follow
+    the names. The rank of a file leads the number, its lower bits grow along the rows of the
+    task. Only the list of files is sorted; rows get the rank by a join on their file.
+    """
+    files = sorted(rows.inputFiles(), key=unquote)
+    names = [(rank, re.sub(_LOCAL, "file:/", name)) for rank, name in enumerate(files)]
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    placed = rows.select("*", F.regexp_replace("_metadata.file_path", _LOCAL, "file:/").alias("__file"), place.alias("__place"))
+    if len(names) < 2:
+        return placed.withColumn("row_ord", _C("__place")).drop("__file", "__place")
+    ranks = rows.sparkSession.createDataFrame(names, "__rank bigint, __file string")
+    known = F.coalesce(_C("__rank"), F.raise_error(F.concat(F.lit("file outside the listing: "), _C("__file"))).cast("bigint"))
+    ordered = placed.join(ranks, "__file", "left").withColumn(
+        "row_ord", F.shiftleft(known, _PLACE_BITS).bitwiseOR(_C("__place"))
+    )
+    return ordered.drop("__file", "__place", "__rank")
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; quoted line breaks are kept; adds ``row_ord``.
+    """All columns as text; quoted line breaks are kept; adds ``row_ord``, over several files too.
 
     With quoted line breaks Spark reads each file in one task; land large CSV files as
-    Parquet once. The id grows along the rows of a file.
+    Parquet once.
     """
-    return _csv(spark).csv(path).withColumn("row_ord", F.monotonically_increasing_id())
+    return with_file_order(_csv(spark).csv(path))
 
 
 def read_lenient_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -63,7 +91,7 @@ def read_lenient_csv(spark: SparkSession, path: str, columns: list[str] | None =
     names = ["__own_row_ord" if n == "row_ord" else n for n in names]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "__over"]])
     rows = _csv(spark).option("header", not columns).schema(schema).csv(path)
-    fitting = rows.withColumn("row_ord", F.monotonically_increasing_id()).where(_C("__over").isNull())
+    fitting = with_file_order(rows).where(_C("__over").isNull())
     return fitting.select(
         *[F.nullif(_C(f"`{n}`"), F.lit("")).alias(n) for n in names if n != "__own_row_ord"], "row_ord"
     )

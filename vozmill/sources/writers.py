@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vozmill.operators.dedupe import upsert_feedback, upsert_into_clean
-from vozmill.operators.sets import fill_ids
-from vozmill.sources.readers import path_exists
+from vozmill.operators.sets import fill_ids, union_sources
+from vozmill.sources.readers import path_exists, read_manual
 
 
 def save_table(df: DataFrame, path: str, file_format: str = "parquet", mode: str = "error") -> str:
@@ -46,6 +46,16 @@ def save_upsert(
     return written, max(0, written.count() - before)
 
 
+def load_and_upsert(
+    spark: SparkSession, path: str, stored_path: str | None, out_path: str, auto_source: str = "site_auto", **options
+) -> tuple[DataFrame, int]:
+    """Manual complaints from CSV files merged into a new snapshot; the rows and how many are new.
+
+    ``options`` are those of :func:`read_manual`. Without input files the snapshot stays as it was.
+    """
+    return save_upsert(spark, stored_path, union_sources([read_manual(spark, path, **options)]), out_path, auto_source)
+
+
 def save_report(lines: DataFrame, path: str) -> str:
     """S10 as text: a few dozen lines, so one file."""
     lines.orderBy("line_no").coalesce(1).select("text").write.mode("error").text(path)
