@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
-from vozmill.operators import aggregates, classify, dedupe, ordering
+from vozmill.operators import aggregates, classify, dedupe, ordering, report
+from vozmill.plans import dashboard
 from vozmill.plans.normalize import normalize_feedback
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -86,6 +87,26 @@ def test_case_numbers_need_no_global_sort_of_the_cases(stored):
     assert single == 1  # only the (priority, date, source) totals meet in one task
 
 
+def test_the_dashboard_needs_one_scan(stored):
+    numbers = dashboard.selection_numbers(stored, sentiments=["Negativo"])
+    for df in (numbers, aggregates.kpis_of(numbers), aggregates.filter_options_of(numbers), aggregates.theme_distribution_of(numbers)):
+        plan = plan_of(df)
+        assert plan.count("Scan parquet") == 1 and "raw_text" not in plan.split("ReadSchema")[1]
+
+
+def test_the_report_needs_two_scans(stored):
+    plan = plan_of(report.report_lines(stored))
+    assert plan.count("Scan parquet") == 2
+    assert plan_of(ordering.report_lists(stored)).count("WindowGroupLimit") == 2
+
+
+def test_priorities_reach_the_scan_of_a_stored_table(stored):
+    plan = plan_of(aggregates.theme_priority_cross(stored, at_rest=True))
+    assert "GreaterThan(priority,0)" in plan
+    plain = aggregates.theme_priority_cross(stored).collect()
+    assert sorted(map(str, plain)) == sorted(map(str, aggregates.theme_priority_cross(stored, at_rest=True).collect()))
+
+
 def test_no_cartesian_products(spark, stored):
     for name, df in {
         "kpis": aggregates.kpis(stored),

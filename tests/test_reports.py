@@ -102,3 +102,53 @@ def test_dashboard(spark):
     assert shown.sentimento == "Negativo" and shown.fonte == "Site (coleta manual)"
     assert tables["filter_options"].where("filter = 'source'").count() == 3
     assert all(t.columns for t in tables.values())
+
+
+def test_case_numbers_with_missing_order(spark):
+    """Rows without batch or row number are numbered too, ahead of the others."""
+    rows = [(5, "site_auto", None, None), (5, "site_auto", 0, 2), (4, "reviews", 1, None), (5, None, 0, 1), (4, "reviews", None, 7), (4, "reviews", 1, 3)]
+    df = spark.createDataFrame(
+        [(p, s, b, r, "entrega", "t", "a", "g") for p, s, b, r in rows],
+        "priority int, source string, batch_seq int, row_ord bigint, primary_theme string, raw_text string, "
+        "internal_recommendation string, response_guide string",
+    ).withColumn("feedback_date", F.lit(None).cast("date"))
+    numbered = ordering.number_by_priority(df, "case_no").collect()
+    assert sorted(r.case_no for r in numbered) == [1, 2, 3, 4, 5, 6]
+    got = {r.case_no: (r.priority, r.source, r.batch_seq, r.row_ord) for r in numbered}
+    assert [got[i] for i in range(1, 7)] == [
+        (5, None, 0, 1), (5, "site_auto", None, None), (5, "site_auto", 0, 2),
+        (4, "reviews", None, 7), (4, "reviews", 1, None), (4, "reviews", 1, 3),
+    ]
+    assert ordering.critical_cases(df).count() == 6
+
+
+def test_dashboard_from_numbers_equals_the_single_aggregates(spark):
+    from vozmill.operators import filters
+
+    df = analyzed(spark).withColumn("primary_theme", F.when(F.col("row_ord") % 7 != 0, F.col("primary_theme")))
+    for chosen in ({}, {"sentiments": ["Negativo"]}, {"sources": ["nowhere"]}):
+        numbers = aggregates.dashboard_numbers(df, filters.selection(**{"sources": None, **chosen}))
+        some = filters.multi_filter(df, **chosen)
+
+        def same(a, b):
+            assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+        same(aggregates.kpis_of(numbers), aggregates.kpis(some))
+        same(aggregates.theme_priority_of(numbers), aggregates.theme_priority_cross(some))
+        same(aggregates.theme_distribution_of(numbers), aggregates.theme_distribution(some))
+        same(aggregates.theme_order_of(aggregates.theme_priority_of(numbers)), aggregates.theme_order(some))
+        same(aggregates.filter_options_of(numbers), aggregates.all_filter_options(df))
+
+
+def test_report_lists_equal_the_single_lists(spark):
+    df = analyzed(spark)
+    got = {}
+    for r in ordering.report_lists(df).collect():
+        got.setdefault(r["list"], []).append((r.position, r.text))
+    texts = {(r.sentiment_label, r.position) for r in ordering.text_samples(df).collect()}
+    assert {p for p, _ in got[ordering.POSITIVE_TEXTS]} == {p for s, p in texts if s == lx.POSITIVE}
+    assert {p for p, _ in got[ordering.NEGATIVE_TEXTS]} == {p for s, p in texts if s == lx.NEGATIVE}
+    actions = [(r.position, r.internal_recommendation) for r in ordering.priority_actions(df).collect()]
+    assert sorted(got[ordering.ACTIONS]) == sorted(actions)
+    assert len(got[ordering.GUIDES]) == ordering.priority_guides(df).count()
+    assert ordering.report_lists(df.limit(0)).count() == 0

@@ -107,13 +107,15 @@ def kpis(df: DataFrame) -> DataFrame:
     )
 
 
-def theme_priority_cross(df: DataFrame, pivot: bool = False) -> DataFrame:
+def theme_priority_cross(df: DataFrame, pivot: bool = False, at_rest: bool = False) -> DataFrame:
     """Counts per theme and priority above 0; optionally one column per priority.
 
     The condition is tested on the counts: a filter on the rows would be moved
-    below the rules and compute them a second time.
+    below the rules and compute them a second time. Over a stored table (``at_rest``) it
+    is tested on the rows, so that it reaches the scan.
     """
-    counts = df.groupBy("primary_theme", "priority").agg(_count_of(_C("priority") > 0).alias("n"))
+    rows = df.where(_C("priority") > 0) if at_rest else df
+    counts = rows.groupBy("primary_theme", "priority").agg(_count_of(_C("priority") > 0).alias("n"))
     rated = counts.where(_C("n") > 0)
     if pivot:
         return rated.groupBy("primary_theme").pivot("priority", [1, 2, 3, 4, 5]).agg(F.sum("n"))
@@ -122,8 +124,13 @@ def theme_priority_cross(df: DataFrame, pivot: bool = False) -> DataFrame:
 
 def theme_order(df: DataFrame) -> DataFrame:
     """A10: theme labels by their total over A9, with their position."""
+    return theme_order_of(theme_priority_cross(df))
+
+
+def theme_order_of(cross: DataFrame) -> DataFrame:
+    """A10 from the counts of A9."""
     totals = (
-        theme_priority_cross(df)
+        cross
         .groupBy(label_of(_C("primary_theme"), lx.THEME_LABELS).alias("theme_label"))
         .agg(F.sum("n").alias("n"))
     )
@@ -185,7 +192,91 @@ def run_summary(
     )
 
 
-def report_numbers(df: DataFrame) -> DataFrame:
+#: What the rows of :func:`dashboard_numbers` count, by their grouping columns.
+DASHBOARD_PARTS = {
+    "all": (), "source": ("source",), "sentiment": ("sentiment_label",), "theme": ("primary_theme",),
+    "theme_priority": ("primary_theme", "priority"),
+}
+
+
+def dashboard_numbers(df: DataFrame, chosen: Column | None = None) -> DataFrame:
+    """A8 to A12 in one pass: counts for every grouping of the dashboard, told apart by ``part``.
+
+    ``n_rows`` counts all rows, ``n``, ``n_negative`` and ``n_critical`` those that fulfil ``chosen`` (all
+    without it). The table has a row per value, so the dashboard's tables are small selections of it.
+    """
+    keys = ["source", "sentiment_label", "primary_theme", "priority"]
+    narrow = df.select(*keys, F.coalesce(F.lit(True) if chosen is None else chosen, F.lit(False)).alias("_chosen"))
+    counted = narrow.groupingSets([[_C(c) for c in part] for part in DASHBOARD_PARTS.values()], *keys).agg(
+        F.grouping_id(*keys).alias("_part"),
+        F.count(F.lit(1)).alias("n_rows"),
+        _count_of(_C("_chosen")).alias("n"),
+        _count_of(_C("_chosen") & (_C("sentiment_label") == lx.NEGATIVE)).alias("n_negative"),
+        _count_of(_C("_chosen") & _C("priority").isin(4, 5)).alias("n_critical"),
+    )
+    # A bit of the grouping id is set where the column is left out.
+    part = None
+    for name, of in DASHBOARD_PARTS.items():
+        left_out = sum(1 << i for i, c in enumerate(reversed(keys)) if c not in of)
+        hit = _C("_part") == left_out
+        part = F.when(hit, F.lit(name)) if part is None else part.when(hit, F.lit(name))
+    return counted.select(part.alias("part"), *keys, "n_rows", "n", "n_negative", "n_critical")
+
+
+def _part(numbers: DataFrame, name: str) -> DataFrame:
+    return numbers.where(_C("part") == name)
+
+
+def kpis_of(numbers: DataFrame) -> DataFrame:
+    """A8 from :func:`dashboard_numbers`."""
+    row = numbers.where(_C("part").isin("all", "theme")).agg(
+        *[
+            F.coalesce(F.sum(F.when(_C("part") == "all", _C(c))), F.lit(0)).alias(c)
+            for c in ("n", "n_negative", "n_critical")
+        ],
+        F.min_by(
+            _C("primary_theme"),
+            F.when((_C("part") == "theme") & _C("primary_theme").isNotNull() & (_C("n") > 0), F.struct(-_C("n"), _C("primary_theme"))),
+        ).alias("top_theme"),
+    )
+    return row.select(
+        _C("n").alias("total"),
+        percent(_C("n_negative"), _C("n")).alias("pct_negative"),
+        "top_theme",
+        label_of(_C("top_theme"), lx.THEME_LABELS).alias("top_theme_label"),
+        "n_critical",
+    )
+
+
+def theme_distribution_of(numbers: DataFrame) -> DataFrame:
+    """A11 from :func:`dashboard_numbers`."""
+    themed = _part(numbers, "theme").where(_C("n") > 0)
+    counts = themed.groupBy(F.coalesce("primary_theme", F.lit(lx.OTHER_THEME)).alias("primary_theme")).agg(F.sum("n").alias("n"))
+    return counts.withColumn("theme_label", label_of(_C("primary_theme"), lx.THEME_LABELS))
+
+
+def theme_priority_of(numbers: DataFrame) -> DataFrame:
+    """A9 from :func:`dashboard_numbers`."""
+    rated = _part(numbers, "theme_priority").where((_C("priority") > 0) & (_C("n") > 0))
+    return rated.select("primary_theme", "priority", "n")
+
+
+def filter_options_of(numbers: DataFrame) -> DataFrame:
+    """A12 from :func:`dashboard_numbers`: the options of all rows, not of the chosen ones."""
+    columns = {"source": "source", "sentiment": "sentiment_label", "theme": "primary_theme"}
+    labels = {"source": lx.SOURCE_LABELS, "sentiment": lx.SENTIMENT_LABELS, "theme": lx.THEME_LABELS}
+    code, label, name = None, None, None
+    for part, column in columns.items():
+        hit, shown = _C("part") == part, label_of(_C(column), labels[part])
+        code = F.when(hit, _C(column)) if code is None else code.when(hit, _C(column))
+        label = F.when(hit, shown) if label is None else label.when(hit, shown)
+        name = F.when(hit, F.lit(column)) if name is None else name.when(hit, F.lit(column))
+    options = numbers.where(_C("part").isin(list(columns))).select(name.alias("filter"), label.alias("label"), code.alias("code"))
+    known = options.where(_C("code").isNotNull())
+    return known.groupBy("filter", "label").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+
+
+def report_numbers(df: DataFrame, top_themes: int = 5) -> DataFrame:
     """One row with every number of the report, from one pass over the table.
 
     The first aggregation has one group per (theme, sentiment, provider); the
@@ -218,6 +309,15 @@ def report_numbers(df: DataFrame) -> DataFrame:
         *[F.coalesce(F.sum(c), F.lit(0)).alias("total" if c == "n" else c) for c in sums],
         top.alias("top_theme"),
         F.coalesce(F.max(F.when(_C("primary_theme").isNotNull(), _C("n"))), F.lit(0)).alias("top_count"),
+        # A2 in the same pass: by falling count, then name; there is one row per theme here.
+        F.slice(
+            F.array_sort(
+                F.collect_list(
+                    F.when(_C("primary_theme").isNotNull(), F.struct((-_C("n")).alias("less"), _C("primary_theme").alias("theme")))
+                )
+            ),
+            1, top_themes,
+        ).alias("top_themes"),
     )
 
 

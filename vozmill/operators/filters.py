@@ -57,8 +57,8 @@ def codes_of(labels: dict[str, str], selected: list[str]) -> list[str]:
     return known + [name for name in selected if name not in labels.values()]
 
 
-def multi_filter(df: DataFrame, sources=None, sentiments=None, themes=None) -> DataFrame:
-    """selections by display label; None leaves a column free, nulls never match."""
+def selection(sources=None, sentiments=None, themes=None) -> Column | None:
+    """F7 as a condition: selections by display label; None leaves a column free, nulls never match."""
     chosen = [
         ("source", lx.SOURCE_LABELS, sources),
         ("sentiment_label", lx.SENTIMENT_LABELS, sentiments),
@@ -69,7 +69,13 @@ def multi_filter(df: DataFrame, sources=None, sentiments=None, themes=None) -> D
         for column, labels, selected in chosen
         if selected is not None
     ]
-    return df.where(reduce(lambda a, b: a & b, conditions)) if conditions else df
+    return reduce(lambda a, b: a & b, conditions) if conditions else None
+
+
+def multi_filter(df: DataFrame, sources=None, sentiments=None, themes=None) -> DataFrame:
+    """F7"""
+    condition = selection(sources, sentiments, themes)
+    return df if condition is None else df.where(condition)
 
 
 def high_priority(df: DataFrame, low: int = 4) -> DataFrame:

@@ -55,6 +55,35 @@ def priority_guides(df: DataFrame, n: int = 10, limit: int = 240) -> DataFrame:
     )
 
 
+#: The lists of the report: positive and negative texts, actions, guides.
+POSITIVE_TEXTS, NEGATIVE_TEXTS, ACTIONS, GUIDES = 1, 2, 4, 5
+
+
+def report_lists(df: DataFrame, n_texts: int = 5, n_cases: int = 10) -> DataFrame:
+    """L2 and L3 in one pass: (list, position, priority, primary_theme, text), texts whole.
+
+    A row is spread into the lists it belongs to, each with the one text that the list shows. Every
+    task keeps the first rows of each list before the only exchange.
+    """
+    high = _C("priority") >= 4
+    lists = F.array(
+        F.when(_C("sentiment_label") == lx.POSITIVE, F.struct(F.lit(POSITIVE_TEXTS).alias("list"), _C("raw_text").alias("text"))),
+        F.when(_C("sentiment_label") == lx.NEGATIVE, F.struct(F.lit(NEGATIVE_TEXTS).alias("list"), _C("raw_text").alias("text"))),
+        F.when(high, F.struct(F.lit(ACTIONS).alias("list"), _C("internal_recommendation").alias("text"))),
+        F.when(
+            high & _C("response_guide").isNotNull(),
+            F.struct(F.lit(GUIDES).alias("list"), _C("response_guide").alias("text")),
+        ),
+    )
+    place = ["feedback_date", "source", *ORDER_COLUMNS]
+    spread = df.select(*place, "priority", "primary_theme", F.inline(F.array_compact(lists)))
+    order = Window.partitionBy("list").orderBy(*table_order())
+    first = spread.withColumn("position", F.row_number().over(order)).where(_C("position") <= max(n_texts, n_cases))
+    texts = _C("list").isin(POSITIVE_TEXTS, NEGATIVE_TEXTS)
+    kept = first.where(_C("position") <= F.when(texts, n_texts).otherwise(n_cases))
+    return kept.select("list", "position", "priority", "primary_theme", "text")
+
+
 def critical_cases(df: DataFrame, numbered: bool = True) -> DataFrame:
     """L4: cases of priority 5 and 4 in report order, with theme label and case number."""
     critical = df.where(_C("priority").isin(4, 5)).withColumn(
@@ -104,9 +133,10 @@ def number_by_priority(df: DataFrame, name: str) -> DataFrame:
     inner = placed.withColumn(
         "_inner", F.row_number().over(Window.partitionBy(*run).orderBy("row_ord"))
     )
-    return inner.join(starts, run).withColumn(name, _C("_start") + _C("_inner")).drop(
-        *run, "_inner", "_start"
-    )
+    # Rows without batch or row number form runs of their own, ahead of the others.
+    same = [inner[c].eqNullSafe(starts[c]) for c in run]
+    numbered = inner.join(starts, same).withColumn(name, _C("_start") + _C("_inner"))
+    return numbered.select(*df.columns, name)
 
 
 def case_table(df: DataFrame) -> DataFrame:

@@ -1,17 +1,16 @@
 """The executive report as ordered lines.
 
-All numbers come from one aggregation row; lists come from top-k scans. The
-report has at most a few dozen lines, so its final order is cheap.
+The table is read twice: all numbers and the top themes come from one aggregation row, all lists
+from one pruned ranking. The report has at most a few dozen lines, so its final order is cheap.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vozmill import lexicon as lx
+from vozmill.functions.text import sample_text
 from vozmill.functions.values import percent
 from vozmill.operators import aggregates, ordering
 
@@ -80,7 +79,14 @@ def _frame_lines(model_label: str, with_guides: bool) -> Column:
             F.lit(6).alias("section"), (i + 1).alias("item"), F.concat(F.lit("- "), text).alias("text")
         ),
     )
-    return F.concat(F.array_compact(F.array(*lines)), insight_lines)
+    theme_lines = F.transform(
+        _C("top_themes"),
+        lambda x, i: F.struct(
+            F.lit(3).alias("section"), (i + 1).alias("item"),
+            F.concat(F.lit("- "), x["theme"], F.lit(": "), _text(-x["less"])).alias("text"),
+        ),
+    )
+    return F.concat(F.array_compact(F.array(*lines)), theme_lines, insight_lines)
 
 
 def report_lines(analyzed: DataFrame, model_label: str = "modelo") -> DataFrame:
@@ -91,33 +97,21 @@ def report_lines(analyzed: DataFrame, model_label: str = "modelo") -> DataFrame:
     frame = aggregates.report_numbers(analyzed).select(
         F.inline(_frame_lines(model_label, with_guides))
     )
-    samples = ordering.text_samples(analyzed).select(
-        F.when(_C("sentiment_label") == lx.POSITIVE, 1).otherwise(2).alias("section"),
-        _C("position").alias("item"),
-        F.concat(F.lit("- "), "text").alias("text"),
-    )
-    by_count = Window.partitionBy(F.lit(1)).orderBy(_C("n").desc(), _C("primary_theme").asc())
-    themes = aggregates.theme_top(analyzed).select(
-        F.lit(3).alias("section"),
-        F.row_number().over(by_count).alias("item"),
-        F.concat(F.lit("- "), "primary_theme", F.lit(": "), _text(_C("n"))).alias("text"),
-    )
-    actions = ordering.priority_actions(analyzed).select(
-        F.lit(4).alias("section"),
-        _C("position").alias("item"),
-        F.concat(
-            F.lit("- Prioridade "), _text(_C("priority")), F.lit(" | Tema: "),
-            F.coalesce("primary_theme", F.lit("nan")), F.lit(" | Acao: "), "internal_recommendation",
-        ).alias("text"),
-    )
-    guides = ordering.priority_guides(analyzed).select(
-        F.lit(5).alias("section"),
+    of_list, theme = _C("list"), F.coalesce("primary_theme", F.lit("nan"))
+    listed = ordering.report_lists(analyzed).select(
+        of_list.alias("section"),
         _C("position").alias("item"),
-        F.concat(
-            F.lit("- Tema: "), F.coalesce("primary_theme", F.lit("nan")),
-            F.lit(" | Guia sugerido: "), "guide",
-        ).alias("text"),
+        F.when(
+            of_list == ordering.ACTIONS,
+            F.concat(F.lit("- Prioridade "), _text(_C("priority")), F.lit(" | Tema: "), theme, F.lit(" | Acao: "), "text"),
+        )
+        .when(
+            of_list == ordering.GUIDES,
+            F.concat(F.lit("- Tema: "), theme, F.lit(" | Guia sugerido: "), sample_text(_C("text"), 240)),
+        )
+        .otherwise(F.concat(F.lit("- "), sample_text(_C("text"), 150)))
+        .alias("text"),
     )
-    lines = reduce(lambda a, b: a.unionByName(b), [frame, samples, themes, actions, guides])
+    lines = frame.unionByName(listed)
     place = Window.partitionBy(F.lit(1)).orderBy("section", "item")
     return lines.select(F.row_number().over(place).alias("line_no"), "text")
