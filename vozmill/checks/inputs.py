@@ -17,6 +17,8 @@ PATH_REGEX = "^/loja/[^?#]+_[A-Za-z0-9-]+/?$"
 NL = "chr(10)"
 #: A multiple of all row number cycles below, so an added row has the keys of the row it follows.
 ADDED = 720720 * 17 * 10**6
+#: Row numbers of further rows that a query adds to an input.
+EXTRA_ROWS = 10**16
 _ADD_WHERE = "doc_id % 12 = 10 OR doc_id % 24 = 9 OR doc_id % 3 = 0"
 _KIND = f"CASE WHEN doc_id >= {ADDED} THEN 3 WHEN doc_id % 5 = 3 THEN 0 ELSE doc_id % 5 END"
 

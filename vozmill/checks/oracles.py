@@ -281,10 +281,10 @@ def chain(*ctes: tuple[str, str], body: str) -> str:
     return "WITH " + ", ".join(f"{name} AS ({text})" for name, text in ctes) + " " + body
 
 
-def normalized_ctes(raw: str) -> list[tuple[str, str]]:
+def normalized_ctes(raw: str, channel: str = "''") -> list[tuple[str, str]]:
     """Normalized feedback as ``norm`` from a SELECT of collected feedback."""
     texts = [f"{strip('raw_text')} AS raw_text" if c == "raw_text" else
-             ("'' AS channel" if c == "channel" else f"{c}") for c in FEEDBACK_COLUMNS]
+             (f"{channel} AS channel" if c == "channel" else f"{c}") for c in FEEDBACK_COLUMNS]
     date_text = "coalesce(CAST(feedback_date AS VARCHAR), '')"
     return [
         ("raw_rows", raw),
@@ -570,7 +570,9 @@ ORACLES["review_seed"] = chain(
     "QUALIFY row_number() OVER (PARTITION BY author, feedback_date, raw_text, source_url ORDER BY row_ord) = 1",
 )
 ORACLES["scan_pages"] = "SELECT page_id, url, CAST(length(html) AS BIGINT) AS n_chars FROM pages"
-ORACLES["lenient_csv"] = _raw("SELECT row_ord, source, CASE WHEN row_ord % 7 <> 3 THEN raw_text END AS raw_text FROM f WHERE row_ord % 5 <> 0")
+ORACLES["lenient_csv"] = _raw(
+    f"SELECT row_ord, source, raw_text FROM f UNION ALL SELECT row_ord + {inputs.EXTRA_ROWS}, source, NULL FROM f WHERE row_ord % 7 = 3"
+)
 ORACLES["align_schema"] = chain(
     ("m", sql(inputs.manual)),
     body="SELECT '' AS feedback_id, '' AS source, source_url, '' AS author, '' AS feedback_date, '' AS raw_text, "
@@ -715,11 +717,13 @@ ORACLES["to_bool"] = chain(
 ORACLES["to_number"] = chain(
     (
         "w",
-        "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN split_part(text, ' ', 1) ELSE ' ' || CAST(doc_id % 13 - 3 AS VARCHAR) || "
-        "CASE WHEN doc_id % 4 = 1 THEN '.5' ELSE '' END END AS word FROM documents",
+        "SELECT doc_id, list_concat(string_split(text, ' '), [' ' || CAST(doc_id % 13 - 3 AS VARCHAR) || "
+        "CASE WHEN doc_id % 4 = 1 THEN '.5' ELSE '' END, CAST(doc_id + 9007199254740992 AS VARCHAR)]) AS words FROM documents",
     ),
-    body="SELECT doc_id, coalesce(TRY_CAST(trim(word) AS DOUBLE), 0.0::DOUBLE) AS plain, "
-    "greatest(1.0::DOUBLE, least(5.0::DOUBLE, coalesce(TRY_CAST(trim(word) AS DOUBLE), 3.0::DOUBLE))) AS clamped FROM w",
+    ("e", "SELECT doc_id, CAST(unnest(range(len(words))) AS INT) AS pos, unnest(words) AS word FROM w"),
+    body="SELECT doc_id, pos, coalesce(TRY_CAST(trim(word) AS DOUBLE), 0.0::DOUBLE) AS plain, "
+    "greatest(1.0::DOUBLE, least(5.0::DOUBLE, coalesce(TRY_CAST(trim(word) AS DOUBLE), 3.0::DOUBLE))) AS clamped, "
+    "coalesce(CASE WHEN contains(word, '.') THEN CAST(trunc(TRY_CAST(trim(word) AS DOUBLE)) AS BIGINT) ELSE TRY_CAST(trim(word) AS BIGINT) END, 0) AS whole FROM e",
 )
 _TITLED = "CASE theme WHEN 'tema_novo' THEN 'Tema Novo' ELSE theme END"
 ORACLES["theme_labels"] = chain(
@@ -1207,7 +1211,9 @@ ORACLES["preview_rows"] = _raw(
 )
 
 
-def _report() -> str:
+def report_sql(source: list[tuple[str, str]]) -> str:
+    """The report over the table ``enriched`` that ``source`` makes."""
+
     def share(name: str, column: str) -> str:
         return f"'- {name}: ' || CAST({column} AS VARCHAR) || ' (' || CAST({pct(column, 'total')} AS VARCHAR) || '%)'"
 
@@ -1243,13 +1249,13 @@ def _report() -> str:
         "SELECT 4, position, '- Prioridade ' || CAST(priority AS VARCHAR) || ' | Tema: ' || primary_theme || ' | Acao: ' || internal_recommendation FROM actions",
         "SELECT 5, position, '- Tema: ' || primary_theme || ' | Guia sugerido: ' || guide FROM guides",
     ]
-    return _enriched(
-        "SELECT CAST(row_number() OVER (ORDER BY section, item) AS INT) AS line_no, text FROM all_lines",
-        *NUMBERS, *LISTS, ("top5", _THEME_TOP), ("all_lines", " UNION ALL ".join(rows)),
+    return chain(
+        *source, *NUMBERS, *LISTS, ("top5", _THEME_TOP), ("all_lines", " UNION ALL ".join(rows)),
+        body="SELECT CAST(row_number() OVER (ORDER BY section, item) AS INT) AS line_no, text FROM all_lines",
     )
 
 
-ORACLES["report_lines"] = _report()
+ORACLES["report_lines"] = report_sql(ENRICHED)
 
 # ------------------------------------------------------------------------- composites
 ORACLES["normalize_feedback"] = chain(*NORM, body="SELECT * FROM norm")

@@ -116,15 +116,17 @@ def scan_pages(spark, d):
 
 @query
 def lenient_csv(spark, d):
-    """Whole documents as CSV with too long and too short rows among them, written and read back."""
+    """Whole documents as CSV, with too long and too short rows added to them, written and read back."""
     rows = load(spark, d, inputs.feedback).select("row_ord", "source", "raw_text")
     quoted = F.concat(F.lit('"'), F.replace(_C("raw_text"), F.lit('"'), F.lit('""')), F.lit('"'))
-    line = F.concat_ws(
-        ",", _C("row_ord").cast("string"), "source",
-        F.when((_C("row_ord") % 7 != 3) | (_C("row_ord") % 5 == 0), quoted),
-        F.when(_C("row_ord") % 5 == 0, F.lit("extra")),
-    )
-    lines = rows.select(line.alias("value"))
+
+    def added(kind: int) -> Column:
+        return (_C("row_ord") + kind * inputs.EXTRA_ROWS).cast("string")
+
+    whole = F.concat_ws(",", added(0), "source", quoted)
+    short = F.when(_C("row_ord") % 7 == 3, F.concat_ws(",", added(1), "source"))
+    long = F.when(_C("row_ord") % 5 == 0, F.concat_ws(",", added(2), "source", quoted, F.lit("extra")))
+    lines = rows.select(F.explode(F.array_compact(F.array(whole, short, long))).alias("value"))
     path = shared_folder(spark)
     lines.write.text(path)
     found = readers.read_lenient_csv(spark, path, ["seq", "source", "raw_text"])
@@ -329,15 +331,17 @@ def to_bool(spark, d):
 
 @query
 def to_number(spark, d):
-    """Numbers from the first word of the document text and from the row number."""
+    """Numbers from every word of the documents, and from row numbers beyond the whole doubles."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    word = F.when(_C("doc_id") % 4 == 0, F.split("text", " ")[0]).otherwise(
-        F.concat(F.lit(" "), (_C("doc_id") % 13 - 3).cast("string"), F.when(_C("doc_id") % 4 == 1, F.lit(".5")).otherwise(F.lit("")))
-    )
-    return docs.select(
-        "doc_id",
-        values.to_number(word, 0).alias("plain"),
-        values.to_number(word, 3, 1, 5).alias("clamped"),
+    small = F.concat(F.lit(" "), (_C("doc_id") % 13 - 3).cast("string"), F.when(_C("doc_id") % 4 == 1, F.lit(".5")).otherwise(F.lit("")))
+    large = (_C("doc_id") + 2**53).cast("string")
+    words = F.concat(F.split("text", " "), F.array(small, large))
+    each = docs.select("doc_id", F.posexplode(words).alias("pos", "word"))
+    return each.select(
+        "doc_id", "pos",
+        values.to_number(_C("word"), 0).alias("plain"),
+        values.to_number(_C("word"), 3, 1, 5).alias("clamped"),
+        values.to_number(_C("word"), 0, kind="bigint").alias("whole"),
     )
 
 
@@ -752,9 +756,8 @@ def block_candidates(spark, d):
 
 @query
 def ld_candidates(spark, d):
-    return extract.explode_candidates(
-        extract.with_ld_candidates(_detail_parts(spark, d)), "ld_candidates"
-    )
+    found = _detail_parts(spark, d).withColumn("ld_candidates", extract.ld_candidates(_C("ld_strings")))
+    return extract.explode_candidates(found, "ld_candidates")
 
 
 @query
