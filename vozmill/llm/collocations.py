@@ -34,7 +34,7 @@ _C = F.col
 TABLE = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 SLOT_BITS, SERIAL_BITS, TASK_BITS = 22, 20, 21
 #: Words of a block; their numbers stay below 2**SLOT_BITS.
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 20
 #: Parts of a language's list that are ranked before the whole.
 PARTS = 64
 _BLOCK = "block long, lang string, words array<string>, counts array<long>, codes array<int>, runs array<int>, ahead int"
