@@ -194,7 +194,9 @@ def _search_block(
     terms = sorted({t for listed in items.values() for t in listed})
     place = {t: i for i, t in enumerate(terms)}
     counts = stored(term_counts(docs, id_col, text_col, terms))
-    n_docs, total = counts.agg(F.count_if(_C("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_docs, total, n_counts = counts.agg(
+        F.count_if(_C("n") > 0), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size("terms")), F.lit(0))
+    ).first()
     held = counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     ratio = (F.lit(2.0) * n_docs + 2) / (F.lit(2.0) * _C("df") + 1)
     weights = np.zeros(len(terms), np.int64)
@@ -209,7 +211,9 @@ def _search_block(
         T.StructField("place", T.IntegerType()), T.StructField("id", id_type), T.StructField("score", T.LongType())
     ])
     search = _shard_search(asked, len(terms), n_docs, max(total, 1), top, to_arrow_type(id_type), shard_counts)
-    found = counts.where(F.size("terms") > 0).mapInArrow(search, schema)
+    # The counts are small beside the work on them: deal them out, so that a task has about one shard.
+    dealt = counts.where(F.size("terms") > 0).repartition(max(1, math.ceil(n_counts / shard_counts)))
+    found = dealt.mapInArrow(search, schema)
     numbers = T.StructType([T.StructField("place", T.IntegerType()), T.StructField("item", kind)])
     names = spark.createDataFrame(list(enumerate(items)), numbers)
     return found.join(names, "place").select("item", "id", "score")
