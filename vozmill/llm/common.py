@@ -48,6 +48,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_digest(text: Column) -> Column:
+    """128 bits of a text; null counts as empty."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def words(text: Column) -> Column:
     """Words between spaces and the characters 9 to 13; none for null."""
     spaced = F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * (len(SPACES) - 1))
