@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vozmill.llm.common import byte_texts, held_out, pieces
-from vozmill.llm.sampling import sampled
+from vozmill.llm.sampling import sampled, sampled_texts
 
 _C = F.col
 _KIND = np.zeros(256, np.int64)
@@ -150,7 +150,7 @@ def score_rows(
         T.StructField("id", kind), T.StructField("mark", marks.schema["mark"].dataType),
         T.StructField("x", T.ArrayType(T.DoubleType())),
     ])
-    taught = base.join(sample, "id").select("id", "text", "mark").mapInArrow(measured, schema).collect()
+    taught = sampled_texts(base.select("id", "text"), sample, "mark").mapInArrow(measured, schema).collect()
     taught.sort(key=lambda r: (str(r["id"]), r["mark"], r["x"]))
     y = np.array([r["mark"] for r in taught], float)
     forest, constant = None, 0.0

@@ -10,6 +10,18 @@ from vozmill.llm.common import seeded
 _C = F.col
 
 
+def sampled_texts(texts: DataFrame, sample: DataFrame, class_col: str) -> DataFrame:
+    """(id, text, class) of the sampled ids, one text per id (the one whose hash is smallest).
+
+    ``texts``: id, text. ``sample`` has an id once and is bounded by the caller's ``rows``, so it goes to
+    every task and the texts of all other rows stay where they are; repeats of an id are
+    reduced in each task before they meet.
+    """
+    found = texts.join(F.broadcast(sample.select("id", class_col)), "id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), _C("text").alias("text"))).alias("one")
+    return found.groupBy("id", class_col).agg(one).select("id", _C("one.text").alias("text"), class_col)
+
+
 def sampled(labelled: DataFrame, id_col: str, class_col: str, rows: int, seed: int) -> tuple[DataFrame, dict]:
     """About ``rows / classes`` rows of each class (all, if there are fewer), and each class's rate.
 

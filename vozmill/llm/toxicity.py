@@ -9,7 +9,8 @@ a text does not add up noise.
 The model is fitted on a bounded sample of labelled rows (``rows``), equally many of both
 classes where there are enough, weighted back to their true shares. Every whole text is scored.
 
-Null and empty texts are scored by the intercept alone. Labels that are null are ignored; a
+Null and empty texts are scored by the intercept alone. Rows without an id are scored and never teach;
+of rows that share an id one text teaches. An empty table gives no row. Labels that are null are ignored; a
 document with several labels is toxic if any says so. Without labels of both classes the
 score is the known share of toxic texts, or 0. Repeated rows are scored alike.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vozmill.llm.common import held_out, pieces
-from vozmill.llm.sampling import sampled
+from vozmill.llm.sampling import sampled, sampled_texts
 
 _C = F.col
 _WORD = re.compile(r"[^\W\d_]+")
@@ -35,7 +36,7 @@ _SENTENCE = re.compile(r"[.!?\n]+")
 
 #: Characters of the beginnings of words that are features too.
 STEMS = (4, 6)
-#: Names of groups by kind; a swap goes to the other names of the kind.
+# Names of groups by kind, in the languages of the corpus; a swap goes to the other names of the kind.
 IDENTITY = (
     ("women", "men", "girls", "boys", "transgender"),
     ("woman", "man", "girl", "boy"),
@@ -46,6 +47,18 @@ IDENTITY = (
     ("immigrants", "refugees", "natives", "foreigners"),
     ("disabled", "blind", "deaf", "autistic"),
     ("old", "young", "elderly", "teenage"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner", "europäer"),
+    ("einwanderer", "flüchtlinge", "einheimische", "ausländer"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains", "européens"),
+    ("immigrés", "réfugiés", "étrangers", "autochtones"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos", "europeos"),
+    ("inmigrantes", "refugiados", "extranjeros", "nativos"),
 )
 
 
@@ -61,7 +74,8 @@ def features(words: set[str]) -> set[str]:
 def swapped_sets(text: str | None, groups: tuple[tuple[str, ...], ...]) -> list[set[str]]:
     """Word sets of the text with the names in its sentences turned to others of their kind.
 
-    One set per step of the turn; none if the text names no group.
+    One set per step of the turn, until the largest kind that the text names has been through all its
+    names; none if the text names no group.
     """
     place = {name: (g, k) for g, names in enumerate(groups) for k, name in enumerate(names)}
     sentences = [_WORD.findall(s) for s in _SENTENCE.split((text or "").lower())]
@@ -69,7 +83,8 @@ def swapped_sets(text: str | None, groups: tuple[tuple[str, ...], ...]) -> list[
     if not any(named):
         return []
     out = []
-    for turn in (1, 2):
+    most = max(len(groups[place[w][0]]) for s in sentences for w in s if w in place)
+    for turn in range(1, most):
         words: set[str] = set()
         for sentence, has in zip(sentences, named):
             for w in sentence:
@@ -160,8 +175,7 @@ def score_rows(
         T.StructField("words", T.ArrayType(T.StringType())),
         T.StructField("swaps", T.ArrayType(T.ArrayType(T.StringType()))),
     ])
-    # The sample is bounded by ``rows``, so Spark may send its ids to every task.
-    taught = base.join(sample, "id").select("id", "text", "mark").mapInArrow(read_words, schema).collect()
+    taught = sampled_texts(base.select("id", "text"), sample, "mark").mapInArrow(read_words, schema).collect()
     taught.sort(key=lambda r: (str(r["id"]), r["mark"], r["words"]))
     y = np.array([r["mark"] for r in taught], float)
     weights, intercept, constant = {}, 0.0, None
