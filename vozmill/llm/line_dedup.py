@@ -290,19 +290,26 @@ def removed_lines(docs: DataFrame, similarity: float, shingle: int) -> DataFrame
 
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = SHINGLE,
+    count_col: str | None = "n_removed",
 ) -> DataFrame:
-    """All columns of ``docs`` with the repeated lines taken out of the text, and ``n_removed`` in front.
+    """All columns of ``docs`` with the repeated lines taken out of the text, and their number in front.
 
-    ``shingle``: bytes of a shingle, 8 at most.
+    ``shingle``: bytes of a shingle, 8 at most. ``count_col`` names the number (None: none); a table that has
+    such a column already is an error.
     """
+    if count_col in docs.columns:
+        raise ValueError(f"the table has a column {count_col} already; name another one")
     base = docs.select(_C(id_col).alias("id"), _C(text_col).alias("text")).where(_C("id").isNotNull())
     gone = removed_lines(base, similarity, shingle).select(_C("id").alias("__id"), _C("gone").alias("__gone"))
-    joined = docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["__id"], "left")
-    split = F.split(docs[text_col], "\n")
+    # As one column, the table's own names cannot meet those of the join.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
+    joined = rows.join(gone.hint("shuffle_hash"), _C("__row")[id_col] == _C("__id"), "left")
+    own = _C("__row")[text_col]
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
-    text = F.when(_C("__gone").isNull(), docs[text_col]).otherwise(
+    text = F.when(_C("__gone").isNull(), own).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get(_C("__lines"), i)), "\n")
     )
-    out = joined.withColumn("__lines", F.when(_C("__gone").isNotNull(), split))
-    columns = [text.alias(text_col) if c == text_col else docs[c] for c in docs.columns]
-    return out.select(F.when(_C("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("n_removed"), *columns)
+    out = joined.withColumn("__lines", F.when(_C("__gone").isNotNull(), F.split(own, "\n")))
+    columns = [(text if c == text_col else _C("__row")[c]).alias(c) for c in docs.columns]
+    count = F.when(_C("__gone").isNull(), 0).otherwise(F.size("__gone"))
+    return out.select(*([count.alias(count_col)] if count_col else []), *columns)

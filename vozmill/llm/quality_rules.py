@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vozmill.llm.common import SPACES, stored, words
+from vozmill.llm.common import SPACES, stored, text_digest, words
 
 _C = F.col
 SYMBOLS = "#*$%&|<>"
@@ -156,6 +156,30 @@ def judge(
 ) -> DataFrame:
     """(id_col, counts, base_failed, kept, failed_rules) of every row."""
     measured = stored(measures(docs, id_col, text_col, stratum_col))
+    return _verdicts(measured, labels, label_id, label, alpha, delta, min_words).select(
+        _C("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "failed_rules",
+    )
+
+
+def keep_good(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
+    label_id: str = "doc_id", label: str = "quality", alpha: float = 0.05, delta: float = 0.05, min_words: int = 50,
+) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, whatever their ids: a verdict depends on text and stratum alone."""
+    own = F.struct(_C(id_col).alias("id"), text_digest(_C(text_col)).alias("digest"))
+    keyed = docs.select(own.alias("key"), _C(stratum_col).alias("stratum"), _C(text_col).alias("text"))
+    measured = stored(measures(keyed, "key", "text", "stratum").withColumn("digest", _C("id.digest")).withColumn("id", _C("id.id")))
+    judged = _verdicts(measured, labels, label_id, label, alpha, delta, min_words)
+    rejected = judged.where(~_C("kept")).select(_C("digest").alias("__digest"), _C("stratum").alias("__of")).distinct()
+    same = (text_digest(docs[text_col]) == rejected["__digest"]) & docs[stratum_col].eqNullSafe(rejected["__of"])
+    return docs.join(rejected, same, "left_anti")
+
+
+def _verdicts(
+    measured: DataFrame, labels: DataFrame, label_id: str, label: str, alpha: float, delta: float, min_words: int
+) -> DataFrame:
+    """``measured`` with base_failed, kept and failed_rules."""
     limits = stored(certified(measured, labels, label_id, label, alpha, delta)).withColumnRenamed("stratum", "__stratum")
     judged = measured.join(limits, measured["stratum"].eqNullSafe(limits["__stratum"]), "left")
     base = (_C("n_words") < min_words) | (100 * _C("n_repeat_words") > 50 * _C("n_words"))
@@ -163,6 +187,6 @@ def judge(
         F.when((_C("n_words") > 0) & (measure() > _C(f"{rule}_cutoff")), F.lit(rule)) for rule, measure in RULES.items()
     ])
     return judged.withColumn("failed_rules", broken).select(
-        _C("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *[measured[c] for c in measured.columns],
         base.alias("base_failed"), (~base & (_C("failed_rules") == "")).alias("kept"), "failed_rules",
     )

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vozmill.llm.common import byte_texts, stored
+from vozmill.llm.common import byte_texts, stored, text_digest
 from vozmill.llm.components import components
 
 _C = F.col
@@ -155,11 +155,23 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without near copies: of each group the row whose id is its component's.
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    shingle: int = 4, max_bits: int = 4, segments: int = 3,
+) -> DataFrame:
+    """One row of each group of near copies, with all its columns.
 
-    All columns stay. Rows that repeat the kept id stay too; rows with a null id stay.
+    It is the row with the smallest id; null ids come last and ties go by a digest of the text. Rows
+    without an id and repeated rows belong to groups like any other.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    dropped = found.where(_C(id_col) != _C("component_id")).select(_C(id_col).alias("__dropped"))
-    return docs.join(dropped, docs[id_col] == dropped["__dropped"], "left_anti")
+    key = F.struct(_C(id_col).isNull().alias("missing"), _C(id_col).alias("id"), text_digest(_C(text_col)).alias("digest"))
+    prints = stored(fingerprints(docs.select(key.alias("key"), text_col), "key", text_col, shingle))
+    table = stored(prints.groupBy("fingerprint").agg(F.min("id").alias("first")))
+    linked = components(links(table, max_bits, segments))
+    named = table.join(linked, table["fingerprint"] == linked["node"], "left")
+    chosen = named.groupBy(F.coalesce("component", "fingerprint").alias("group")).agg(F.min("first").alias("first"))
+    chosen = chosen.select(_C("first.id").alias("id"), _C("first.digest").alias("digest"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key"))
+    kept = rows.join(chosen, _C("key.id").eqNullSafe(chosen["id"]) & (_C("key.digest") == chosen["digest"]), "left_semi")
+    # Rows equal in id and text lie together after the join; one of them stays.
+    return kept.groupBy(_C("key.id").alias("id"), _C("key.digest").alias("digest")).agg(F.first("row").alias("row")).select("row.*")

@@ -7,8 +7,9 @@ takes a run of its quota of blocks from a seeded block on, round and round: each
 takes every document once, the rest takes the documents under the run. Runs keep documents
 whole but for the two at their ends.
 
-Only source and shard rows are ranked globally or within a source; documents are ordered
-inside a shard, which holds about ``shard_words`` words however large its source is.
+Only source and shard rows are ranked globally or within a source, which bounds them by the number of
+sources and of shards; documents are ordered inside a shard, which holds about ``shard_words`` words and
+``shard_rows`` rows at most however large its source is (rows equal in id and size lie together).
 
 Nulls: a null source is a source (ordered last), a null text has size 0. Empty texts take
 nothing. Repeated rows count as often as they occur. An empty table gives no rows.
@@ -80,31 +81,70 @@ def _overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2,
-    block_words: int = 16, shard_words: int = 4_000_000, seed: int = 42,
+    block_words: int = 16, shard_words: int = 4_000_000, shard_rows: int = 1_000_000, seed: int = 42,
 ) -> DataFrame:
     """(id_col, size, source_size, target, taken) of every row.
 
     ``weights`` repeat over the sources in code point order. ``taken`` counts repeats and never
     exceeds ``cap`` times the size.
     """
-    sized = stored(docs.select(
-        _C(id_col).alias("id"), _C(source_col).alias("source"), F.size(words(_C(text_col))).cast("long").alias("size")
-    ))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    narrow = docs.select(_C(id_col).alias("id"), _C(source_col).alias("source"), _size(text_col))
+    sized = stored(narrow)
+    dealt = _dealt(sized, sized, weights, share, cap, block_words, shard_words, shard_rows, seed)
+    return dealt.select(_C("id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def mix_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2,
+    block_words: int = 16, shard_words: int = 4_000_000, shard_rows: int = 1_000_000, seed: int = 42,
+) -> DataFrame:
+    """The rows of which the mix takes words, with all their columns and those of :func:`mix`.
+
+    Whole rows go through the mix, so neither null nor repeated ids matter. A column of the mix
+    whose name ``docs`` has already gets ``mix_`` before it.
+    """
+    columns = [_C(id_col).alias("id"), _C(source_col).alias("source"), _size(text_col)]
+    rows = docs.select(*columns, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    dealt = _dealt(stored(docs.select(*columns)), rows, weights, share, cap, block_words, shard_words, shard_rows, seed)
+    names = {}
+    for name in ("size", "source_size", "target", "taken"):
+        names[name] = name
+        while names[name] in docs.columns or list(names.values()).count(names[name]) > 1:
+            names[name] = "mix_" + names[name]
+    return dealt.where(_C("taken") > 0).select("row.*", *[_C(c).alias(as_) for c, as_ in names.items()])
+
+
+def _size(text_col: str) -> Column:
+    return F.size(words(_C(text_col))).cast("long").alias("size")
+
+
+def _dealt(
+    sized: DataFrame, rows: DataFrame, weights: tuple[int, ...], share: float, cap: int,
+    block_words: int, shard_words: int, shard_rows: int, seed: int,
+) -> DataFrame:
+    """``rows`` (id, source, size and more) with source_size, target and taken; ``sized`` are the same rows, narrow."""
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
+    counts = sources.select(_C("source").alias("counted"), "source_rows")
+    sources = sources.drop("source_rows")
     aimed = targets(sources, weights, share, cap)
     whole = Window.partitionBy()
     aimed = aimed.withColumn("all_blocks", F.round(F.sum("target").over(whole) / block_words).cast("long"))
     quotas = apportion(aimed, [], [_C("source").asc_nulls_last()], "target", "all_blocks")
+    quotas = quotas.join(counts, quotas["source"].eqNullSafe(counts["counted"]))
     quotas = stored(quotas.select(
-        "source", "source_size", "target", _C("won").alias("source_blocks"),
-        F.greatest(F.lit(1), F.ceil(_C("source_size") / shard_words)).alias("shards"),
+        _C("source").alias("quota_source"), "source_size", "target", _C("won").alias("source_blocks"),
+        F.greatest(F.lit(1), F.ceil(_C("source_size") / shard_words), F.ceil(_C("source_rows") / shard_rows)).alias("shards"),
     ))
-    placed = sized.join(quotas, sized["source"].eqNullSafe(quotas["source"])).select(
-        "id", sized["source"], "size", "source_size", "target", "source_blocks",
-        F.pmod(seeded(seed + 1, _C("id")), _C("shards")).alias("shard"),
-        seeded(seed, _C("id")).alias("place"),
-    )
-    shards = placed.groupBy("source", "shard").agg(
+
+    def place(table: DataFrame) -> DataFrame:
+        found = table.join(quotas, table["source"].eqNullSafe(quotas["quota_source"]))
+        return found.withColumns({
+            "shard": F.pmod(seeded(seed + 1, _C("id"), _C("size")), _C("shards")),
+            "place": seeded(seed, _C("id"), _C("size")),
+        })
+
+    shards = place(sized).groupBy("source", "shard").agg(
         F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks")
     )
     shards = apportion(shards, ["source"], [_C("shard")], "shard_size", "source_blocks").select(
@@ -118,7 +158,7 @@ def mix(
     inside = Window.partitionBy("source", "shard").orderBy("place", "id", "size").rowsBetween(
         Window.unboundedPreceding, 0
     )
-    ordered = placed.withColumn("stop", F.sum("size").over(inside)).withColumn("start", _C("stop") - _C("size"))
+    ordered = place(rows).withColumn("stop", F.sum("size").over(inside)).withColumn("start", _C("stop") - _C("size"))
     dealt = ordered.join(
         shards, ordered["source"].eqNullSafe(shards["shard_source"]) & (ordered["shard"] == shards["shard_no"])
     )
@@ -129,6 +169,4 @@ def mix(
         + _overlap(_C("start"), _C("stop"), _C("begin"), F.least(end, _C("shard_size")))
         + _overlap(_C("start"), _C("stop"), F.lit(0), end - _C("shard_size"))
     )
-    return dealt.select(
-        _C("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken")
-    )
+    return dealt.select(*rows.columns, "source_size", "target", taken.cast("long").alias("taken"))
