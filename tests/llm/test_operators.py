@@ -10,7 +10,7 @@ import xxhash
 
 import brute
 from vozmill.llm import (
-    decontamination, language_id, license_scan, line_dedup, quality_classifier, quality_rules, simhash_dedup,
+    decontamination, language_id, license_scan, line_dedup, quality_classifier, quality_rules, sampling, simhash_dedup,
     source_mixing, toxicity, url_reputation,
 )
 from vozmill.llm.components import components
@@ -191,6 +191,44 @@ def test_decontamination_fit_is_not_one_task(spark, docs, monkeypatch):
     assert plans and "Limit" not in plans[0]
 
 
+def test_decontamination_does_not_depend_on_blocks(spark, docs, odd):
+    """One pass or a pass per item: the same verdicts, for null and repeated ids too."""
+    texts = [r["text"] for r in docs.where("doc_id < 40").orderBy("doc_id").collect()]
+    items = [" ".join(t.split()[5:30]) for t in texts if len(t.split()) > 40][:4] + ["漢字", "One word"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    holders = [(None, f"before {items[0]} after"), (None, "nothing at all"), (1, items[1]), (1, "clean text"), (1, None)]
+    table = docs.select("doc_id", "text").where("doc_id < 40").union(spark.createDataFrame(holders, "doc_id long, text string"))
+    table = table.union(odd.select("doc_id", "text"))
+    verdicts = [
+        sorted(
+            (str(r["doc_id"]), r["contaminated"], tuple(r["items"]))
+            for r in decontamination.find_contaminated(table, bench, block_items=n).collect()
+        )
+        for n in (20_000, 2)
+    ]
+    assert verdicts[0] == verdicts[1]
+    assert ("None", True, (0,)) in verdicts[0] and ("1", True, (1,)) in verdicts[0] and ("1", False, ()) in verdicts[0]
+    kept = [r["text"] for r in decontamination.keep_clean(table, bench).collect()]
+    assert "nothing at all" in kept and "clean text" in kept and items[1] not in kept and holders[0][1] not in kept
+
+
+def test_latent_space_is_the_truncated_svd(spark, docs):
+    """Against a plain SVD of the same weighted passages."""
+    texts = docs.select("text").where("doc_id < 60")
+    weight, _ = decontamination.feature_weights(texts)
+    items = [b"one two three four five six seven eight"]
+    space = decontamination.latent_space(texts, weight, items, rank=8)
+    parts = [r["text"].lower().encode() for r in texts.collect()]
+    words = decontamination.Words(parts)
+    starts, _ = decontamination._halves(words.bounds)
+    a = np.zeros((len(starts), decontamination.FEATURES))
+    np.add.at(a, (np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words.feature)))), words.feature), 1)
+    a *= weight
+    held = np.linalg.norm(a @ (space / np.maximum(weight, 1e-9)[:, None])) / np.linalg.norm(a)
+    best = np.linalg.svd(a, compute_uv=False)
+    assert held > 0.8 * np.sqrt((best[:8] ** 2).sum() / (best**2).sum())
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(30):
@@ -221,6 +259,24 @@ def test_codewords_are_apart():
         assert apart >= 5 and (np.abs(code.sum(0)) < classes).all()
 
 
+def test_every_name_of_a_kind_is_tried():
+    kinds = (("a", "b", "c", "d", "e"), ("x", "y"))
+    got = toxicity.swapped_sets("The a says x. Nothing.", kinds)
+    assert len(got) == 4 and {w for s in got for w in s} >= {"b", "c", "d", "e", "y"}
+    assert all("a" not in s and "nothing" in s for s in got)
+    assert toxicity.swapped_sets("nothing here", kinds) == []
+    assert all(len(set(kind)) == len(kind) > 1 for kind in toxicity.IDENTITY)
+
+
+def test_one_text_per_id_teaches(spark):
+    texts = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, None), (None, "x")], "id long, text string")
+    sample = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "id long, mark int")
+    got = {r["id"]: r["text"] for r in sampling.sampled_texts(texts, sample, "mark").collect()}
+    assert set(got) == {1, 2} and got[2] is None
+    plan = sampling.sampled_texts(texts, sample, "mark")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan or "LocalTableScan" in plan
+
+
 def test_toxicity_is_fair_to_names(spark, odd, none):
     bad, names = ["vile", "rotten", "nasty"], ["women", "men"]
     texts = []
@@ -316,6 +372,12 @@ def test_line_dedup_odd_rows(spark, odd, none):
     assert len(got) == 10 and by[1]["text"] is None and by[2]["text"] == "" and by[None]["text"] == "One word"
     assert by[4]["text"] == "One word" and by[6]["text"] == "" and by[5]["text"] == LONG and by[3]["text"] == " \t\n"
     assert line_dedup.dedup_lines(none).count() == 0
+    names = {c: f"__{n}" for c, n in zip(("source", "size", "fingerprint"), ("id", "gone", "lines"))}
+    strange = odd.withColumnsRenamed(names).withColumnRenamed("target", "n_removed")
+    cleaned = line_dedup.dedup_lines(strange, count_col=None)
+    assert cleaned.columns == strange.columns and cleaned.count() == 10
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(strange)
 
 
 def test_urls(spark, none):
@@ -360,6 +422,33 @@ def test_license(spark, docs, odd, none):
     assert license_scan.scan(odd).count() == 10 and license_scan.scan(none).count() == 0
 
 
+def test_license_spans_of_edited_and_repeated_notices(spark):
+    mit = license_scan.TEMPLATES[5][1]
+    scattered = mit.split()
+    for at in (25, 19, 13, 8, 3):
+        scattered.insert(at, "indeed")
+    stray = "permission is hereby granted " * 3 + mit
+    texts = ["x " + " ".join(scattered) + " y", stray, "permission is hereby granted free " * 40, f"{mit} " * 3]
+    got = rows(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")))
+    assert got[0]["labels"] == "mit" and got[0]["score"] >= 0.75 and got[0]["spans"][0]["start"] == 1
+    assert got[1]["labels"] == "mit" and got[1]["score"] == 1.0
+    assert got[2]["labels"] == "" and 0 < got[2]["score"] < 0.75
+    assert got[3]["labels"] == "mit" and len(got[3]["spans"]) == 3
+
+
+def test_license_time_grows_with_the_text(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, "some words of a long text and more all rights reserved " * (n // 10))], "doc_id int, text string")
+        start = time.perf_counter()
+        assert license_scan.scan(df).first()["n_base"] == n // 10
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(160_000) < 4 * max(seconds(40_000), 1.0)
+
+
 def test_mixing(spark, docs, odd, none):
     got = QUERIES["op9_source_mixing"](spark, SF_DIR).collect()
     source = {r["doc_id"]: r["source"] for r in docs.collect()}
