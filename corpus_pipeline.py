@@ -1,8 +1,10 @@
 """The corpus pipeline: documents in, a mixed training corpus out.
 
 Every stage works on all rows that the one before it kept and hands on the columns of
-``documents``; the last adds what the mix takes of each document. Rows without an id pass the
-filters, which decide by id; rows that share an id share a decision.
+``documents``; the last adds what the mix takes of each document. Decisions go by row: rows
+without an id and rows that share one are judged by their own texts. The line stage alone works by
+id: rows without an id keep their lines. Columns beyond those of ``documents`` are handed on as they are,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -14,20 +16,16 @@ from vozmill.llm import decontamination, line_dedup, quality_rules, simhash_dedu
 from vozmill.llm.common import read, stored
 from vozmill.session import prepare
 
-_C = F.col
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality_rules.judge(docs, read(prepare(spark), sf_dir, "labels"))
-    rejected = judged.where(~_C("kept")).select(_C("doc_id").alias("__rejected"))
-    return docs.join(rejected, docs["doc_id"] == rejected["__rejected"], "left_anti")
+    return quality_rules.keep_good(docs, read(prepare(spark), sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stand elsewhere; a text of such lines only becomes empty."""
     prepare(spark)
-    cleaned = line_dedup.dedup_lines(docs).select(docs.columns)
+    cleaned = line_dedup.dedup_lines(docs, count_col=None)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast("long"))
     return cleaned
@@ -46,9 +44,8 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the mix takes words, and how many."""
-    dealt = source_mixing.mix(docs).where(_C("taken") > 0)
-    dealt = dealt.withColumnRenamed("doc_id", "__id").dropDuplicates(["__id"])
-    return docs.join(dealt, docs["doc_id"].eqNullSafe(dealt["__id"])).drop("__id")
+    prepare(spark)
+    return source_mixing.mix_rows(docs)
 
 
 STAGES = [
