@@ -366,6 +366,29 @@ def test_open_pairs_of_a_bucket_are_verified(spark, monkeypatch):
     assert brute.groups(len(texts), links) == [0, 0, 0, 3, 3, 3, 6, 6, 6]
 
 
+def test_a_large_component_costs_no_square(spark, monkeypatch):
+    """Many lines of one component beside a few others: four times the lines give about four times the rows."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    rows = []
+    for n in (200, 800):
+        lines = [(1, i, 0) for i in range(n)] + [(1, n + i, n + i) for i in range(20)] + [(2, 0, 0), (2, 1, 0)]
+        placed = spark.createDataFrame(lines, "band long, line long, component long")
+        dealt = line_dedup.dealt_blocks(placed).collect()
+        rows.append(len(dealt))
+        meet = {}
+        for r in dealt:
+            meet.setdefault((r["x"], r["y"]), []).append(r)
+        pairs = {
+            frozenset((a["component"], b["line"])) for group in meet.values() for a in group for b in group
+            if a["component"] == 0 and b["component"] != 0
+        }
+        together = {(a["line"], b["line"]) for group in meet.values() for a in group for b in group if a["line"] < b["line"]}
+        assert {r["band"] for r in dealt} == {1} and len(pairs) == 20
+        assert all((i, n + j) in together for i in range(n) for j in range(20))
+        assert all((n + i, n + j) in together for j in range(20) for i in range(j))
+    assert rows[1] < 5 * rows[0]
+
+
 def test_line_dedup_odd_rows(spark, odd, none):
     got = line_dedup.dedup_lines(odd).collect()
     by = {r["doc_id"]: r for r in got}

@@ -183,24 +183,49 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
     return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
 
 
-def open_links(placed: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(a, b): verified links between lines of one bucket that are in different components.
+def dealt_blocks(placed: DataFrame) -> DataFrame:
+    """(band, x, y, own, line, component): lines of buckets with several components, once per two blocks that meet.
 
-    ``placed``: band, line, component. A bucket is dealt in blocks, and each two blocks meet
-    in one group of bounded size. Pairs are formed and tested inside the group, each in the first
-    bucket that its lines share; only links that join components leave it.
+    A component larger than a block has blocks of its own, which do not meet each other; smaller ones
+    share blocks. So a bucket of many lines of one component and some others costs their product,
+    not its square.
     """
-    state = placed.groupBy("band").agg(
-        F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")
-    ).where(_C("x") < _C("y"))
-    blocks = state.select("band", F.ceil(_C("n") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("line"), _C("blocks")).cast("int")
-    dealt = placed.join(blocks, "band").withColumn("own", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), _C("blocks") - 1))
+    sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
+    large = _C("n") > BLOCK
+    state = sizes.groupBy("band").agg(
+        F.count("*").alias("components"),
+        F.ceil(F.coalesce(F.sum(F.when(~large, _C("n"))), F.lit(0)) / BLOCK).cast("int").alias("shared"),
+        # Large components have a block at least, so the list is no longer than the bucket's blocks.
+        F.array_sort(F.collect_list(F.when(large, F.struct("component", F.ceil(_C("n") / BLOCK).cast("int").alias("k"))))).alias("large"),
+    ).where(_C("components") > 1)
+    at = F.array_position(F.transform("large", lambda x: x["component"]), _C("component")).cast("int")
+    before = F.aggregate(F.slice("large", 1, F.greatest(at - 1, F.lit(0))), _C("shared"), lambda s, x: s + x["k"])
+    total = F.aggregate("large", _C("shared"), lambda s, x: s + x["k"])
+    many = F.when(at > 0, F.get("large", at - 1)["k"]).otherwise(0)
+    first = F.when(at > 0, before).otherwise(0)
+    # The places of a line do not grow with its own component: they are worked out once per (band, component).
+    plan = sizes.join(state, "band").select(
+        "band", "component", first.alias("first"), many.alias("many"),
+        F.when(at > 0, many).otherwise(_C("shared")).alias("own_blocks"),
+        F.filter(F.sequence(F.lit(0), total - 1), lambda b: (b < first) | (b >= first + many)).alias("others"),
     )
-    dealt = dealt.select(
+    spread = F.when(_C("many") > 0, _C("line")).otherwise(_C("component"))
+    own = _C("first") + F.pmod(F.xxhash64(spread), _C("own_blocks")).cast("int")
+    dealt = placed.join(stored(plan), ["band", "component"]).withColumn("own", own).withColumn("other", F.explode("others"))
+    return dealt.select(
         "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "line", "component"
-    ).join(texts, "line")
+    )
+
+
+def open_links(placed: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b): verified links between lines of one bucket that are in different components.
+
+    ``placed``: band, line, component. A bucket is dealt in blocks, and each two blocks that can hold
+    lines of different components meet in one group of bounded size. Pairs are formed and tested
+    inside the group, each in the first bucket that its lines share; only links that join components
+    leave it.
+    """
+    dealt = dealt_blocks(placed).join(texts, "line")
     dealt = dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -276,8 +301,9 @@ def removed_lines(docs: DataFrame, similarity: float, shingle: int) -> DataFrame
         F.when(_C("component").isNull(), _C("h2")).otherwise(0).alias("g2"),
     )
     placed = stored(placed)
-    # A group is one row per task before it is dealt out, and the join's large side can be split.
-    groups = placed.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where(_C("n") > 1)
+    # A group is one row per task before it is dealt out. Stored, both sides of the join come straight
+    # from an exchange, so adaptive execution can split the lines of a frequent group.
+    groups = stored(placed.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where(_C("n") > 1))
     repeated = placed.join(groups.hint("shuffle_hash"), ["g1", "g2"]).select(
         "id", "g1", "g2", "line_no", (_C("id") == _C("first_id")).alias("own")
     )
