@@ -274,6 +274,7 @@ def review_id(spark, d):
 
 @query
 def parse_date(spark, d):
+    """The given tables hold no dates: the values are made up per row number."""
     return feedback(spark, d).select(
         "row_ord", dates.parse_date(_C("feedback_date")).alias("feedback_date")
     )
@@ -297,6 +298,7 @@ def extract_relative(spark, d):
 
 @query
 def parse_relative(spark, d):
+    """The given tables hold no relative times: the values are made up per row number."""
     return load(spark, d, inputs.relative).select(
         "doc_id", dates.parse_relative(_C("phrase"), AS_OF).alias("moment")
     )
@@ -304,6 +306,7 @@ def parse_relative(spark, d):
 
 @query
 def effective_date(spark, d):
+    """The given tables hold no dates: the values are made up per row number."""
     return load(spark, d, inputs.relative).select(
         "doc_id", dates.effective_date(_C("date_str"), _C("phrase"), AS_OF).alias("day")
     )
@@ -367,6 +370,7 @@ def with_aliases(spark, d):
 
 @query
 def status_class(spark, d):
+    """The given tables hold no statuses: the values are made up per row number."""
     return feedback(spark, d).select("row_ord", text.status_class(_C("status")).alias("status_class"))
 
 
@@ -377,6 +381,7 @@ def case_reference(spark, d):
 
 @query
 def clean_author(spark, d):
+    """The given tables hold no authors: the values are made up per row number."""
     return feedback(spark, d).select("row_ord", text.clean_author(_C("author")).alias("author"))
 
 

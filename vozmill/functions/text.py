@@ -196,9 +196,9 @@ def site_suffix_pattern(brand: str, site: str) -> str:
     site_words = r"\s*".join(re.escape(w) for w in site.split())
     brand_words = r"\s*".join(re.escape(w) for w in brand.split())
     return (
-        rf"(?:\s*-\s*(?:{brand_words}\s*-\s*)?{site_words}"
-        r"|pesquise\s+reputa(?:cao|[çÇ][ãÃ]o)\s+de\s+empresas\s+antes\s+de\s+comprar"
-        r"|toda\s+empresa\s+tem\s+problema).*$"
+        rf"(?:\s*-\s*(?:{brand_words}\s*-\s*)?{site_words}|"
+        + "|".join(lx.SLOGAN_PATTERNS)
+        + r").*$"
     )
 
 

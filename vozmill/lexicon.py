@@ -56,6 +56,11 @@ UNRESOLVED_HINTS = [
     "nao respondida", "nao respondido", "nao resolvida", "nao resolvido",
     "sem resposta", "pendente", "aberta", "em andamento",
 ]
+# Patterns of the slogans that cut a text to its end.
+SLOGAN_PATTERNS = [
+    r"pesquise\s+reputa(?:cao|[çÇ][ãÃ]o)\s+de\s+empresas\s+antes\s+de\s+comprar",
+    r"toda\s+empresa\s+tem\s+problema",
+]
 BOILERPLATE_HINTS_LOADER = [
     "pesquise reputacao de empresas antes de comprar",
     "toda empresa tem problema",

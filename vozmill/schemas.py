@@ -2,6 +2,9 @@
 
 from pyspark.sql import types as T
 
+# --------------------------------------------------------------------------
+# Column names that inputs and outputs must have
+# --------------------------------------------------------------------------
 FEEDBACK_COLUMNS = [
     "feedback_id", "source", "source_url", "author", "feedback_date",
     "raw_text", "initial_category", "channel", "status",
