@@ -46,7 +46,7 @@ def _files(spark, df: DataFrame, order: str) -> str:
 def incremental_run(spark, d):
     """Two batches, one after the other, through the bucketed snapshots: the analyzed table."""
     answers = load(spark, d, inputs.replies).select("feedback_id", "reply", "reply_seq")
-    run = IncrementalRun(spark, shared_folder(spark))
+    run = IncrementalRun(spark, shared_folder(spark), buckets=16)
     for number in (0, 1):
         run.add(_batch(spark, d, number), AS_OF, answers)
     return run.analyzed()
