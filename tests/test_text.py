@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import time
 import unicodedata
 
 from hypothesis import HealthCheck, given, settings
@@ -169,3 +170,34 @@ def test_whole_numbers_keep_their_digits(values):
     texts = ["9007199254740993", " 4 ", "4.7", "-1e3", "x", None, "9223372036854775807", "1e30"]
     got = values(lambda c: to_number(c, 0, kind="bigint"), texts)
     assert got == [9007199254740993, 4, 4, -1000, 0, 0, 9223372036854775807, 0]
+
+
+def _seconds(df) -> float:
+    started = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - started
+
+
+def test_words_that_are_no_numbers_cost_no_more_than_numbers(spark):
+    """A failed cast raises an error inside the engine; words are told from numbers before it."""
+    rows = spark.range(0, 400_000, 1, 4)
+    numbers = rows.select(F.concat(F.lit("7"), F.col("id").cast("string")).alias("x"))
+    words = rows.select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("x"))
+    typed = lambda df: df.select(to_number(F.col("x"), 0), to_number(F.col("x"), 0, kind="bigint"))
+    _seconds(typed(numbers))
+    assert min(_seconds(typed(words)) for _ in range(3)) < 4 * min(_seconds(typed(numbers)) for _ in range(3))
+
+
+def test_texts_at_the_border_of_numbers(spark, values):
+    texts = [" 1e3\n", "\x7f5\x7f", "+.5", "5.", "0x1p3", "2d", "NaN", " -inf", "+INFINITY ", "true", "infos", "1 2", "--1", "."]
+    plain = lambda c: F.coalesce(c.try_cast("double"), F.lit(-7.0))
+    assert str(values(lambda c: to_number(c, -7), texts)) == str(values(plain, texts))
+    assert spark.range(2).select(to_number(F.col("id") > 0)).collect() == [(0.0,), (1.0,)]
+
+
+def test_signs_in_a_long_ascii_text_cost_little(spark):
+    """One sign must not make every ASCII position a look-up in the class of all signs."""
+    rows = spark.range(0, 400, 1, 4).withColumn("x", F.repeat(F.concat(F.lit("palavra "), F.col("id").cast("string")), 4000))
+    folded = lambda mark: rows.select(text.fold_accents(F.concat("x", F.lit(mark))).alias("y"))
+    _seconds(folded("ﬁ"))
+    assert min(_seconds(folded("ﬁ")) for _ in range(3)) < 4 * min(_seconds(folded("ç")) for _ in range(3))

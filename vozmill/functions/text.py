@@ -51,20 +51,20 @@ def _fold_tables() -> tuple[str, str]:
     return "".join(single + marks), "".join(bases[c] for c in single)
 
 
-def _char_class(chars) -> str:
-    """A class of a regular expression that lists the characters as ranges; ASCII fails at once."""
+def _char_ranges(chars) -> str:
+    """The characters, and all syllables, as ranges within a class of a regular expression."""
     codes, ranges = sorted(map(ord, chars)), []
     for code in codes:
         if ranges and code == ranges[-1][1] + 1:
             ranges[-1][1] = code
         else:
             ranges.append([code, code])
-    return "(?=[^\\x00-\\x7f])[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + _HANGUL + "]"
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + _HANGUL
 
 
 @lru_cache(maxsize=1)
 def _sign_tables() -> tuple[dict[str, str], list[tuple[str, str]], str]:
-    """Characters of several letters: the long ones, ``translate`` arguments per letter, the class of all.
+    """Characters of several letters: the long ones, ``translate`` arguments per letter, the ranges of all.
 
     The arguments for letter k delete the signs that have fewer letters.
     """
@@ -76,26 +76,34 @@ def _sign_tables() -> tuple[dict[str, str], list[tuple[str, str]], str]:
         having = [c for c in short if len(short[c]) > k]
         rest = [c for c in short if len(short[c]) <= k]
         steps.append(("".join(having + rest), "".join(short[c][k] for c in having)))
-    return long, steps, _char_class(wide)
+    return long, steps, _char_ranges(wide)
+
+
+def _sign_class() -> str:
+    """The class of all signs; ASCII fails at once."""
+    return f"(?=[^\\x00-\\x7f])[{_sign_tables()[2]}]"
 
 
 def _spell_signs(folded: Column) -> Column:
     """Ligatures, fractions, units and syllables as their letters.
 
-    The text is split around each of them; what is left in between is not looked at again.
+    The text is taken apart into runs of ASCII, runs of other characters and single signs; only
+    signs are looked at again. No position of an ASCII run is compared with the class of the signs.
     """
-    long, steps, signs = _sign_tables()
-    spelled = reduce(lambda text, sign: F.replace(text, F.lit(sign), F.lit(long[sign])), long, folded)
-    parts = F.split(spelled, f"(?<={signs})|(?={signs})".replace("(?<=(?=[^\\x00-\\x7f])", "(?<="))
+    long, steps, ranges = _sign_tables()
+    signs = _sign_class()
+    parts = F.regexp_extract_all(folded, F.lit(f"[\\x00-\\x7f]++|[^\\x00-\\x7f{ranges}]++|[{ranges}]"), F.lit(0))
+    known = F.create_map(*[F.lit(x) for pair in long.items() for x in pair])
 
     def letters(part: Column) -> Column:
         number = F.ascii(part) - ord(_HANGUL[0])
         places = ((number / 588).cast("int"), ((number % 588) / 28).cast("int"), number % 28)
         rows = [F.substring(F.lit(row), place + 1, F.lit(1)) for row, place in zip(_HANGUL_ROWS, places)]
         syllable = F.concat(rows[0], rows[1], F.when(places[2] > 0, rows[2]).otherwise(F.lit("")))
+        spelled = F.concat(*[F.translate(part, a, b) for a, b in steps])
         return (
             F.when(part.rlike(f"^[{_HANGUL}]$"), syllable)
-            .when(part.rlike(f"^{signs}$"), F.concat(*[F.translate(part, a, b) for a, b in steps]))
+            .when(part.rlike(f"^{signs}$"), F.coalesce(F.try_element_at(known, part), spelled))
             .otherwise(part)
         )
 
@@ -105,7 +113,7 @@ def _spell_signs(folded: Column) -> Column:
 def _decompose(low: Column) -> Column:
     """Compatibility decomposition without marks. Few texts hold more than single letters with accents."""
     source, target = _fold_tables()
-    signs = _sign_tables()[2]
+    signs = _sign_class()
     return bind(
         F.translate(low, source, target),
         lambda single: F.when(single.rlike(signs), _spell_signs(single)).otherwise(single),
