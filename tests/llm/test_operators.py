@@ -553,3 +553,13 @@ def test_sql_matches(spark):
         assert sorted(names) == sorted(df.columns)
         got = sorted(tuple(str(r[c]) for c in names) for r in df.collect())
         assert got == sorted(tuple(str(v) for v in r) for r in cursor.fetchall()), name
+
+
+def test_decontamination_fit_reads_every_text(spark, docs, monkeypatch):
+    """No filter stands between the texts and the fit, and its first pass is shared by the blocks of items."""
+    plans, sketches, fit, sketch = [], [], decontamination.latent_space, decontamination.corpus_sketch
+    monkeypatch.setattr(decontamination, "latent_space", lambda texts, *a: plans.append(texts._jdf.queryExecution().toString()) or fit(texts, *a))
+    monkeypatch.setattr(decontamination, "corpus_sketch", lambda *a: sketches.append(1) or sketch(*a))
+    asked = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(6)], "item_id long, text string")
+    decontamination.find_contaminated(docs, asked, block_items=2)
+    assert plans and not any("Filter" in p or "Sample" in p for p in plans) and len(sketches) == 1

@@ -8,7 +8,7 @@ Words are hashed into a fixed number of features.
    ``A^T (A R)`` for a random R with ``OVERSAMPLE`` columns more than ranks, Spark adds the shares up, and
    the driver orthonormalises the sum to a basis Q (features by columns, a fixed size). The second pass
    sums ``(A Q)^T (A Q)``, whose eigenvectors turn Q into right singular vectors; the ``rank`` largest stay.
-   As the fit of an index, it reads a hash sample of about ``fit_docs`` documents, in ``FIT_TASKS`` tasks.
+   Both passes read every whole text. The first does not depend on the items, so it is done once for all blocks.
    The items to protect are rows of A too, weighted up to the same total as the corpus, so the
    space tells them apart.
 3. The search, over every whole text: overlapping windows of a text are projected and compared by cosine with
@@ -21,7 +21,7 @@ Words are hashed into a fixed number of features.
    by an item if it holds ``run`` of its words in a row, nearly all words of the item or of a passage of it
    in order, or, for paraphrases, most of the item and the answer: the item's answer column, or its last words.
 
-Items are a stated query set, read in blocks of ``block_items``; each block is one more third pass,
+Items are a stated query set, read in blocks of ``block_items``; each block is one more second and third pass,
 so no larger set sits in memory. A verdict depends on the text alone, so the blocks' verdicts are
 put together by a 128-bit digest of the text; ids play no part in it.
 
@@ -45,13 +45,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vozmill.llm.common import byte_texts, pieces, seeded, stored, text_digest
+from vozmill.llm.common import byte_texts, pieces, stored, text_digest
 
 _C = F.col
 FEATURES = 1 << 15
 RANK = 64
 OVERSAMPLE = 16  # columns of the sketch beyond the ranks
-FIT_TASKS = 16  # tasks that share the sample of the fit, each with one array of fixed size
+FIT_TASKS = 16  # tasks of the fit, each with one array of fixed size, if the texts come in as many parts
+FIT_WORDS = 1 << 24  # words to a task of the fit, where that makes more tasks
 CELLS = 1 << 22  # windows times passages that are compared at once
 HALF = 16  # words in half a window
 STEP = 8  # words from a passage of an item to the next
@@ -168,14 +169,17 @@ def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
     return {r["block"]: np.frombuffer(r["values"], np.float32) for r in merged.collect()}
 
 
-def _total(texts: DataFrame, shape: tuple[int, int], share: Callable[[Words], np.ndarray], blocks: int = 64) -> np.ndarray:
-    """The sum over all texts of an array of fixed shape that ``share`` computes for some of them."""
+def _total(texts: DataFrame, shape: tuple[int, int], add: Callable[[Words, np.ndarray], None], blocks: int = 64) -> np.ndarray:
+    """The sum over all texts of an array of fixed shape; ``add`` adds the share of some of them to it.
+
+    A task holds one such array, and every piece changes only the rows it has words for.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in pieces(batches, "text", 1 << 17):
-            part = share(Words(byte_texts(pc.utf8_lower(batch.column("text")))))
-            total = part if total is None else total + part
+            total = np.zeros(shape) if total is None else total
+            add(Words(byte_texts(pc.utf8_lower(batch.column("text")))), total)
         if total is None:  # no row came here
             return
         cut = np.array_split(total, blocks)
@@ -190,69 +194,92 @@ def _total(texts: DataFrame, shape: tuple[int, int], share: Callable[[Words], np
     return np.concatenate([found[k] for k in range(blocks)]).reshape(shape)
 
 
-def _frequencies(words: Words) -> np.ndarray:
-    owner = np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))
-    once = np.unique(owner * FEATURES + words.feature) % FEATURES
-    counts = np.bincount(once, minlength=FEATURES + 1).astype(float)
-    counts[FEATURES] = len(words.bounds) - 1
-    return counts[:, None]
+def _by_feature(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words by feature, in order, and their features; short integers sort by digits."""
+    order = np.argsort(words.feature.astype(np.uint16), kind="stable")
+    return order, words.feature[order]
+
 
+def _frequencies(words: Words, total: np.ndarray) -> None:
+    """Adds the texts that hold each feature, the texts and their words."""
+    order, feature = _by_feature(words)
+    owner = np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))[order]
+    once = np.flatnonzero((np.diff(feature, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
+    total[:, 0] += np.bincount(feature[once], minlength=FEATURES + 2)
+    total[FEATURES:, 0] += len(words.bounds) - 1, len(words.start)
 
-def _gram(words: Words, weight: np.ndarray, random: np.ndarray) -> np.ndarray:
-    """``A^T (A R)`` of passages of ``HALF`` words; ``random`` is weighted already."""
+
+def _gram(words: Words, weight: np.ndarray, random: np.ndarray, total: np.ndarray) -> None:
+    """Adds ``A^T (A R)`` of passages of ``HALF`` words; ``random`` is weighted already."""
     starts, _ = _halves(words.bounds)
-    out = np.zeros((FEATURES, random.shape[1]))
     if not len(starts):
-        return out
+        return
     sketch = np.add.reduceat(random[words.feature], starts)
     run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words.feature))))
-    order = np.argsort(words.feature, kind="stable")
-    features, first = np.unique(words.feature[order], return_index=True)
-    out[features] = weight[features, None] * np.add.reduceat(sketch[run[order]], first)
-    return out
+    order, feature = _by_feature(words)
+    first = np.flatnonzero(np.diff(feature, prepend=-1))
+    features = feature[first]
+    total[features] += weight[features, None] * np.add.reduceat(sketch[run[order]], first)
 
 
-def feature_weights(texts: DataFrame) -> tuple[np.ndarray, float]:
-    """Weight of each feature, ``log((1 + documents) / frequency)`` squared, and the documents."""
-    counts = _total(texts, (FEATURES + 1, 1), _frequencies)[:, 0]
-    documents = counts[FEATURES]
-    return (np.log((1 + documents) / np.maximum(counts[:FEATURES], 1)) ** 2).astype(np.float32), documents
+def feature_weights(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Weight of each feature, ``log((1 + documents) / frequency)`` squared, and the number of all words."""
+    counts = _total(texts, (FEATURES + 2, 1), _frequencies)[:, 0]
+    documents, words = counts[FEATURES:]
+    return (np.log((1 + documents) / np.maximum(counts[:FEATURES], 1)) ** 2).astype(np.float32), int(words)
 
 
-def _projected(words: Words, basis: np.ndarray) -> np.ndarray:
-    """``(A Q)^T (A Q)`` of passages of ``HALF`` words; ``basis`` is weighted already."""
+def _projected(words: Words, basis: np.ndarray, total: np.ndarray) -> None:
+    """Adds ``(A Q)^T (A Q)`` of passages of ``HALF`` words; ``basis`` is weighted already."""
     starts, _ = _halves(words.bounds)
-    if not len(starts):
-        return np.zeros((basis.shape[1], basis.shape[1]))
-    rows = np.add.reduceat(basis[words.feature], starts).astype(np.float64)
-    return rows.T @ rows
+    if len(starts):
+        rows = np.add.reduceat(basis[words.feature], starts).astype(np.float64)
+        total += rows.T @ rows
 
 
-def latent_space(texts: DataFrame, weight: np.ndarray, items: list[bytes], rank: int = RANK, seed: int = 17) -> np.ndarray | None:
-    """Weighted right singular vectors: row f projects one occurrence of feature f; None if there is no word."""
-    columns = rank + OVERSAMPLE
-    context = texts.sparkSession.sparkContext
-    # The driver holds a few arrays of features by columns, a fixed size, in single precision.
+def _random(weight: np.ndarray, columns: int, seed: int) -> np.ndarray:
     random = np.random.default_rng(seed).standard_normal((FEATURES, columns), np.float32)
     random *= weight[:, None]
-    sent = context.broadcast((weight, random))
-    corpus = _total(texts, (FEATURES, columns), lambda w: _gram(w, *sent.value))
+    return random
+
+
+def corpus_sketch(texts: DataFrame, weight: np.ndarray, rank: int = RANK, seed: int = 17) -> np.ndarray:
+    """``A^T (A R)`` of all texts, the same for every block of items."""
+    random = _random(weight, rank + OVERSAMPLE, seed)
+    sent = texts.sparkSession.sparkContext.broadcast((weight, random))
+    corpus = _total(texts, random.shape, lambda w, total: _gram(w, *sent.value, total))
+    sent.unpersist()
+    return corpus
+
+
+def latent_space(
+    texts: DataFrame, weight: np.ndarray, items: list[bytes], rank: int = RANK, seed: int = 17, corpus: np.ndarray | None = None,
+) -> np.ndarray | None:
+    """Weighted right singular vectors: row f projects one occurrence of feature f; None if there is no word.
+
+    ``corpus`` is the :func:`corpus_sketch` of the texts, if it is known already.
+    """
+    columns = rank + OVERSAMPLE
+    corpus = corpus_sketch(texts, weight, rank, seed) if corpus is None else corpus
     split = Words(items)
-    queries = _gram(split, weight, random).astype(np.float32)
+    # The driver holds a few arrays of features by columns, a fixed size, in single precision.
+    queries = np.zeros((FEATURES, columns), np.float32)
+    _gram(split, weight, _random(weight, columns, seed), queries)
     size, own = float(np.linalg.norm(corpus)), float(np.linalg.norm(queries))
     share = size / own if size and own else 1.0  # items count as much as the corpus
     queries *= share
     queries += corpus
-    del random, corpus
     if not np.any(queries):
         return None
     basis = np.linalg.qr(queries)[0]
     del queries
     basis *= weight[:, None]
-    again = context.broadcast(basis)
-    small = _total(texts, (columns, columns), lambda w: _projected(w, again.value), blocks=1) + share * _projected(split, basis)
+    again = texts.sparkSession.sparkContext.broadcast(basis)
+    small = _total(texts, (columns, columns), lambda w, total: _projected(w, again.value, total), blocks=1).astype(np.float64)
+    own_part = np.zeros((columns, columns))
+    _projected(split, basis, own_part)
+    small += share * own_part
     vectors = np.linalg.eigh(small)[1][:, ::-1][:, :rank]  # of the largest singular values
-    sent.unpersist()
     again.unpersist()
     return basis @ vectors.astype(np.float32)
 
@@ -496,7 +523,7 @@ def find_contaminated(
     item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None,
     close: float = 0.7, sure: float = 0.8, likely: float = 0.6, slack: float = 1.25,
     least_words: int = 8, answer_words: int = 5, rank: int = RANK, block_items: int = 20_000,
-    fit_docs: int = 20_000, seed: int = 17, run: int = 12,
+    seed: int = 17, run: int = 12,
 ) -> DataFrame:
     """(id_col, contaminated, items, share) of every row; ``items`` ascending, ``share`` of the best."""
     spark = docs.sparkSession
@@ -508,9 +535,10 @@ def find_contaminated(
     ).distinct()
     blocks = max(-(-asked.count() // block_items), 1)
     numbered = asked.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    weight, documents = feature_weights(base)
-    rate = min(1.0, fit_docs / max(documents, 1.0))
-    drawn = F.pmod(seeded(seed, _C("id"), F.length("text")), F.lit(1_000_003)) < rate * 1_000_003
+    weight, words = feature_weights(base)
+    # Each task of the fit ends in one array of fixed size, so tasks follow the words, not the files.
+    fitted = base.select("text").coalesce(max(FIT_TASKS, -(-words // FIT_WORDS)))
+    corpus = None
     parts = []
     for block in range(blocks):
         rows = sorted(numbered.where(_C("block") == block).collect(), key=lambda r: (r["item"], r["text"]))
@@ -521,8 +549,9 @@ def find_contaminated(
         items = [i for i in items if len(i.words) >= max(least_words * i.unit, 1)]
         space = None
         if items:
-            sample = base.where(drawn).select("text").repartition(FIT_TASKS)
-            space = latent_space(sample, weight, [b" ".join(i.words) for i in items], rank)
+            if corpus is None:
+                corpus = corpus_sketch(fitted, weight, rank, seed)
+            space = latent_space(fitted, weight, [b" ".join(i.words) for i in items], rank, seed, corpus)
         searcher = Searcher(items, short, space, close, sure, likely, slack, run) if items or short else None
         sent = spark.sparkContext.broadcast(searcher)  # features by rank, and one block of items
         if blocks == 1:
