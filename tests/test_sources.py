@@ -1,10 +1,12 @@
 """Files: CSV input, snapshots, typed re-read, and a whole run."""
 
 import csv
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from vozmill.checks import runs
 from vozmill.operators import dedupe
 from vozmill.plans import batch
 from vozmill.schemas import FEEDBACK_COLUMNS, MANUAL_COLUMNS
@@ -184,3 +186,14 @@ def test_load_and_upsert_without_files_keeps_the_snapshot(spark, tmp_path):
     assert added == before.count() == 2
     after, added = writers.load_and_upsert(spark, str(tmp_path / "none.csv"), str(tmp_path / "1"), str(tmp_path / "2"))
     assert added == 0 and sorted(after.collect()) == sorted(before.collect())
+
+
+def test_csv_files_of_a_run_have_bounded_size(spark, tmp_path):
+    """More rows make more files, not larger ones, and the rows keep their order over all of them."""
+    texts = [f"line {i}\nsecond \"quoted\", {i}" for i in range(400)]
+    spark.createDataFrame(list(enumerate(texts)), "row_ord bigint, text string").write.parquet(str(tmp_path / "in"))
+    table = spark.read.parquet(str(tmp_path / "in"))
+    size = runs._stored_bytes(spark, table)
+    path = runs._files(spark, table, "row_ord", file_bytes=-(-size // 10))
+    assert len([n for n in os.listdir(path) if n.startswith("part-")]) == 10
+    assert [r["text"] for r in readers.read_csv(spark, path).orderBy("row_ord").collect()] == texts

@@ -32,10 +32,21 @@ def _batch(spark, d, number: int) -> DataFrame:
     return feedback(spark, d).where(_C("batch_seq") == number).withColumn("batch_seq", F.lit(0))
 
 
-def _files(spark, df: DataFrame, order: str) -> str:
-    """The table as three CSV files, by name in the order of a column, which is not written."""
+#: Bytes of the stored table that go into one CSV file, which one task reads.
+FILE_BYTES = 32 << 20
+
+
+def _stored_bytes(spark, df: DataFrame) -> int:
+    """Bytes of the files that a table is read from."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(name) for name in df.inputFiles()]
+    conf = spark._jsc.hadoopConfiguration()
+    return sum(path.getFileSystem(conf).getFileStatus(path).getLen() for path in paths)
+
+
+def _files(spark, df: DataFrame, order: str, file_bytes: int = FILE_BYTES) -> str:
+    """The table as CSV files of bounded size, three at least, by name in the order of a column, which is not written."""
     path = shared_folder(spark)
-    parts = df.repartitionByRange(3, order).sortWithinPartitions(order).drop(order)
+    parts = df.repartitionByRange(max(3, -(-_stored_bytes(spark, df) // file_bytes)), order).sortWithinPartitions(order).drop(order)
     options = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     parts.write.options(**options).csv(path)
     return path
