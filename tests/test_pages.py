@@ -274,3 +274,29 @@ def test_review_records_keep_the_first_of_equals(spark):
     df = spark.createDataFrame([(1, "u", text), (0, "u", text)], "page_id bigint, url string, text string")
     rows = reviews.review_records(df).collect()
     assert [(r.page_id, r.author, r.raw_text, r.initial_category) for r in rows] == [(0, "Ana", "gostei muito do produto", "elogio")]
+
+
+def test_detail_does_not_clean_collapsed_texts_again(spark):
+    html = [
+        f'<h1>Titulo  um</h1><div id="complaint-description">{LONG}\n mais &nbsp; texto - Portal do Consumidor fim</div>',
+        "<b>Status: pendente</b> &amp; <br/>05/06/2024",
+    ]
+    stored = pages(spark, *html, urls=[f"{BASE}/1", f"{BASE}/2"])
+    entries = spark.createDataFrame(
+        [(0, i, f"{BASE}/{i}", "Titulo  da lista", "nova", "", f" trecho  {i}\n da lista - portal do consumidor x") for i in (1, 2, 3)],
+        "page_id bigint, pos int, source_url string, title string, status string, relative_text string, snippet string",
+    )
+    detail = extract.page_detail(entries, stored, BASE)
+    rows = [tuple(r) for r in detail.orderBy("pos").select("title", "description", "date_str", "status").collect()]
+    assert rows == [
+        ("Titulo um", f"{LONG} mais texto", "", "nova"),
+        ("Titulo da lista", "trecho 2 da lista", "05/06/2024", "nao resolvida"),
+        ("Titulo  da lista", entries.collect()[2].snippet, "", "nova"),
+    ]
+    assert "concat_ws" not in detail._jdf.queryExecution().analyzed().toString()
+
+
+def test_page_reader_does_not_count_lines(monkeypatch):
+    monkeypatch.setattr("_markupbase.ParserBase.updatepos", lambda *_: 1 / 0)
+    page = PageParts("<H1>um\n dois</H1><p>x<br/></p><style>p {}</style><li>a<li>b")
+    assert page.pieces == ["um dois", "x", "a", "b"] and page.heading() == "um dois"

@@ -201,3 +201,14 @@ def test_signs_in_a_long_ascii_text_cost_little(spark):
     folded = lambda mark: rows.select(text.fold_accents(F.concat("x", F.lit(mark))).alias("y"))
     _seconds(folded("ﬁ"))
     assert min(_seconds(folded("ﬁ")) for _ in range(3)) < 4 * min(_seconds(folded("ç")) for _ in range(3))
+
+
+def test_collapsed_texts_pass_as_they_are(values):
+    texts = ["a b", " a  b ", "a\u00a0b", "a \u2003 b", "\x1ca\x85b", "Reclamação é", "", None, "a\tb c"]
+    assert values(text.collapse_again, texts) == [" ".join((t or "").split()) for t in texts]
+    flat = [
+        "Caso um - Empresa - Portal do Consumidor 2024", "Caso - PORTAL DO CONSUMIDOR", "portal sem - consumidor fim",
+        "antes Toda Empresa tem problema depois", "toda a empresa", "pesquise reputaÇÃo de empresas antes de comprar x", "",
+    ]
+    assert values(text.cut_footer, flat) == ["Caso um", "Caso", flat[2], "antes", flat[4], "", ""]
+    assert values(lambda c: text.cut_footer(c, "Loja", "Sítio"), ["Caso - Loja - sítio a", "toda empresa tem problema"]) == ["Caso", ""]

@@ -14,6 +14,8 @@ from vozmill import lexicon as lx
 
 # Blank characters in the sense of Unicode (ASCII separators 28-31 included).
 _BLANK = r"(?U)[\s\x1c-\x1f]+"
+# A blank character other than the space; the look-ahead passes over printable ASCII characters.
+_OTHER_BLANK = r"(?=[^ -~])[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 @lru_cache(maxsize=1)
@@ -143,6 +145,15 @@ def collapse_spaces(c: Column) -> Column:
     return F.trim(F.regexp_replace(text_or_blank(c), _BLANK, " "))
 
 
+def collapse_again(c: Column) -> Column:
+    """T1 for texts that are mostly collapsed already: only those that are not are written anew."""
+    def again(text: Column) -> Column:
+        loose = text.contains("  ") | text.rlike(_OTHER_BLANK)
+        return F.when(loose, F.trim(F.regexp_replace(text, _BLANK, " "))).otherwise(F.trim(text))
+
+    return bind(text_or_blank(c), again)
+
+
 def fold_accents(c: Column) -> Column:
     """Lower case without accents. Plain ASCII text skips the translation."""
     return bind(
@@ -155,7 +166,7 @@ def fold_flat(flat: Column) -> Column:
     """:func:`fold_text` for a text that is collapsed already: ASCII text is only lowered."""
     def plain(low: Column) -> Column:
         # Some signs decompose to a space, so spaces are single again only after this.
-        single = F.trim(F.regexp_replace(_decompose(low), " +", " "))
+        single = F.trim(F.regexp_replace(_decompose(low), "  +", " "))
         return F.when(low.rlike(r"[^\x00-\x7f]"), single).otherwise(low)
 
     return bind(F.lower(flat), plain)
@@ -210,6 +221,24 @@ def site_suffix_pattern(brand: str, site: str) -> str:
     )
 
 
+def cut_footer(flat: Column, brand: str = "Empresa", site: str = "Portal do Consumidor") -> Column:
+    """Cut footers and slogans to the end of a text that is collapsed already.
+
+    A text without the words of any of them is not searched with the pattern.
+    """
+    needed = [site.split(), *lx.SLOGAN_WORDS]
+    plain = [[w.lower() for w in words if w.isascii()] for words in needed]
+
+    def cut(text: Column) -> Column:
+        gone = F.trim(F.regexp_replace(text, "(?i)" + site_suffix_pattern(brand, site), ""))
+        if not all(plain):
+            return gone
+        able = bind(F.lower(text), lambda low: reduce(lambda a, b: a | b, [contains_all(low, words) for words in plain]))
+        return F.when(able, gone).otherwise(text)
+
+    return bind(flat, cut)
+
+
 def strip_boilerplate(
     c: Column,
     brand: str = "Empresa",
@@ -217,7 +246,7 @@ def strip_boilerplate(
     hints=lx.BOILERPLATE_HINTS,
 ) -> Column:
     """T4: cut footers and slogans to the end; blank when hints remain."""
-    cut = F.trim(F.regexp_replace(collapse_spaces(c), "(?i)" + site_suffix_pattern(brand, site), ""))
+    cut = cut_footer(collapse_again(c), brand, site)
     return bind(cut, lambda t: F.when(is_boilerplate_flat(t, hints), F.lit("")).otherwise(t))
 
 

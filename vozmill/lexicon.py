@@ -61,6 +61,8 @@ SLOGAN_PATTERNS = [
     r"pesquise\s+reputa(?:cao|[çÇ][ãÃ]o)\s+de\s+empresas\s+antes\s+de\s+comprar",
     r"toda\s+empresa\s+tem\s+problema",
 ]
+# Words that every match of each pattern holds.
+SLOGAN_WORDS = [["pesquise", "empresas", "comprar"], ["toda", "empresa", "problema"]]
 BOILERPLATE_HINTS_LOADER = [
     "pesquise reputacao de empresas antes de comprar",
     "toda empresa tem problema",

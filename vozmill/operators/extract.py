@@ -19,8 +19,8 @@ from vozmill import lexicon as lx
 from vozmill.functions import dates
 from vozmill.functions.ids import bare_url, short_hash
 from vozmill.functions.text import (
-    bind, collapse_spaces, fold_flat, fold_text, is_boilerplate_flat, is_complaint_flat,
-    looks_garbled, status_class, status_of_folded, strip_boilerplate, text_or_blank,
+    bind, collapse_again, collapse_spaces, cut_footer, fold_flat, fold_text, is_boilerplate_flat, is_complaint_flat,
+    looks_garbled, status_of_folded, strip_boilerplate, text_or_blank,
 )
 from vozmill.operators import filters
 from vozmill.operators.dedupe import dedupe_columns, keep_one
@@ -149,7 +149,7 @@ def read_entries(
     anchors: DataFrame, brand: str = "Empresa", site: str = "Portal do Consumidor"
 ) -> DataFrame:
     """Status, relative time and snippet from the block around each anchor."""
-    blocks = anchors.withColumn("_block", collapse_spaces(F.coalesce(_C("block"), _C("title"))))
+    blocks = anchors.withColumn("_block", collapse_again(F.coalesce(_C("block"), _C("title"))))
     # The block is folded once for both readings.
     entries = blocks.withColumn("_folded", fold_flat(_C("_block"))).withColumns(
         {
@@ -330,29 +330,27 @@ def page_detail(
         strip_boilerplate(_C("heading"), brand, site).alias("_h1"),
         strip_boilerplate(_C("og_title"), brand, site).alias("_og"),
         (own_text() != "").alias("_has_text"),
-        strip_boilerplate(own_text(), brand, site).alias("_page_text"),
+        # The page's own text is collapsed and free of hints, so the footer alone is left to cut.
+        cut_footer(own_text(), brand, site).alias("_page_text"),
     )
     per_url = keep_one(texts, [_C("source_url")], [_C("_page").asc()]).withColumn("_found", F.lit(True))
-    own = entries.withColumns(
-        {
-            "_own": strip_boilerplate(_C("title"), brand, site),
-            "_snippet": strip_boilerplate(_C("snippet"), brand, site),
-        }
-    )
+    joined = entries.join(per_url, "source_url", "left")
     found = _C("_found").isNotNull()
-    joined = own.join(per_url, "source_url", "left").withColumns(
+    # The snippet of an entry is as long as a page's text; it is cleaned only where it stands in for that.
+    lacking = found & (~_C("_has_text") | (F.length("_page_text") < 20))
+    told = joined.withColumns(
         {
             "_title": F.coalesce(
-                *[F.nullif(_C(c), F.lit("")) for c in ("_h1", "_og", "_own")], collapse_spaces(_C("title"))
+                *[F.nullif(_C(c), F.lit("")) for c in ("_h1", "_og")],
+                F.nullif(strip_boilerplate(_C("title"), brand, site), F.lit("")), collapse_spaces(_C("title")),
             ),
-            "_description": F.when(_C("_has_text"), _C("_page_text")).otherwise(_C("_snippet")),
+            "_snippet": F.when(lacking, strip_boilerplate(_C("snippet"), brand, site)),
         }
-    )
-    context = joined.withColumn(
-        "_context",
-        F.when(found, collapse_spaces(F.concat_ws(" ", "_title", "_description", "body"))).otherwise(""),
-    )
-    seen = status_class(_C("_context"))
+    ).withColumn("_description", F.when(_C("_has_text"), _C("_page_text")).otherwise(_C("_snippet")))
+    # Each part is collapsed already.
+    parts = F.filter(F.array("_title", "_description", "body"), lambda part: part != "")
+    context = told.withColumn("_context", F.when(found, F.array_join(parts, " ")).otherwise(""))
+    seen = bind(fold_flat(_C("_context")), status_of_folded)
     shown = {
         "title": F.when(found & (_C("_title") != ""), _C("_title")).otherwise(_C("title")),
         "description": F.when(~found, _C("snippet"))
@@ -380,7 +378,7 @@ def complaint_records(
     fields = F.struct(
         "status",
         dates.effective_date(_C("date_str"), _C("relative_text"), as_of).alias("feedback_date"),
-        collapse_spaces(F.concat_ws(" ", "title", "description")).alias("raw_text"),
+        collapse_again(F.concat_ws(" ", "title", "description")).alias("raw_text"),
     )
     staged = detail.select("page_id", "pos", "source_url", F.inline_outer(F.array(fields)))
     chosen = filters.time_window(filters.status_filter(staged, status_option), as_of, hours)
