@@ -563,3 +563,21 @@ def test_decontamination_fit_reads_every_text(spark, docs, monkeypatch):
     asked = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(6)], "item_id long, text string")
     decontamination.find_contaminated(docs, asked, block_items=2)
     assert plans and not any("- Filter " in p or "Sample" in p for p in plans) and len(sketches) == 1
+
+
+def test_hashed_lines_make_no_object_per_band_or_half(spark):
+    import xxhash
+
+    from vozmill.llm import line_dedup
+
+    docs = spark.createDataFrame(
+        [(1, "A  long line\nshort\n\na long LINE"), (2, None), (None, "another long line"), (3, "\n \n")], "id long, text string"
+    )
+    rows = {(r.id, r.line_no): r for r in line_dedup.hashed_lines(docs, 8).collect()}
+    assert sorted(rows, key=str) == sorted([(1, 0), (1, 1), (1, 3), (None, 0)], key=str)
+    for key, line in {(1, 0): b"a long line", (1, 1): b"short", (1, 3): b"a long line", (None, 0): b"another long line"}.items():
+        whole = xxhash.xxh3_128_intdigest(line)
+        assert (rows[key].h1, rows[key].h2) == ((whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63))
+    long, other = (line_dedup.band_values([x]).view(np.int64)[0].tolist() for x in (b"a long line", b"another long line"))
+    assert [rows[k].bands for k in [(1, 0), (1, 1), (1, 3), (None, 0)]] == [long, None, None, other]
+    assert line_dedup._signed([bytes(8), b"\xff" * 8]).tolist() == [-(1 << 63), (1 << 63) - 1]

@@ -109,9 +109,9 @@ def band_values(lines: list[bytes], bands: int = BANDS, rows: int = ROWS, size:
     return out
 
 
-def _hashes(line: bytes) -> tuple[int, int]:
-    whole = xxhash.xxh3_128_intdigest(line)
-    return (whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63)
+def _signed(halves: list[bytes]) -> np.ndarray:
+    """Unsigned numbers of eight bytes each, highest first, moved into the range of signed ones."""
+    return (np.frombuffer(b"".join(halves), ">u8").astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def hashed_lines(docs: DataFrame, shingle: int) -> DataFrame:
@@ -120,28 +120,32 @@ def hashed_lines(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            ids, numbers, first, second, banded, seen = [], [], [], [], [], {}
+            ids, numbers, digests, at, banded, seen = [], [], [], [], [], set()
             for row, text in enumerate(byte_texts(batch.column("text"))):
                 for number, line in enumerate((text or b"").split(b"\n")):
                     line = normal(line)
                     if line:
-                        h1, h2 = _hashes(line)
+                        digest = xxhash.xxh3_128_digest(line)
+                        if len(line) >= shingle and digest not in seen:
+                            seen.add(digest)
+                            at.append(len(ids))
+                            banded.append(line)
                         ids.append(row)
                         numbers.append(number)
-                        first.append(h1)
-                        second.append(h2)
-                        if len(line) >= shingle and (h1, h2) not in seen:
-                            seen[h1, h2] = (len(ids) - 1, line)
+                        digests.append(digest)
             if not ids:
                 continue
-            bands = [None] * len(ids)
-            if seen:
-                values = band_values([line for _, line in seen.values()], size=shingle).view(np.int64)
-                for (at, _), value in zip(seen.values(), values.tolist()):
-                    bands[at] = value
+            without = np.ones(len(ids), bool)
+            without[at] = False
+            values = band_values(banded, size=shingle).view(np.int64) if banded else np.zeros((0, BANDS), np.int64)
+            offsets = np.concatenate([[0], np.cumsum(~without)]) * BANDS
+            bands = pa.ListArray.from_arrays(
+                pa.array(offsets, pa.int32()), pa.array(values.ravel()), type=pa.list_(pa.int64()), mask=pa.array(without)
+            )
+            halves = _signed(digests).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(ids)), pa.array(numbers, pa.int32()), pa.array(first, pa.int64()),
-                 pa.array(second, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                [batch.column("id").take(pa.array(ids)), pa.array(numbers, pa.int32()), pa.array(halves[:, 0].copy()),
+                 pa.array(halves[:, 1].copy()), bands],
                 names=["id", "line_no", "h1", "h2", "bands"],
             )
 
@@ -161,9 +165,9 @@ def line_texts(docs: DataFrame, shingle: int) -> DataFrame:
             for text in byte_texts(batch.column("text")):
                 for line in map(normal, (text or b"").split(b"\n")):
                     if len(line) >= shingle:
-                        found[_hashes(line)[0]] = line
+                        found[xxhash.xxh3_128_digest(line)[:8]] = line
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["line", "folded"]
+                [pa.array(_signed(list(found)), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["line", "folded"]
             )
 
     return docs.select("text").mapInArrow(run, "line long, folded binary")
