@@ -566,10 +566,6 @@ def test_decontamination_fit_reads_every_text(spark, docs, monkeypatch):
 
 
 def test_hashed_lines_make_no_object_per_band_or_half(spark):
-    import xxhash
-
-    from vozmill.llm import line_dedup
-
     docs = spark.createDataFrame(
         [(1, "A  long line\nshort\n\na long LINE"), (2, None), (None, "another long line"), (3, "\n \n")], "id long, text string"
     )
