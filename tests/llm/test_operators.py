@@ -212,6 +212,26 @@ def test_decontamination_does_not_depend_on_blocks(spark, docs, odd):
     assert "nothing at all" in kept and "clean text" in kept and items[1] not in kept and holders[0][1] not in kept
 
 
+def test_rows_of_short_and_long_segments_are_summed():
+    rng = np.random.default_rng(3)
+    sizes = np.concatenate([rng.integers(1, 40, 60), [1, 15, 16, 17, 256, 257, 5000]])
+    starts = np.cumsum(sizes) - sizes
+    table, rows = rng.integers(-9, 9, (50, 6)).astype(np.float32), rng.integers(0, 50, sizes.sum())
+    expected = np.array([table[rows[a : a + n]].sum(axis=0) for a, n in zip(starts, sizes)])
+    adds = []
+    take = np.ndarray.take
+
+    class Counted(np.ndarray):
+        def take(self, *a, **k):
+            adds.append(1)
+            return take(self.view(np.ndarray), *a, **k)
+
+    assert np.array_equal(decontamination._sums(table.view(Counted), rows, starts), expected)
+    assert len(adds) <= decontamination.HALF  # not one for each segment and column
+    none = np.zeros(0, np.int64)
+    assert decontamination._sums(table, none, none).shape == (0, 6)
+
+
 def test_latent_space_is_the_truncated_svd(spark, docs):
     """Against a plain SVD of the same weighted passages."""
     texts = docs.select("text").where("doc_id < 60")

@@ -150,6 +150,33 @@ def _halves(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bounds[:-1][owner] + nth * HALF, owner
 
 
+def _sums(table: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """``np.add.reduceat(table[rows], starts)``, but whole rows at a time.
+
+    The first rows of all segments are added at once, then the second ones; long segments are cut and their parts added up again.
+    """
+    while True:
+        size = np.diff(np.append(starts, len(rows)))
+        cuts = -(-size // HALF)
+        after = np.cumsum(cuts)
+        skipped = HALF * (np.arange(cuts.sum()) - np.repeat(after - cuts, cuts))
+        first = np.repeat(starts, cuts) + skipped
+        length = np.minimum(np.repeat(size, cuts) - skipped, HALF)
+        order = np.argsort((HALF - length).astype(np.uint16), kind="stable")  # those that have a row more come first
+        first, longer = first[order], len(order) - np.searchsorted(length[order[::-1]], np.arange(HALF), side="right")
+        sums = table.take(rows[first], axis=0)
+        spare = np.empty_like(sums)
+        for k in range(1, HALF):
+            if not longer[k]:
+                break
+            part = spare[: longer[k]]
+            sums[: longer[k]] += table.take(rows[first[: longer[k]] + k], axis=0, out=part, mode="clip")
+        spare[order] = sums
+        if len(order) == len(starts):
+            return spare
+        table, rows, starts = spare, np.arange(len(spare)), after - cuts
+
+
 def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
     """Adds up (block, values) rows; every task keeps one sum per block, however many rows come."""
 
@@ -214,12 +241,12 @@ def _gram(words: Words, weight: np.ndarray, random: np.ndarray, total: np.ndarra
     starts, _ = _halves(words.bounds)
     if not len(starts):
         return
-    sketch = np.add.reduceat(random[words.feature], starts)
+    sketch = _sums(random, words.feature, starts)
     run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words.feature))))
     order, feature = _by_feature(words)
     first = np.flatnonzero(np.diff(feature, prepend=-1))
     features = feature[first]
-    total[features] += weight[features, None] * np.add.reduceat(sketch[run[order]], first)
+    total[features] += weight[features, None] * _sums(sketch, run[order], first)
 
 
 def feature_weights(texts: DataFrame) -> tuple[np.ndarray, int]:
@@ -233,7 +260,7 @@ def _projected(words: Words, basis: np.ndarray, total: np.ndarray) -> None:
     """Adds ``(A Q)^T (A Q)`` of passages of ``HALF`` words; ``basis`` is weighted already."""
     starts, _ = _halves(words.bounds)
     if len(starts):
-        rows = np.add.reduceat(basis[words.feature], starts).astype(np.float64)
+        rows = _sums(basis, words.feature, starts).astype(np.float64)
         total += rows.T @ rows
 
 
@@ -381,7 +408,7 @@ def _passages(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _windows(space: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, text and unit vector of windows of two halves (fewer at the end of a text)."""
     starts, owner = _halves(words.bounds)
-    halves = np.add.reduceat(space[words.feature], starts) if len(starts) else np.zeros((0, space.shape[1]), space.dtype)
+    halves = _sums(space, words.feature, starts) if len(starts) else np.zeros((0, space.shape[1]), space.dtype)
     paired = halves.copy()
     joined = owner[:-1] == owner[1:]
     paired[:-1][joined] += halves[1:][joined]
