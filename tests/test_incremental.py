@@ -127,6 +127,30 @@ def test_new_replies_reach_old_rows(spark, tmp_path):
     assert run.analyzed().where("primary_theme = 'preco_frete' AND provider = 'model'").count() >= 2
 
 
+def test_keys_and_digests_are_moved_in_place_of_texts(spark, tmp_path, monkeypatch):
+    from vozmill.plans import incremental
+
+    rng = random.Random(8)
+    batches = [batch(spark, rng, n, 12) for n in (30, 20)]
+    batches[0] = batches[0].withColumn("row_ord", F.when(F.col("row_ord") != 3, F.col("row_ord")))
+    widths, dedupe_content = [], incremental.dedupe_content
+
+    def seen(rows):
+        widths.append(rows.agg(F.max(F.length("raw_text"))).first()[0])
+        return dedupe_content(rows)
+
+    monkeypatch.setattr(incremental, "dedupe_content", seen)
+    run = IncrementalRun(spark, str(tmp_path / "run"), buckets=3)
+    for frame in batches:
+        run.add(frame, AS_OF)
+    assert plain(run.analyzed()) == plain(full_run(spark, batches))
+    assert widths == [64, 64]  # digests
+    for version in (1, 2):
+        folder = tmp_path / "run" / "changes" / str(version)
+        texts = [f.name for f in folder.iterdir() if "raw_text" in spark.read.parquet(str(f)).columns]
+        assert texts == ["came"]
+
+
 def test_a_failed_run_is_carried_on(spark, tmp_path):
     rng = random.Random(7)
     batches = [batch(spark, rng, n, 10) for n in (20, 9, 6)]

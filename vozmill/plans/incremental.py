@@ -9,6 +9,10 @@ deduplicated again, and only rows that were not analyzed before, or have a new r
 classified. The result equals a full run over all batches; ``ingested_at`` alone stays the time of
 the run in which a row came.
 
+Which rows go, stay or are new is found on keys and digests alone, written once as lists of keys; whole rows
+are read where they are kept or classified. Of the rows that stay and those that go, the shorter list is joined to the
+whole rows.
+
 Every run writes one version of each snapshot. Where a run ended between two of them, the
 next one first carries the stored changes on.
 """
@@ -16,6 +20,7 @@ next one first carries the stored changes on.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +33,7 @@ from vozmill.plans.normalize import normalize_rows
 from vozmill.schemas import (
     ANALYZED_SCHEMA, FEEDBACK_COLUMNS, FEEDBACK_SCHEMA, NORMALIZED_SCHEMA, ORDER_COLUMNS, ORDER_FIELDS,
 )
+from vozmill.sources.readers import path_exists
 from vozmill.sources.snapshots import BUCKETS, Snapshot, bucket_of
 
 _C = F.col
@@ -79,8 +85,10 @@ class IncrementalRun:
         touched = _buckets(fresh)
         stored = self.merged.read(touched)
         keys = fresh.select(KEY.name)
-        _written(stored.join(keys, KEY.name, "left_semi"), f"{folder}/went")
-        kept = stored.join(keys, KEY.name, "left_anti")
+        # The time of the run plays no part in the place of a row.
+        gone = self._placed(stored, "1970-01-01 00:00:00").select(KEY.name, "bucket").join(keys, KEY.name, "left_semi")
+        _written(gone, f"{folder}/gone")
+        kept = _without(stored, keys, [KEY.name], f"{folder}/merged")
         self.merged.write(kept.unionByName(fresh.select(kept.columns)), touched, _C("batch_seq").cast("bigint"))
         after = self.merged.index().agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
         return touched, max(0, after - before)
@@ -90,19 +98,25 @@ class IncrementalRun:
 
     def _changed(self, version: int, as_of) -> tuple[DataFrame, DataFrame, list[int]]:
         """P1 for the rows that came and went with a version, and the buckets of their contents."""
-        sides = []
-        full = T.StructType([*MERGED.fields, T.StructField("bucket", T.IntegerType())])
-        for side in ("came", "went"):
-            raw = self.spark.read.schema(full).parquet(f"{self._changes(version)}/{side}")
-            rows = with_merge_key(normalize_rows(raw, as_of), ORDER_COLUMNS, KEY.name)
-            sides.append(rows.withColumn("bucket", bucket_of(*_content(), buckets=self.buckets)))
-        came, went = sides
-        return came, went, _buckets(came.select("bucket").union(went.select("bucket")))
+        bucket, folder = T.StructField("bucket", T.IntegerType()), self._changes(version)
+        full = self.spark.read.schema(T.StructType([*MERGED.fields, bucket]))
+        came = self._placed(full.parquet(f"{folder}/came"), as_of)
+        if path_exists(self.spark, f"{folder}/gone"):
+            gone = self.spark.read.schema(T.StructType([KEY, bucket])).parquet(f"{folder}/gone")
+        else:  # an earlier release wrote the whole rows
+            gone = self._placed(full.parquet(f"{folder}/went"), as_of).select(KEY.name, "bucket")
+        return came, gone, _buckets(came.select("bucket").union(gone.select("bucket")))
+
+    def _placed(self, rows: DataFrame, as_of) -> DataFrame:
+        """P1 row by row, with the merge key and the bucket of the content."""
+        keyed = with_merge_key(normalize_rows(rows, as_of), ORDER_COLUMNS, KEY.name)
+        return keyed.withColumn("bucket", bucket_of(*_content(), buckets=self.buckets))
 
     def renormalize(self, as_of) -> None:
         """``candidates`` with the changes of the newest merged version."""
-        came, went, touched = self._changed(self.merged.version(), as_of)
-        kept = self.candidates.read(touched).join(went.select(KEY.name), KEY.name, "left_anti")
+        version = self.merged.version()
+        came, gone, touched = self._changed(version, as_of)
+        kept = _without(self.candidates.read(touched), gone.select(KEY.name), [KEY.name], f"{self._changes(version)}/candidates")
         self.candidates.write(kept.unionByName(came.select(kept.columns)), touched)
 
     def reanalyze(
@@ -113,18 +127,24 @@ class IncrementalRun:
         ``replies`` holds the replies of all rows that may need labels, ``new_replies`` those that
         came since the last run: rows with such an id are classified again. Returns the touched buckets.
         """
-        touched = self._changed(self.merged.version(), as_of)[2]
+        version = self.merged.version()
+        touched = self._changed(version, as_of)[2]
         if new_replies is not None:
             narrow = self.candidates.read().select("feedback_id", "bucket")
             answered = narrow.join(new_replies.select("feedback_id"), "feedback_id", "left_semi")
             touched = sorted(set(touched) | set(_buckets(answered)))
-        chosen = dedupe_content(self.candidates.read(touched))
-        known = self.labelled.read(touched)
+        rows, known = self.candidates.read(touched), self.labelled.read(touched)
         if new_replies is not None:
             known = known.join(new_replies.select("feedback_id"), "feedback_id", "left_anti")
-        place = [KEY.name, *ORDER_COLUMNS]
-        kept = known.join(chosen.select(*place), place, "left_semi")
-        fresh = chosen.join(known.select(*place), place, "left_anti")
+        place, folder = [KEY.name, *ORDER_COLUMNS], self._changes(version)
+        # Contents are compared by a digest of 256 bits, so no text is moved to find the first rows.
+        digests = rows.select(*place, "source", "feedback_date", F.sha2("raw_text", 256).alias("raw_text"))
+        chosen = _written(dedupe_content(digests).select(*place), f"{folder}/chosen")
+        before = _written(known.select(*place), f"{folder}/known")
+        dropped = _written(before.join(chosen, place, "left_anti"), f"{folder}/dropped")
+        kept = _without(known, dropped, place, f"{folder}/labelled")
+        fresh = _written(chosen.join(before, place, "left_anti"), f"{folder}/fresh")
+        fresh = _matched(rows, fresh, place, "left_semi")
         done = classify(fresh, replies, brand)
         self.labelled.write(kept.unionByName(done.select(kept.columns)), touched)
         return touched
@@ -152,10 +172,24 @@ class IncrementalRun:
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)  # a failed run may have left one
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)  # a failed run may have left one
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _without(rows: DataFrame, gone: DataFrame, key: list[str], path: str) -> DataFrame:
+    """The rows without those of some keys; the shorter list, of what stays or of what goes, is joined to the whole rows."""
+    stay = _written(_matched(rows.select(*key), gone, key, "left_anti"), path)
+    if stay.count() < gone.count():
+        return _matched(rows, stay, key, "left_semi")
+    return _matched(rows, gone, key, "left_anti")
+
+
+def _matched(rows: DataFrame, keys: DataFrame, key: list[str], how: str) -> DataFrame:
+    """A semi or anti join that takes nulls as equal."""
+    listed = keys.select(*[_C(c).alias(f"_of_{c}") for c in key])
+    return rows.join(listed, reduce(lambda a, b: a & b, [_C(c).eqNullSafe(_C(f"_of_{c}")) for c in key]), how)
+
+
 def _content() -> list[Column]:
     return [_C(c) for c in ("source", "feedback_date", "raw_text")]
 

@@ -79,7 +79,7 @@ class Snapshot:
         # Adaptive execution splits a large bucket over several files and packs small ones.
         # A failed run may have left files under this number; no index names them.
         packed = rows.select(*columns, "bucket").hint("rebalance", "bucket")
-        packed.write.mode("overwrite").partitionBy("bucket").parquet(data)
+        packed.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(data)
         full = self.spark.createDataFrame([], self.schema).withColumn("bucket", F.lit(0)).schema
         counts = self.spark.read.schema(full).parquet(data).groupBy("bucket").agg(
             F.lit(new).alias("written"), F.count("*").alias("n_rows"),
