@@ -204,7 +204,7 @@ def _total(texts: DataFrame, shape: tuple[int, int], add: Callable[[Words, np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for batch in pieces(batches, "text", 1 << 17):
+        for batch in pieces(batches, "text", 1 << 19):
             total = np.zeros(shape) if total is None else total
             add(Words(byte_texts(pc.utf8_lower(batch.column("text")))), total)
         if total is None:  # no row came here
