@@ -179,3 +179,19 @@ def test_an_uncommitted_version_does_not_count(spark, tmp_path):
     assert sorted(r["bucket"] for r in table.index().collect()) == [0, 2]
     total = table.index().agg(F.sum("n_rows"), F.max("mark")).first()
     assert total[0] == table.read().count() and total[1] <= 29
+
+
+def test_a_run_that_an_earlier_release_left_is_carried_on(spark, tmp_path, monkeypatch):
+    from vozmill.plans import incremental
+
+    rng = random.Random(9)
+    batches = [batch(spark, rng, n, 8) for n in (20, 12)]
+    run = IncrementalRun(spark, str(tmp_path / "run"), buckets=2)
+    run.add(batches[0], AS_OF)
+    run.upsert(batches[1])  # ends here
+    came = spark.read.parquet(str(tmp_path / "run" / "changes" / "2" / "came"))
+    went = run.merged.read(version=1).join(came.select("merge_key"), "merge_key", "left_semi")
+    went.write.parquet(str(tmp_path / "run" / "changes" / "2" / "went"))
+    monkeypatch.setattr(incremental, "path_exists", lambda spark, path: False)  # no list of keys
+    assert run.resume(AS_OF)
+    assert plain(run.analyzed()) == plain(full_run(spark, batches))
