@@ -103,6 +103,41 @@ def test_phrases_across_cut_blocks(docs):
         assert got_phrases(got) == want and len(want) > 20
 
 
+def test_phrases_of_blocks_with_many_words(spark):
+    """More different words than 16 bits number, beside a block of few."""
+    many = " ".join(f"w{i % 70_000}" for i in range(140_000))
+    rows = [(many, "xx"), ("a b c " * 40, "yy")]
+    got = collocations.collocations(spark.createDataFrame(rows, "text string, lang string"), min_count=2, top=50)
+    assert got_phrases(got) == plain_phrases(rows, 3, 2, 50, 50)
+
+
+def test_phrases_hold_one_block_at_a_time(spark, docs, monkeypatch):
+    """However many blocks a task has, a row group holds one; a step's shuffle files go with it."""
+    import time
+
+    import pyarrow.dataset as ds
+
+    folders, kept = [], collocations._kept
+
+    def noted(df, **options):
+        out = kept(df, **options)
+        folders.append(os.path.dirname(out.inputFiles()[0].removeprefix("file://")))
+        return out
+
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before, setting = files.getAllFiles().size(), spark.conf.get(collocations._TIDY)
+    monkeypatch.setattr(collocations, "_kept", noted)
+    collocations.collocations(docs.coalesce(1), block_words=2000)
+    parts = [f.metadata for f in ds.dataset(folders[0], format="parquet").get_fragments()]
+    assert sum(p.num_rows for p in parts) > 20
+    assert all(p.row_group(i).num_rows == 1 for p in parts for i in range(p.num_row_groups))
+    assert len(folders) == 4 and spark.conf.get(collocations._TIDY) == setting
+    until = time.time() + 20
+    while files.getAllFiles().size() > before and time.time() < until:
+        time.sleep(0.2)
+    assert files.getAllFiles().size() <= before
+
+
 def test_phrases_of_no_rows(none, odd):
     assert collocations.collocations(none).count() == 0
     assert collocations.collocations(odd, min_count=10**6).count() == 0

@@ -9,7 +9,8 @@ Level k joins the relation of level k-1 with itself where the piece is the same
 phrase starts at the next position. Both sides lie sorted in the same block, so this is a merge
 without an exchange. A block sends each of its groups once, with a count; one exchange by group
 adds the counts up, and the frequent groups go back to the blocks that hold them (a semi-join),
-which then extend only those. A phrase of k words is as frequent as it only if both its parts of
+which then extend only those. A task holds one block at a time: blocks are stored in row groups
+of their own and meet the groups that come back as co-groups. A phrase of k words is as frequent as it only if both its parts of
 k-1 words are, so nothing is lost. Groups are compared as words or as numbers given to whole
 words, never as hashes.
 
@@ -37,7 +38,10 @@ SLOT_BITS, SERIAL_BITS, TASK_BITS = 22, 20, 21
 BLOCK_WORDS = 1 << 20
 #: Parts of a language's list that are ranked before the whole.
 PARTS = 64
-_BLOCK = "block long, lang string, words array<string>, counts array<long>, codes array<int>, runs array<int>, ahead int"
+_BLOCK = "block long, lang string, words array<string>, counts array<long>, codes binary, width int, runs binary, ahead int"
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that are sorted by block at once before they go back.
+_RETURNED = 1 << 20
 
 
 def _cut(words: pa.Array, runs: np.ndarray, most: int, reach: int) -> Iterator[dict]:
@@ -54,6 +58,7 @@ def _cut(words: pa.Array, runs: np.ndarray, most: int, reach: int) -> Iterator[d
         if len(codes) > most:
             kept, part = np.unique(part, return_inverse=True)
             part, used = part.astype(np.int32), listed.take(pa.array(kept))
+        part = part.astype(np.uint16 if len(used) <= 1 << 16 else np.int32)
         yield {
             "words": used.cast(pa.string()), "codes": part, "ahead": stop - hi,
             "counts": np.bincount(part[: hi - lo], minlength=len(used)),
@@ -66,6 +71,33 @@ def _list(values: pa.Array | np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
 
 
+def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary column; row i holds the values from bounds[i] to bounds[i + 1]."""
+    ends = (bounds * values.itemsize).astype(np.int32)
+    buffers = [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))]
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, buffers)
+
+
+def _kept(df: DataFrame, **options: int) -> DataFrame:
+    """The table stored; its shuffle files go at once, not when the driver happens to collect its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_TIDY, None)
+    conf.set(_TIDY, "true")
+    try:
+        return stored(df, **options)
+    finally:
+        if before is None:
+            conf.unset(_TIDY)
+        else:
+            conf.set(_TIDY, before)
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """All values of a binary column, in its order."""
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in column]
+    return np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros(0, kind)
+
+
 def occurrences(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 3, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
@@ -87,13 +119,15 @@ def occurrences(
                         raise ValueError("too many tasks or blocks of a task for the numbers of words")
                     yield pa.RecordBatch.from_arrays([
                         pa.array([task << SERIAL_BITS | serial], pa.int64()), pa.array([lang]),
-                        *[_list(block[name]) for name in ("words", "counts", "codes", "runs")],
-                        pa.array([block["ahead"]], pa.int32()),
-                    ], names=["block", "lang", "words", "counts", "codes", "runs", "ahead"])
+                        *[_list(block[name]) for name in ("words", "counts")],
+                        pa.array([pa.compress(np.ascontiguousarray(block["codes"]), "zstd").to_pybytes()]),
+                        pa.array([block["codes"].itemsize], pa.int32()),
+                        _packed(block["runs"], np.array([0, len(block["runs"])])), pa.array([block["ahead"]], pa.int32()),
+                    ], names=["block", "lang", "words", "counts", "codes", "width", "runs", "ahead"])
                     serial += 1
             held.clear()
 
-        for batch in pieces(batches, "text", 1 << 22):
+        for batch in pieces(batches, "text", 1 << 21):
             langs = batch.column("lang").fill_null("und").dictionary_encode()
             for i, lang in enumerate(langs.dictionary.to_pylist()):
                 texts = batch.column("text").filter(pa.compute.equal(langs.indices, i))
@@ -131,74 +165,114 @@ def _words_of(blocks: DataFrame, min_count: int) -> DataFrame:
     return _frequent(named, keys, min_count).drop("n")
 
 
-def _extend(level: int, reach: int):
-    """Groups of ``level`` words of each block, from the frequent ones of all levels below."""
+def _returned(found: DataFrame, level: int) -> DataFrame:
+    """(block, level, slots, terms): frequent groups of a length, some of a block's in a row; ``terms`` of words only."""
+    names = ["block", "slot", "term"][: 3 if level == 1 else 2]
 
-    def groups(row: dict) -> Iterator[pa.RecordBatch]:
-        codes, runs = row["codes"], row["runs"]
-        own = len(codes) - row["ahead"]
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        block, *values = [np.concatenate([b.column(name).to_numpy() for b in held]) for name in names]
+        order = np.argsort(block, kind="stable")
+        block = block[order]
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        bounds = np.append(starts, len(block))
+        packs = [_packed(value[order], bounds) for value in values]
+        if level > 1:
+            packs.append(pa.nulls(len(starts), pa.binary()))
+        columns = [pa.array(block[starts]), pa.array(np.full(len(starts), level, np.int32)), *packs]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "level", "slots", "terms"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= _RETURNED:
+                yield packed(held)
+                held, rows = [], 0
+        if held:
+            yield packed(held)
+
+    return found.select(*names).mapInArrow(run, "block long, level int, slots binary, terms binary")
+
+
+def _extend(level: int, names: list[str]):
+    """Groups of ``level`` words of a block, from the frequent ones of all levels below."""
+    schema = pa.schema([(name, pa.int32() if name == "slot" else pa.int64()) for name in names])
+
+    def known(answers: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the frequent groups of ``k`` words, sorted, and the terms of single words."""
+        rows = answers.filter(pa.compute.equal(answers.column("level"), k))
+        slots = _unpacked(rows.column("slots"), np.int32)
+        if k > 1:
+            return np.sort(slots), np.zeros(0, np.int64)
+        order = np.argsort(slots)
+        return slots[order], _unpacked(rows.column("terms"), np.int64)[order]
+
+    def batches(block: int, row: pa.Table, answers: pa.Table) -> Iterator[pa.RecordBatch]:
+        runs = _unpacked(row.column("runs"), np.int32)
+        total = int(runs.sum())
+        size = row.column("width")[0].as_py()
+        codes = pa.decompress(row.column("codes")[0].as_buffer(), total * size, "zstd")
+        codes = np.frombuffer(codes, np.uint16 if size == 2 else np.int32)
+        own = total - row.column("ahead")[0].as_py()
+        listed, numbers = known(answers, 1)
+        width = len(listed)
         terms = np.full(int(codes.max()) + 1, -1, np.int64)
-        terms[row["slots1"]] = row["terms"]
-        rank = np.full(len(terms), -1, np.int64)
-        rank[row["slots1"]] = np.arange(len(row["slots1"]))
+        terms[listed] = numbers
+        rank = np.full(len(terms), -1, np.int32)
+        rank[listed] = np.arange(width, dtype=np.int32)
         words = rank[codes]
-        width = len(row["slots1"])
-        joint = np.ones(len(codes), bool)  # the next position belongs to the same piece
+        joint = np.ones(total, bool)  # the next position belongs to the same piece
         joint[np.cumsum(runs) - 1] = False
         label = words
         for k in range(2, level + 1):
             here = np.flatnonzero((label[:-1] >= 0) & (label[1:] >= 0) & joint[:-1])
-            key = label[here] * width + words[here + k - 1]
+            key = label[here].astype(np.int64) * width + words[here + k - 1]
             found, first, which = np.unique(key, return_index=True, return_inverse=True)
+            del key
             if k < level:
-                kept = np.full(len(found), -1, np.int64)
-                kept[row[f"slots{k}"]] = np.arange(len(row[f"slots{k}"]))
-                label = np.full(len(codes), -1, np.int64)
+                slots = known(answers, k)[0]
+                kept = np.full(len(found), -1, np.int32)
+                kept[slots] = np.arange(len(slots), dtype=np.int32)
+                label = np.full(total, -1, np.int32)
                 label[here] = kept[which]
-                continue
-            counts = np.bincount(which[here < own], minlength=len(found))
-            at = here[first]
-            for lo in range(0, len(found), 1 << 16):
-                hi = min(lo + (1 << 16), len(found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(hi - lo, row["block"])), pa.array(np.arange(lo, hi, dtype=np.int32))]
-                    + [pa.array(terms[codes[at[lo:hi] + j]]) for j in range(level)]
-                    + [pa.array(counts[lo:hi])],
-                    names=["block", "slot", *[f"t{j}" for j in range(1, level + 1)], "n"],
-                )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {}
-                for name in batch.schema.names:
-                    value = batch.column(name)[i]
-                    row[name] = value.as_py() if not pa.types.is_list(value.type) else value.values.to_numpy()
-                yield from groups(row)
+        counts = np.bincount(which[here < own], minlength=len(found))
+        at = here[first]
+        del here, which, first, label, words
+        for lo in range(0, len(found), 1 << 16):
+            hi = min(lo + (1 << 16), len(found))
+            columns = {"block": np.full(hi - lo, block), "slot": np.arange(lo, hi, dtype=np.int32), "n": counts[lo:hi]}
+            columns |= {f"t{j + 1}": terms[codes[at[lo:hi] + j]] for j in range(level)}
+            yield pa.RecordBatch.from_arrays([pa.array(columns[name]) for name in names], schema=schema)
+
+    def run(row: pa.Table, answers: pa.Table) -> pa.Table:
+        if not row.num_rows or not answers.num_rows:
+            return schema.empty_table()
+        return pa.Table.from_batches(batches(row.column("block")[0].as_py(), row, answers), schema)
 
     return run
 
 
 def frequent_groups(blocks: DataFrame, max_words: int, min_count: int) -> list[DataFrame]:
     """Per length 1 to ``max_words``, the frequent phrases: (t1, ..., f); of length 1 also lang, word."""
-    words = stored(_words_of(blocks, min_count))
-    answers = words.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("slot", "term"))).alias("known"))
-    answers = answers.select("block", _C("known.slot").alias("slots1"), _C("known.term").alias("terms"))
-    relation = blocks.select("block", "codes", "runs", "ahead").join(answers, "block")
+    words = _kept(_words_of(blocks, min_count))
+    answers = _returned(words, 1)
+    relation = blocks.select("block", "codes", "width", "runs", "ahead").groupBy("block")
     own = F.shiftleft("block", SLOT_BITS).bitwiseOR(_C("slot").cast("long"))
     tables = [words.where(own == _C("term")).select(_C("term").alias("t1"), "lang", "word", "f")]
     for level in range(2, max_words + 1):
         keys = [f"t{j}" for j in range(1, level + 1)]
-        schema = "block long, slot int, " + "".join(f"{k} long, " for k in keys) + "n long"
-        groups = relation.mapInArrow(_extend(level, max_words - 1), schema)
+        names = [*keys, "n"] if level == max_words else ["block", "slot", *keys, "n"]
+        schema = ", ".join(f"{name} {'int' if name == 'slot' else 'long'}" for name in names)
+        groups = relation.cogroup(answers.groupBy("block")).applyInArrow(_extend(level, names), schema)
         if level == max_words:  # nothing is extended after it, so only the counts matter
             counted = groups.groupBy(*keys).agg(F.sum("n").alias("f")).where(_C("f") >= min_count)
-            tables.append(stored(counted))
+            tables.append(_kept(counted))
             continue
-        found = stored(_frequent(groups, keys, min_count).drop("n"))
+        found = _kept(_frequent(groups, keys, min_count).drop("n"))
         tables.append(found.select(*keys, "f").distinct())
-        slots = found.groupBy("block").agg(F.sort_array(F.collect_list("slot")).alias(f"slots{level}"))
-        relation = relation.join(slots, "block")
+        answers = answers.unionByName(_returned(found, level))
     return tables
 
 
@@ -241,7 +315,7 @@ def collocations(
     """
     if max_words < 2:
         raise ValueError("max_words has to be 2 or more")
-    blocks = stored(occurrences(docs, text_col, lang_col, max_words, block_words))
+    blocks = _kept(occurrences(docs, text_col, lang_col, max_words, block_words), **{"parquet.block.row.count.limit": 1})
     tables = frequent_groups(blocks, max_words, min_count)
     terms = tables[0].select(_C("t1").alias("term"), "lang", "word")
     sizes = blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n"))

@@ -40,11 +40,14 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/vozmill-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The table written once to the shared folder and read back: short lineage, no recomputation."""
+def stored(df: DataFrame, **options: int) -> DataFrame:
+    """The table written once to the shared folder and read back: short lineage, no recomputation.
+
+    ``options`` are those of the writer.
+    """
     spark = df.sparkSession
     path = work_folder(spark)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
