@@ -104,7 +104,9 @@ def scan(
     kind = "struct<place:int,pair:bigint,run:array<string>>"
     none = F.struct(F.lit(-1).alias("place"), F.lit(None).alias("pair"), F.lit(None).alias("run")).cast(kind)
     found_pairs = F.concat(F.array(none), F.when(n >= 2, matches).otherwise(F.array()).cast(f"array<{kind}>"))
-    placed = rows.select("id", "text_hash", n.cast("long").alias("n_words"), F.inline(found_pairs))
+    # Counted before the pairs are dealt out: else every pair's row would carry all words of its text.
+    counted = rows.withColumn("n_words", n.cast("long"))
+    placed = counted.select("id", "text_hash", "n_words", F.inline(found_pairs))
     same = (_C("pair") == _C("hash")) & (F.slice("run", 1, _C("width")) == _C("gram"))
     kept = _C("template").isNotNull() | (_C("place") < 0)
     hits = stored(placed.join(grams, same, "left").where(kept).select(
